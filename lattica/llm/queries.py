@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import id_crc, table
 from .resharding import reshard
 
@@ -29,7 +32,23 @@ def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer(name: str) -> str:
+    """A public vocabulary's file; the folder can be set by LATTICA_TOKENIZERS."""
+    folder = os.environ.get("LATTICA_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and their decoding, as digests."""
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op9_bpe": op9_bpe,
     "op2_resharding": op2_resharding,
 }
 ORACLES: dict[str, str] = {}
