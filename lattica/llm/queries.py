@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, language_id, quality
 from .common import id_crc, table
 from .resharding import reshard
 
@@ -47,7 +47,25 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.pmod(id_crc(), F.lit(4)) == 2)
+    model = language_id.fit(docs.where(~F.coalesce("held_out", F.lit(False))).select("doc_id", "text", "lang"))
+    return language_id.predict(docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every text, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(F.pmod(id_crc(), F.lit(5)) != 0).select("doc_id", "quality")
+    model = quality.fit(quality.labelled(docs, labels))
+    held_out = F.coalesce(F.pmod(id_crc(), F.lit(5)) == 0, F.lit(False))
+    return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op2_resharding": op2_resharding,
 }
