@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality
+from . import bpe, language_id, packing, quality
 from .common import id_crc, table
 from .resharding import reshard
 
@@ -54,6 +54,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in few sequences of at most 2048 tokens."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every text, learned from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +70,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
     "op2_resharding": op2_resharding,
