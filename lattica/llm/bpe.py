@@ -27,7 +27,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 
 #: Chunks of text, and words, that a worker remembers before it begins anew.
-CACHE = 400_000
+CACHE = 250_000
 #: Fixed value: White_Space of Unicode.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
