@@ -278,7 +278,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
     return {n: tuple(np.array(x, dtype=np.int64) for x in zip(*v)) for n, v in found.items()}
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 50_000) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 2_000) -> DataFrame:
     """``cut`` with ``sequence_id`` and ``offset``; needs ``length`` from 1 to ``capacity``.
 
     Any further columns stay. Pieces of equal length are interchangeable and

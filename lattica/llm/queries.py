@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality
+from . import bpe, language_id, near_dup, packing, pii, quality
 from .common import id_crc, table
 from .resharding import reshard
 
@@ -42,6 +42,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key() -> bytes:
+    """The secret key of pseudonyms; LATTICA_PII_KEY on a real run."""
+    return os.environ.get("LATTICA_PII_KEY", "a key for trials only").encode()[:64]
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with format-preserving pseudonyms, and counts by kind."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key())
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and their decoding, as digests."""
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
@@ -68,11 +78,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingles are 80 % alike."""
+    return near_dup.link(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
+    "op10_near_dedup": op10_near_dedup,
     "op2_resharding": op2_resharding,
 }
 ORACLES: dict[str, str] = {}
