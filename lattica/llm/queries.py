@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dup, packing, pii, quality
+from . import bpe, chat, language_id, media, near_dup, packing, pii, quality
 from .common import id_crc, table
 from .resharding import reshard
 
@@ -64,6 +64,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from the transcripts of all conversations.
+
+    Roles are learned from the conversations whose crc32(conv_id) mod 4 isn't 2.
+    """
+    return chat.parse(table(spark, sf_dir, "conversations"), F.pmod(id_crc("conv_id"), F.lit(4)) != 2)
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as 8-bit samples in archives, read back and described."""
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in few sequences of at most 2048 tokens."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
@@ -85,6 +98,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_chat": op3_chat,
+    "op4_media": op4_media,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
