@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, media, near_dup, packing, pii, quality
+from . import bpe, chat, fingerprints, language_id, media, near_dup, packing, pii, quality
 from .common import id_crc, table
 from .resharding import reshard
 
@@ -77,6 +77,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited versions, and their likeness."""
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in few sequences of at most 2048 tokens."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
@@ -100,6 +105,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat": op3_chat,
     "op4_media": op4_media,
+    "op5_fingerprints": op5_fingerprints,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
