@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SAMPLE, MAX_WORDS, MAX_GRAMS, LONGEST = 20_000, 50_000, 100_000, 5
+SAMPLE, MAX_WORDS, MAX_GRAMS, LONGEST = 20_000, 40_000, 60_000, 5
 #: Words that a worker remembers before it begins anew.
 CACHE = 300_000
 #: Runs of letters (and of the few other signs that count as word characters).
@@ -46,18 +46,23 @@ def grams_of(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies, less their mean over the languages."""
+    """Log frequencies, less their mean over the languages; a row of a table for each word and n-gram."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_table: np.ndarray
+    grams: dict[str, int]
+    gram_table: np.ndarray
     longest: int = LONGEST
 
-    def back_off(self, word: str) -> np.ndarray:
+    def evidence(self, word: str) -> np.ndarray:
+        k = self.words.get(word)
+        if k is not None:
+            return self.word_table[k]
         for n in range(self.longest, 0, -1):
             found = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_table[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
 
@@ -76,8 +81,7 @@ class Scorer:
         k = len(self.place)
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        seen = self.model.words.get(word)
-        self.rows[k] = self.model.back_off(word) if seen is None else seen
+        self.rows[k] = self.model.evidence(word)
         self.place[word] = k
         return k
 
@@ -102,13 +106,22 @@ def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
 
-def _frequencies(counts: dict[str, dict[int, int]], n: int) -> dict[str, np.ndarray]:
-    table = np.zeros((len(counts), n))
-    for k, by in enumerate(counts.values()):
-        for lang, c in by.items():
-            table[k, lang] = c
-    logs = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * max(1, len(counts))))
-    return dict(zip(counts, logs - logs.mean(axis=1, keepdims=True)))
+def _counts(top: pa.Table, key: str, languages: list[str] | None) -> tuple[list[str], np.ndarray, list[str]]:
+    """Keys, counts by language, and the languages, from (key, of: list of (lang, n))."""
+    of = top["of"].combine_chunks()
+    lang = of.values.field("lang").to_pylist()
+    languages = languages or sorted(set(lang))
+    number = {x: k for k, x in enumerate(languages)}
+    at = np.array([number.get(x, -1) for x in lang], dtype=np.int64)
+    row = np.repeat(np.arange(len(of)), np.diff(of.offsets.to_numpy()))
+    table = np.zeros((len(of), len(languages)))
+    np.add.at(table, (row[at >= 0], at[at >= 0]), of.values.field("n").to_numpy()[at >= 0])
+    return top[key].to_pylist(), table, languages
+
+
+def _frequencies(table: np.ndarray) -> np.ndarray:
+    logs = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * max(1, len(table))))
+    return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(labelled: DataFrame, most: int = SAMPLE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -131,7 +144,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE, max_words: int = MAX_WORDS, max
     # The languages of a word stay together, so the bound counts words.
     of = F.collect_list(F.struct("lang", "n")).alias("of")
     words = by_lang.groupBy("word").agg(F.sum("n").alias("total"), of)
-    top = words.orderBy(F.desc("total"), "word").limit(max_words).collect()
+    top = words.orderBy(F.desc("total"), "word").limit(max_words).select("word", "of").toArrow()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,14 +156,18 @@ def fit(labelled: DataFrame, most: int = SAMPLE, max_words: int = MAX_WORDS, max
             yield pa.RecordBatch.from_pydict({"gram": [g for g, _ in found], "lang": [lang for _, lang in found], "n": pa.array(found.values(), pa.int64())}, schema=pa.schema([("gram", pa.string()), ("lang", pa.string()), ("n", pa.int64())]))
 
     grams = by_lang.mapInArrow(cut, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    grams = grams.groupBy("gram").agg(F.sum("n").alias("total"), of).orderBy(F.desc("total"), "gram").limit(max_grams).collect()
-    languages = sorted({x.lang for r in top for x in r.of})
-    number = {lang: k for k, lang in enumerate(languages)}
-    by_word = {r.word: {number[x.lang]: x.n for x in r.of} for r in top}
-    by_gram: dict[int, dict] = {}  # n-grams of each length have frequencies of their own
-    for r in grams:
-        by_gram.setdefault(len(r.gram), {})[r.gram] = {number[x.lang]: x.n for x in r.of if x.lang in number}
-    return Model(languages, _frequencies(by_word, len(languages)), {g: v for c in by_gram.values() for g, v in _frequencies(c, len(languages)).items()})
+    grams = grams.groupBy("gram").agg(F.sum("n").alias("total"), of).orderBy(F.desc("total"), "gram").limit(max_grams).select("gram", "of").toArrow()
+    if not top.num_rows:
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+    names, table, languages = _counts(top, "word", None)
+    word_table = _frequencies(table)
+    keys, table, _ = _counts(grams, "gram", languages)
+    # N-grams of each length have frequencies of their own.
+    length = np.array(list(map(len, keys)))
+    gram_table = np.zeros(table.shape, dtype=np.float32)
+    for n in np.unique(length):
+        gram_table[length == n] = _frequencies(table[length == n])
+    return Model(languages, {w: k for k, w in enumerate(names)}, word_table, {g: k for k, g in enumerate(keys)}, gram_table)
 
 
 ADDED = "lang_pred string, score double, n_words integer, n_known integer"
