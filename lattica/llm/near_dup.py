@@ -2,15 +2,17 @@
 
 A document is the set of its word shingles. Documents with equal sets are one
 class. Each class gets a signature of ``POSITIONS`` minima of 8 bits. Two sets
-of similarity s differ in each position with a chance of at most 1 - s; at
-s = 0.8 more than ``DISTANCE`` of 64 positions differ with a chance of about
-5e-6. The join finds every pair within that distance: the positions are split
-into ``CHUNKS`` chunks, and since ``2 * CHUNKS > DISTANCE`` some chunk differs
-in one position at most. So each chunk, with each of its positions masked in
-turn, is a key, and two signatures within the distance share a key. (A pair
-beyond the distance is found too unless every chunk differs twice.) Candidates
-are compared by signature, with ``LIMIT`` positions of tolerance (beyond it at
-s = 0.8: below 1e-9), and then confirmed on the full sets.
+of similarity s differ in each position with a chance of at most 1 - s.
+
+The join finds every pair of signatures that differ in at most ``DISTANCE``
+positions: the positions are split into ``CHUNKS`` chunks, and since
+``2 * CHUNKS > DISTANCE`` some chunk differs in one position at most. So each
+chunk, with each of its positions masked in turn, is a key, and two signatures
+within the distance share a key. A pair beyond the distance is found too
+unless every chunk differs twice; at s = 0.8 the chance to lose a pair is
+below 1e-5, and it falls fast with s. Candidates are compared by signature,
+with ``LIMIT`` positions of tolerance (beyond it at s = 0.8: about 1e-8), and
+then confirmed on the full sets.
 
 Keys are handled without forming all pairs of a group of copies:
 
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 14, 27, 36, 2
+POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 11, 21, 31, 2
+#: Sets of ids of at most so many rows (8 bytes each) are sent to all executors.
+SENT_IDS = 500_000
 #: Words that a worker remembers before it begins anew.
 CACHE = 300_000
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**32, POSITIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -164,9 +168,14 @@ def alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have at least ``percent`` of their union in common."""
-    pairs = stored(alike(pairs, members, percent), "alike")
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have at least ``percent`` of their union in common.
+
+    Only the texts that ``pairs`` names are read into sets once more.
+    """
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    full = full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words)
     pairs = pairs.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,20 +241,19 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def near_links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect all that is linked."""
     keys = keys_of(members)
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other")
-    keys = stored(keys.join(hubs.select("key", "hub"), "key"), "keys")
-    # Only texts that share a key with another are cut into sets again.
-    shared = stored(keys.select(F.col("id").alias("doc_id")).distinct(), "shared")
-    full = stored(full_sets(docs.select("doc_id", "text").join(shared, "doc_id", "left_semi"), words), "full")
-    pairs = keys.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(confirm(pairs, members, full, percent), "links")
-    for turn in range(ROUNDS + 1):
-        part = keys.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-        mixed = part.groupBy("key").agg(
-            F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "part")).alias("hub")
-        ).where("low < high")
+    several = keys.groupBy("key").count().where("count > 1").select("key")
+    keys = stored(keys.join(several, "key"), "keys")
+    links = tried = None
+    for turn in range(ROUNDS + 2):
+        if links is None:
+            part = keys.withColumn("part", F.col("id"))
+        else:
+            part = keys.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+        # The first hub of a key is its least class, later ones depend on the turn.
+        order = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
+        mixed = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(order.alias("o"), "id", "part")).alias("hub")).where("low < high")
         part = part.join(mixed.select("key", "low", F.col("hub.id").alias("hub"), F.col("hub.part").alias("hub_part")), "key")
-        if turn < ROUNDS:
+        if turn <= ROUNDS:
             pairs = part.where("part <> hub_part").select(F.col("hub").alias("x"), F.col("id").alias("y"))
         else:
             part = stored(part, "mixed")
@@ -253,5 +261,9 @@ def near_links(members: DataFrame, docs: DataFrame, words: int, percent: int) ->
             y = part.select("key", F.col("id").alias("y"), F.col("part").alias("py"), "low")
             pairs = x.join(y, "key").where("px <> py and (py = low or x < y)")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = stored(links.union(confirm(pairs, members, full, percent)), "links")
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(alike(pairs, members, percent), "alike")
+        tried = pairs if tried is None else tried.union(pairs)
+        new = confirm(pairs, docs, words, percent)
+        links = stored(new if links is None else links.union(new), "links")
     return links
