@@ -11,7 +11,7 @@ chunk, with each of its positions masked in turn, is a key, and two signatures
 within the distance share a key. A pair beyond the distance is found too
 unless every chunk differs twice; at s = 0.8 the chance to lose a pair is
 below 1e-5, and it falls fast with s. Candidates are compared by signature,
-with ``LIMIT`` positions of tolerance (beyond it at s = 0.8: about 1e-8), and
+with ``LIMIT`` positions of tolerance (beyond it at s = 0.8: about 2e-6), and
 then confirmed on the full sets.
 
 Keys are handled without forming all pairs of a group of copies:
@@ -19,13 +19,16 @@ Keys are handled without forming all pairs of a group of copies:
 1. For each key its least class is its hub. Each class is compared with its
    hubs only. What is confirmed makes components. ``ROUNDS`` more rounds with
    other hubs follow for keys that still hold more than one component.
-2. Then, in each such key, the classes outside its least component are
-   compared with all classes of the key in other components than their own. A
-   pair within a component couldn't change the result any more, and
-   components only grow, so after this nothing is left to compare.
+2. What is left are keys with several components. Such a key belongs to its
+   least component; per component, the classes outside it (strays) are
+   compared with all classes of its keys, in blocks of at most ``BLOCK``
+   classes and ``BLOCK_BYTES``: first by signature, and what may reach the
+   similarity by full sets. A pair within a component couldn't change the
+   result any more, and components only grow, so after this nothing is left.
 
 So a group of n like documents costs about n comparisons, while documents of
-different components that share a key are always compared.
+different components that share a key are always compared; those comparisons
+happen inside tasks and don't become rows.
 """
 
 from __future__ import annotations
@@ -35,14 +38,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 11, 21, 31, 2
+POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 11, 21, 28, 2
 #: Sets of ids of at most so many rows (8 bytes each) are sent to all executors.
 SENT_IDS = 500_000
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Words that a worker remembers before it begins anew.
 CACHE = 300_000
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**32, POSITIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -238,32 +242,104 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def _mixed(keys: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
+    """(key, id, part, low, hub, hub_part) for keys that hold several components."""
+    if links is None:
+        part = keys.withColumn("part", F.col("id"))
+    else:
+        part = keys.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    # The first hub of a key is its least class, later ones depend on the turn.
+    order = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
+    mixed = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(order.alias("o"), "id", "part")).alias("hub")).where("low < high")
+    return part.join(mixed.select("key", "low", F.col("hub.id").alias("hub"), F.col("hub.part").alias("hub_part")), "key")
+
+
 def near_links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect all that is linked."""
     keys = keys_of(members)
     several = keys.groupBy("key").count().where("count > 1").select("key")
     keys = stored(keys.join(several, "key"), "keys")
     links = tried = None
-    for turn in range(ROUNDS + 2):
-        if links is None:
-            part = keys.withColumn("part", F.col("id"))
-        else:
-            part = keys.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-        # The first hub of a key is its least class, later ones depend on the turn.
-        order = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
-        mixed = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(order.alias("o"), "id", "part")).alias("hub")).where("low < high")
-        part = part.join(mixed.select("key", "low", F.col("hub.id").alias("hub"), F.col("hub.part").alias("hub_part")), "key")
-        if turn <= ROUNDS:
-            pairs = part.where("part <> hub_part").select(F.col("hub").alias("x"), F.col("id").alias("y"))
-        else:
-            part = stored(part, "mixed")
-            x = part.where("part <> low").select("key", F.col("id").alias("x"), F.col("part").alias("px"))
-            y = part.select("key", F.col("id").alias("y"), F.col("part").alias("py"), "low")
-            pairs = x.join(y, "key").where("px <> py and (py = low or x < y)")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for turn in range(ROUNDS + 1):
+        pairs = _mixed(keys, links, turn).where("part <> hub_part").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(alike(pairs, members, percent), "alike")
         tried = pairs if tried is None else tried.union(pairs)
         new = confirm(pairs, docs, words, percent)
         links = stored(new if links is None else links.union(new), "links")
-    return links
+    # Each class once for each component that owns a key of it.
+    owned = _mixed(keys, links, 0).groupBy("low", "id", "part").agg(F.lit(1).alias("n")).drop("n")
+    owned = stored(owned.join(members, "id").select("low", "id", "part", "n_shingles", "signature"), "owned")
+    likely = _in_blocks(owned, F.lit(POSITIONS), lambda rows: _survivors(rows, percent), "low long, id long")
+    likely = stored(owned.join(likely.distinct(), ["low", "id"], "left_semi").select("low", "id", "part", "signature"), "likely")
+    ids = stored(likely.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    full = full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words)
+    last = _in_blocks(likely.join(full, "id"), F.octet_length("hashes"), lambda rows: _linked(rows, percent), "a long, b long")
+    return stored(links.union(last), "links")
+
+
+def _in_blocks(rows: DataFrame, size: Column, run, schema: str) -> DataFrame:
+    """Call ``run`` on each block of strays of a component with each block of all its classes.
+
+    ``rows`` is (low, id, part, ...); strays are not of the component ``low``.
+    """
+    side = F.when(F.col("part") != F.col("low"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    sided = stored(rows.withColumns({"_size": size.cast("long"), "_side": F.explode(side)}), "sided")
+    each = lambda k: F.greatest(F.ceil(F.count_if(F.col("_side") == k) / BLOCK), F.ceil(F.sum(F.when(F.col("_side") == k, F.col("_size")).otherwise(0)) / BLOCK_BYTES), F.lit(1))
+    blocks = sided.groupBy("low").agg(each(0).alias("_x"), each(1).alias("_y")).where("low is not null")
+    placed = sided.join(blocks, "low")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("_side") == 0, F.col("_x")).otherwise(F.col("_y"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("_side") == 0, F.col("_y")).otherwise(F.col("_x")).cast("int") - 1)
+    placed = placed.withColumn("_mine", mine).withColumn("_other", F.explode(others))
+    bx = F.when(F.col("_side") == 0, F.col("_mine")).otherwise(F.col("_other"))
+    by = F.when(F.col("_side") == 0, F.col("_other")).otherwise(F.col("_mine"))
+    placed = placed.withColumns({"_bx": bx, "_by": by}).select(*rows.columns, "_side", "_bx", "_by")
+    return placed.groupBy("low", "_bx", "_by").applyInArrow(run, schema)
+
+
+def _sides(rows: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
+    """Strays, all classes, and which pairs may be alike by signature and aren't connected yet."""
+    rows = rows.combine_chunks()
+    side = rows["_side"].to_numpy()
+    x, y = (rows.filter(pa.array(side == k)) for k in (0, 1))
+    sx, sy = (np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint8).reshape(-1, POSITIONS) for t in (x, y))
+    px, py, ix, iy = (t[c].to_numpy() for c in ("part", "id") for t in (x, y))
+    may = px[:, None] != py[None, :]
+    # Two strays meet twice; once is enough.
+    both = (px != x["low"].to_numpy())[:, None] & (py != y["low"].to_numpy())[None, :]
+    may &= ~both | (ix[:, None] < iy[None, :])
+    far = np.zeros(may.shape, np.uint8)
+    for k in range(POSITIONS):
+        far += sx[:, k, None] != sy[None, :, k]
+    return x, y, may & (far <= LIMIT)
+
+
+def _survivors(rows: pa.Table, percent: int) -> pa.Table:
+    x, y, may = _sides(rows)
+    nx, ny = (t["n_shingles"].to_numpy() for t in (x, y))
+    may &= 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
+    ids = np.concatenate([x["id"].to_numpy()[may.any(axis=1)], y["id"].to_numpy()[may.any(axis=0)]])
+    return pa.table({"low": pa.array(np.full(len(ids), rows["low"][0].as_py() if len(ids) else 0)), "id": pa.array(ids)})
+
+
+def _linked(rows: pa.Table, percent: int) -> pa.Table:
+    """One link for each stray and each component that it belongs to."""
+    x, y, may = _sides(rows)
+    of_y = [np.frombuffer(v.as_buffer(), np.uint64) for v in y["hashes"]]
+    ny = np.array([len(v) for v in of_y])
+    all_y, ends = (np.concatenate(of_y) if of_y else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(ny)])
+    part, ids, a, b = y["part"].to_numpy(), y["id"].to_numpy(), [], []
+    for k in np.flatnonzero(may.any(axis=1)):
+        mine = np.frombuffer(x["hashes"][int(k)].as_buffer(), np.uint64)
+        at = np.flatnonzero(may[k])
+        if 4 * len(at) < len(ny):
+            common = np.array([np.isin(of_y[j], mine, assume_unique=True).sum() for j in at])
+        else:
+            place = np.minimum(np.searchsorted(mine, all_y), len(mine) - 1)
+            common = np.diff(np.concatenate([[0], np.cumsum(mine[place] == all_y)])[ends])[at]
+        good = at[100 * common >= percent * (len(mine) + ny[at] - common)]
+        _, first = np.unique(part[good], return_index=True)
+        a += [x["id"][int(k)].as_py()] * len(first)
+        b += ids[good[first]].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
