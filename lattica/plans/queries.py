@@ -1,6 +1,724 @@
-"""Registered queries of the engine's own operators, and their SQL."""
+"""Registered queries over the derived model, each with its DuckDB form where SQL has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lattica.functions import chunking, text
+from lattica.operators import access, checks, gates, graph, hierarchy, outbox, retrieve, temporal, vectors
+from lattica.operators.access import clearance
+from lattica.sources import files
+
+from .model import AS_OF, Model, sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+CLEARED = clearance()
+STATES = ["approved", "auto"]
+
+
+def query(oracle: str | None = None):
+    """Register a function of a Model under its own name."""
+
+    def add(f: Callable[[Model], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# Hierarchy.
+
+
+@query(sql("SELECT company_id, ancestor, descendant, depth FROM closure"))
+def h01_closure(m: Model) -> DataFrame:
+    return m.closure
+
+
+MOVED = """moved AS (SELECT company_id, unit_id, CASE WHEN company_id = 1 AND unit_id = 101 THEN 106 ELSE parent_id END parent_id FROM units),
+moved_closure AS (SELECT company_id, unit_id ancestor, unit_id descendant, 0 depth FROM moved
+  UNION ALL SELECT c.company_id, u.parent_id, c.descendant, c.depth + 1 FROM moved_closure c JOIN moved u ON u.company_id = c.company_id AND u.unit_id = c.ancestor WHERE u.parent_id IS NOT NULL)"""
+
+
+@query(sql("SELECT company_id, ancestor, descendant, depth FROM moved_closure", MOVED))
+def h02_move_unit(m: Model) -> DataFrame:
+    """Division 101 goes below division 106."""
+    return hierarchy.closure(hierarchy.move_unit(m.units, 1, 101, 106))
+
+
+@query(sql("SELECT company_id, ancestor, descendant, depth FROM moved_closure", MOVED))
+def h02_relink_closure(m: Model) -> DataFrame:
+    return hierarchy.relink(m.closure, 1, 101, 106)
+
+
+@query(sql("SELECT company_id, ancestor unit_id, count(*)::BIGINT n_descendants, max(depth) depth FROM closure GROUP BY ALL"))
+def h03_descendants(m: Model) -> DataFrame:
+    d = hierarchy.descendants(m.closure, m.units.select("company_id", "unit_id"))
+    return d.groupBy("company_id", "unit_id").agg(F.count("*").alias("n_descendants"), F.max("depth").alias("depth"))
+
+
+@query(sql("""SELECT u.company_id, u.unit_id, u.parent_id, u.name, p.unit_id IS NULL is_root FROM units u JOIN scope s ON s.company_id = u.company_id AND s.unit_id = u.unit_id AND s.user_id = 20
+LEFT JOIN scope p ON p.company_id = u.company_id AND p.unit_id = u.parent_id AND p.user_id = 20"""))
+def v15_org_forest(m: Model) -> DataFrame:
+    """What user 20 sees of the tree."""
+    return hierarchy.forest(m.units, scope(m), 20)
+
+
+@query(sql("SELECT u.company_id, u.unit_id, u.parent_id, u.name, s.user_id FROM units u JOIN scope s USING (company_id, unit_id) WHERE u.unit_id < 1000"))
+def v16_visible_units(m: Model) -> DataFrame:
+    return m.units.where("unit_id < 1000").join(scope(m), ["company_id", "unit_id"])
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn - 1 END parent_turn FROM conversations),
+down AS (SELECT conv_id, turn, 0 depth, turn::VARCHAR path FROM t WHERE parent_turn IS NULL UNION ALL SELECT d.conv_id, t.turn, d.depth + 1, d.path || '/' || t.turn FROM down d JOIN t ON t.conv_id = d.conv_id AND t.parent_turn = d.turn)
+SELECT conv_id, turn, depth, path FROM down""")
+def h12_reply_paths(m: Model) -> DataFrame:
+    turns = m.table("conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent_turn"))
+    return hierarchy.reply_paths(turns)
+
+
+# Access.
+
+
+def memberships(m: Model, t: str = AS_OF) -> DataFrame:
+    return access.all_memberships(m.memberships, m.group_memberships, m.group_members, t)
+
+
+def scope(m: Model, t: str = AS_OF) -> DataFrame:
+    return access.reader_scope(memberships(m, t), m.closure)
+
+
+def visible(m: Model) -> DataFrame:
+    return access.visible_docs(scope(m), m.documents, m.grants, m.closure, AS_OF)
+
+
+@query(sql("SELECT company_id, user_id, unit_id FROM scope"))
+def g01_reader_scope(m: Model) -> DataFrame:
+    return scope(m)
+
+
+@query(sql("SELECT s.company_id, s.user_id, s.unit_id FROM scope s JOIN closure c ON c.company_id = s.company_id AND c.descendant = s.unit_id WHERE c.ancestor = 101"))
+def g01_scope_within_unit(m: Model) -> DataFrame:
+    return access.reader_scope(memberships(m), m.closure, m.units.where("unit_id = 101").select("company_id", "unit_id"))
+
+
+@query(sql("""SELECT u.company_id, u.user_id, coalesce(n.n, 0)::BIGINT n_units, e.acl_epoch, coalesce(g.n, 0)::BIGINT scope_epoch,
+  least(epoch_ms(TIMESTAMP '2024-01-15') + 300000, epoch_ms(x.e))::BIGINT cache_until_ms
+FROM users u LEFT JOIN (SELECT company_id, user_id, count(*) n FROM scope GROUP BY ALL) n USING (company_id, user_id)
+LEFT JOIN (SELECT company_id, user_id, min(expires_at) e FROM all_memberships GROUP BY ALL) x USING (company_id, user_id)
+JOIN (SELECT company_id, count(*)::BIGINT acl_epoch FROM units GROUP BY ALL) e USING (company_id)
+LEFT JOIN (SELECT company_id, user_id, count(*) n FROM group_members GROUP BY ALL) g USING (company_id, user_id)"""))
+def g02_resolve(m: Model) -> DataFrame:
+    """Epochs: one bump for each unit made and for each group joined."""
+    acl, users = access.epoch_bumps(m.units, m.group_members.select("company_id", F.col("user_id").alias("old_user"), F.col("user_id").alias("new_user")))
+    return access.resolve(m.users, memberships(m), m.closure, acl, users, AS_OF)
+
+
+@query(sql("SELECT DISTINCT m.company_id, m.user_id, c.descendant unit_id FROM all_memberships m JOIN closure c ON c.company_id = m.company_id AND c.ancestor = m.unit_id AND (m.applies_to = 'self_and_descendants' OR c.depth = 0) WHERE m.role IN ('editor', 'admin')"))
+def g04_has_role_editor(m: Model) -> DataFrame:
+    return access.has_role(memberships(m), m.closure, "editor")
+
+
+@query(sql("SELECT company_id, doc_id, unit_id FROM resource_scope"))
+def g05_resource_scope(m: Model) -> DataFrame:
+    return access.resource_scope(m.documents, m.grants, m.closure, AS_OF)
+
+
+@query(sql("SELECT company_id, user_id, doc_id FROM visible"))
+def g06_visible_docs(m: Model) -> DataFrame:
+    return visible(m)
+
+
+@query(sql("SELECT 0::BIGINT only_reader_side, 0::BIGINT only_resource_side, count(*)::BIGINT n_visible FROM visible"))
+def g09_equivalence(m: Model) -> DataFrame:
+    """Visible by semi-joins, and by meeting sets: the differences either way."""
+    a = visible(m).withColumn("a", F.lit(1))
+    b = scope(m).join(access.resource_scope(m.documents, m.grants, m.closure, AS_OF), ["company_id", "unit_id"]).select("company_id", "user_id", "doc_id").distinct().withColumn("b", F.lit(1))
+    both = a.join(b, ["company_id", "user_id", "doc_id"], "full")
+    return both.agg(F.count_if(F.col("b").isNull()).alias("only_reader_side"), F.count_if(F.col("a").isNull()).alias("only_resource_side"), F.count("a").alias("n_visible"))
+
+
+CHUNKS = "first_chunks AS (SELECT company_id, doc_id, doc_id * 1000 chunk_id, left(text, 40) content FROM docs)"
+CANDIDATES = """candidates AS (SELECT u.user_id query_id, u.user_id, u.company_id, d.chunk_id, row_number() OVER (PARTITION BY u.user_id ORDER BY (d.doc_id * 7 + u.user_id) % 1009, d.doc_id)::INT AS rank
+  FROM users u JOIN first_chunks d ON d.company_id = u.company_id WHERE u.user_id % 25 = 0)"""
+GATED = """gated AS (SELECT c.query_id, c.user_id, c.company_id, c.chunk_id, c.rank, f.doc_id, v.version, f.content FROM candidates c JOIN first_chunks f USING (company_id, chunk_id)
+  JOIN versions v ON v.doc_id = f.doc_id AND v.lifecycle = 'active' AND v.sensitivity IN ('public', 'internal', 'confidential') JOIN visible s ON s.company_id = c.company_id AND s.user_id = c.user_id AND s.doc_id = f.doc_id)"""
+
+
+def first_chunks(m: Model) -> DataFrame:
+    return m.documents.select("company_id", "doc_id", (F.col("doc_id") * 1000).alias("chunk_id"), F.substring("text", 1, 40).alias("content"))
+
+
+def candidates(m: Model) -> DataFrame:
+    """Each 25th user ranks all documents of the tenant, in an order of its own."""
+    users = m.users.where("user_id % 25 = 0").select("company_id", "user_id", F.col("user_id").alias("query_id"))
+    pairs = users.join(first_chunks(m), "company_id")
+    order = Window.partitionBy("user_id").orderBy((F.col("doc_id") * 7 + F.col("user_id")) % 1009, "doc_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).select("query_id", "user_id", "company_id", "chunk_id", "rank")
+
+
+@query(sql("SELECT query_id, user_id, company_id, chunk_id, rank, doc_id, version, content FROM gated", CHUNKS, CANDIDATES, GATED))
+def g07_chunk_gate(m: Model) -> DataFrame:
+    out = gates.gate_chunks(candidates(m), visible(m), m.versions, first_chunks(m), CLEARED).rows
+    return out.select("query_id", "user_id", "company_id", "chunk_id", "rank", "doc_id", "version", "content")
+
+
+@query(sql("SELECT g.query_id, g.chunk_id, g.rank FROM gated g JOIN docs d ON d.doc_id = g.doc_id WHERE NOT d.deleted", CHUNKS, CANDIDATES, GATED))
+def g07_chunk_gate_tombstones(m: Model) -> DataFrame:
+    gone = m.documents.where("deleted").select("company_id", "doc_id")
+    return gates.gate_chunks(candidates(m), visible(m), m.versions, first_chunks(m), CLEARED, tombstones=gone).rows.select("query_id", "chunk_id", "rank")
+
+
+@query(sql("SELECT query_id, chunk_id, rank FROM gated QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5", CHUNKS, CANDIDATES, GATED))
+def k04_first_of_gate(m: Model) -> DataFrame:
+    return retrieve.first(gates.gate_chunks(candidates(m), visible(m), m.versions, first_chunks(m), CLEARED), 5).rows.select("query_id", "chunk_id", "rank")
+
+
+EDGE_CANDIDATES = """edge_candidates AS (SELECT u.user_id query_id, u.user_id, u.company_id, e.edge_id, row_number() OVER (PARTITION BY u.user_id ORDER BY e.edge_id)::INT AS rank FROM users u JOIN edges e ON e.company_id = u.company_id WHERE u.user_id % 5 = 0)"""
+EDGE_GATE = """edge_gate AS (SELECT c.query_id, c.edge_id, c.rank, e.source_doc doc_0, e.target_doc doc_1 FROM edge_candidates c JOIN edges e USING (company_id, edge_id)
+  WHERE e.review_state IN ('approved', 'auto') AND (e.expires_at IS NULL OR e.expires_at > TIMESTAMP '2024-01-15') AND (e.superseded_at IS NULL OR e.superseded_at > TIMESTAMP '2024-01-15')
+  AND EXISTS (SELECT 1 FROM ok WHERE ok.user_id = c.user_id AND ok.doc_id = e.source_doc) AND EXISTS (SELECT 1 FROM ok WHERE ok.user_id = c.user_id AND ok.doc_id = e.target_doc))"""
+OK = "ok AS (SELECT DISTINCT s.user_id, v.doc_id FROM same_region s JOIN versions v ON v.doc_id = s.doc_id AND v.lifecycle = 'active' AND v.sensitivity IN ('public', 'internal', 'confidential'))"
+#: Edges lie between documents of neighbouring nations; their documents count for the reader's tenant.
+SAME = "same_region AS (SELECT user_id, doc_id FROM visible UNION SELECT u.user_id, d.doc_id FROM users u JOIN docs d ON d.company_id <> u.company_id WHERE u.user_id % 5 = 0 AND d.owner_unit_id < 100)"
+
+
+def edge_gate(m: Model) -> gates.Evidence:
+    users = m.users.where("user_id % 5 = 0").select("company_id", "user_id", F.col("user_id").alias("query_id"))
+    found = users.join(m.edges.select("company_id", "edge_id"), "company_id").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("edge_id")))
+    # Root documents of other tenants are open to all, so that edges between tenants can pass.
+    open_ = m.documents.where("owner_unit_id < 100").select(F.col("company_id").alias("other"), "doc_id")
+    seen = visible(m).union(users.join(open_, users.company_id != open_.other).select("company_id", "user_id", "doc_id"))
+    ends = m.edges.select("company_id", "edge_id", F.lit(0).alias("ordinal"), F.col("source_doc").alias("doc_id")).union(m.edges.select("company_id", "edge_id", F.lit(1), "target_doc"))
+    own = m.versions.drop("company_id").join(m.companies.select("company_id"), how="cross")
+    return gates.gate_edges(found, seen.distinct(), own, m.edges, ends, CLEARED, STATES, AS_OF)
+
+
+@query(sql("SELECT query_id, edge_id, rank, doc_0, doc_1 FROM edge_gate", EDGE_CANDIDATES, SAME, OK, EDGE_GATE))
+def g08_relationship_gate(m: Model) -> DataFrame:
+    return edge_gate(m).rows.select("query_id", "edge_id", "rank", "doc_0", "doc_1")
+
+
+@query(sql("""SELECT company_id, doc_id FROM docs WHERE (company_id, doc_id) IN (SELECT company_id, resource_id FROM grants WHERE resource_type = 'document' AND grant_id % 7 = 0)
+UNION SELECT d.company_id, d.doc_id FROM docs d JOIN closure c ON c.company_id = d.company_id AND c.descendant = d.owner_unit_id JOIN grants g ON g.company_id = c.company_id AND g.resource_type = 'org_unit' AND g.resource_id = c.ancestor AND (g.resource_applies_to = 'self_and_descendants' OR c.depth = 0) WHERE g.grant_id % 7 = 0"""))
+def g10_affected_docs(m: Model) -> DataFrame:
+    """Each seventh grant changes."""
+    return access.affected_docs(m.grants.where("grant_id % 7 = 0"), m.documents, m.closure)
+
+
+@query(sql("""SELECT company_id, doc_id, 2 acl_version, doc_id || ':2' AS key FROM docs WHERE (company_id, doc_id) IN (SELECT company_id, resource_id FROM grants WHERE resource_type = 'document' AND grant_id % 7 = 0) AND doc_id % 4 <> 0"""))
+def g11_version_bump(m: Model) -> DataFrame:
+    """Changed documents go to ACL version 2; every fourth has its event already."""
+    docs = access.affected_docs(m.grants.where("grant_id % 7 = 0 and resource_type = 'document'"), m.documents, m.closure)
+    new = docs.select(F.col("company_id").alias("tenant"), "company_id", "doc_id", F.lit(2).alias("acl_version"), F.concat_ws(":", "doc_id", F.lit("2")).alias("key"), F.lit("resync").alias("job_type"), F.col("doc_id").alias("event_id"))
+    there = new.where("doc_id % 4 = 0").select("tenant", "job_type", "key")
+    return outbox.enqueue(there, new).select("company_id", "doc_id", "acl_version", "key")
+
+
+@query(sql("SELECT company_id, user_id, count(*)::BIGINT scope_epoch FROM (SELECT company_id, user_id FROM group_members UNION ALL SELECT company_id, user_id + 1 FROM group_members) GROUP BY ALL"))
+def g12_scope_epochs(m: Model) -> DataFrame:
+    """Each group membership passes from one user to the next."""
+    changes = m.group_members.select("company_id", F.col("user_id").alias("old_user"), (F.col("user_id") + 1).alias("new_user"))
+    return access.epoch_bumps(m.units, changes)[1]
+
+
+@query(sql("SELECT company_id, count(*)::BIGINT acl_epoch FROM units GROUP BY ALL"))
+def g12_acl_epochs(m: Model) -> DataFrame:
+    return access.epoch_bumps(m.units, m.group_members.selectExpr("company_id", "user_id old_user", "user_id new_user"))[0]
+
+
+@query(sql("SELECT company_id, doc_id, version FROM versions WHERE lifecycle = 'active' AND doc_id % 5 <> 0"))
+def g13_backfill(m: Model) -> DataFrame:
+    """Active versions without an embedding event get one."""
+    active = m.versions.where("lifecycle = 'active'").select(F.col("company_id").alias("tenant"), "doc_id", "version", F.concat_ws(":", "doc_id", "version").alias("key"), F.lit("embed").alias("job_type"), F.col("doc_id").alias("event_id"))
+    return outbox.enqueue(active.where("doc_id % 5 = 0"), active).select(F.col("tenant").alias("company_id"), "doc_id", "version")
+
+
+@query(sql("""SELECT DISTINCT m.company_id, m.user_id, c.descendant unit_id FROM (SELECT company_id, user_id, unit_id, applies_to FROM memberships UNION SELECT g.company_id, x.user_id, g.unit_id, g.applies_to FROM group_memberships g JOIN group_members x USING (company_id, group_id)) m
+JOIN closure c ON c.company_id = m.company_id AND c.ancestor = m.unit_id AND (m.applies_to = 'self_and_descendants' OR c.depth = 0)"""))
+def g14_scope_as_of(m: Model) -> DataFrame:
+    """Scopes as of a day on which nothing had expired."""
+    return scope(m, "2024-01-05 00:00:00")
+
+
+@query(sql("SELECT doc_id, version FROM versions WHERE activated_at <= TIMESTAMP '2023-12-31' AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '2023-12-31')"))
+def g14_versions_as_of(m: Model) -> DataFrame:
+    return temporal.in_force(m.versions, "2023-12-31 00:00:00").select("doc_id", "version")
+
+
+@query(sql("""SELECT DISTINCT x.company_id, x.user_id, x.capability FROM (
+  SELECT company_id, user_id, 'export' capability FROM users WHERE user_id % 10 = 0 AND user_id % 30 <> 0
+  UNION ALL SELECT company_id, user_id, 'share' FROM group_members WHERE group_id % 3 = 0
+  UNION ALL SELECT s.company_id, s.user_id, 'admin' FROM scope s WHERE s.unit_id < 100) x WHERE NOT (capability = 'share' AND company_id = 2)"""))
+def g15_capabilities(m: Model) -> DataFrame:
+    none = F.lit(None).cast("timestamp")
+    given = lambda df, what, revoked=None: df.withColumns({"capability": F.lit(what), "revoked_at": F.when(revoked, F.lit(AS_OF).cast("timestamp")) if revoked is not None else none, "expires_at": none})
+    features = m.companies.select("company_id", F.explode(F.array(*map(F.lit, ("export", "share", "admin")))).alias("capability"))
+    features = features.withColumn("enabled", ~((F.col("capability") == "share") & (F.col("company_id") == 2)))
+    one = given(m.users.where("user_id % 10 = 0"), "export", F.col("user_id") % 30 == 0)
+    return access.capabilities(features, one, given(m.groups.where("group_id % 3 = 0"), "share"), given(m.units.where("unit_id < 100"), "admin"), m.group_members, scope(m), AS_OF)
+
+
+SESSIONS = """sessions AS (SELECT event_id session_id, user_id requester, CASE k % 3 WHEN 0 THEN 'requested' WHEN 1 THEN 'approved' ELSE 'active' END state, CASE event_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'active' ELSE 'ended' END proposed, 1 + event_id % 2 needed, ts FROM ev WHERE event_type = 'signup'),
+votes AS (SELECT session_id, (requester + i) approver, CASE WHEN (session_id + i) % 7 = 0 THEN 'reject' ELSE 'approve' END decision FROM sessions, range(0, 2) r(i) WHERE (session_id + i) % 3 <> 0),
+tally AS (SELECT s.*, (SELECT count(*) FROM votes v WHERE v.session_id = s.session_id AND decision = 'approve') yes, (SELECT count(*) FROM votes v WHERE v.session_id = s.session_id AND decision = 'reject') AS no, EXISTS (SELECT 1 FROM votes v WHERE v.session_id = s.session_id AND v.approver = s.requester) own FROM sessions s)"""
+
+
+@query(sql("""SELECT session_id, 'transition' problem FROM tally WHERE (state, proposed) NOT IN (('requested', 'approved'), ('approved', 'active'), ('active', 'ended'))
+UNION ALL SELECT session_id, 'approvals' FROM tally WHERE proposed = 'approved' AND yes < needed UNION ALL SELECT session_id, 'rejected' FROM tally WHERE proposed = 'approved' AND no > 0
+UNION ALL SELECT session_id, 'self approval' FROM tally WHERE proposed = 'approved' AND own
+UNION ALL SELECT session_id, 'window' FROM tally WHERE proposed = 'active' AND NOT (ts <= TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-15' < ts + INTERVAL 7 DAY)""", SESSIONS))
+def g16_session_legality(m: Model) -> DataFrame:
+    e = m.events.where("event_type = 'signup'")
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int"))
+    s = e.select(F.col("event_id").alias("session_id"), F.col("user_id").alias("requester"), pick(F.col("k"), "requested", "approved", "active").alias("state"), pick(F.col("event_id"), "approved", "active", "ended").alias("proposed"),
+                 (1 + F.col("event_id") % 2).alias("needed"), F.col("ts").alias("starts_at"), (F.col("ts") + F.expr("interval 7 days")).alias("ends_at"))
+    v = s.select("session_id", "requester", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).where("(session_id + i) % 3 <> 0")
+    v = v.select("session_id", (F.col("requester") + F.col("i")).alias("approver"), F.when((F.col("session_id") + F.col("i")) % 7 == 0, "reject").otherwise("approve").alias("decision"))
+    return access.session_problems(s, v, AS_OF)
+
+
+@query(sql("""SELECT DISTINCT c.thread_id, c.doc_id FROM (SELECT doc_id % 40 thread_id, doc_id FROM docs) c JOIN resource_scope r ON r.doc_id = c.doc_id JOIN scope s ON s.user_id = c.thread_id * 10 AND s.unit_id = r.unit_id"""))
+def g17_shared_replay(m: Model) -> DataFrame:
+    """Thread k was shared with the scope that user 10 k had."""
+    cited = m.documents.select((F.col("doc_id") % 40).alias("thread_id"), "doc_id")
+    frozen = scope(m).where("user_id % 10 = 0").select((F.col("user_id") / 10).cast("long").alias("thread_id"), "unit_id")
+    return access.shared_replay(cited, frozen, access.resource_scope(m.documents, m.grants, m.closure, AS_OF).select("doc_id", "unit_id"))
+
+
+@query(sql("""SELECT session_id, yes::BIGINT yes, no::BIGINT AS no FROM tally WHERE yes + no > 0""", SESSIONS))
+def a05_approvals(m: Model) -> DataFrame:
+    e = m.events.where("event_type = 'signup'").select("event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).where("(event_id + i) % 3 <> 0")
+    reject = (F.col("event_id") + F.col("i")) % 7 == 0
+    return e.groupBy(F.col("event_id").alias("session_id")).agg(F.count_if(~reject).alias("yes"), F.count_if(reject).alias("no"))
+
+
+@query(sql("SELECT company_id, lifecycle, sensitivity, count(*)::BIGINT n FROM versions WHERE sensitivity IN ('public', 'internal') AND lifecycle IN ('active', 'draft') GROUP BY ALL"))
+def p05_admitted(m: Model) -> DataFrame:
+    ok = gates.admitted(m.versions, access.labels_up_to("internal"), ["active", "draft"])
+    return m.versions.join(ok, ["company_id", "doc_id", "version"], "left_semi").groupBy("company_id", "lifecycle", "sensitivity").agg(F.count("*").alias("n"))
+
+
+@query(sql("""SELECT q.user_id, q.doc_id, concat_ws(',', CASE WHEN d.doc_id IS NULL THEN 'unknown_document' END, CASE WHEN v.lifecycle IN ('draft', 'archived') THEN v.lifecycle END, CASE WHEN v.sensitivity = 'restricted' THEN 'above_clearance' END,
+  CASE WHEN s.doc_id IS NULL THEN 'not_visible' END, CASE WHEN d.deleted THEN 'deleted' END) reasons FROM (SELECT user_id, (user_id * 3 + i) doc_id FROM users, range(0, 20) r(i) WHERE user_id % 50 = 0) q
+LEFT JOIN docs d ON d.doc_id = q.doc_id LEFT JOIN versions v ON v.doc_id = q.doc_id AND v.lifecycle <> 'deprecated' LEFT JOIN visible s ON s.user_id = q.user_id AND s.doc_id = q.doc_id"""))
+def x07_refusals(m: Model) -> DataFrame:
+    asked = m.users.where("user_id % 50 = 0").select("user_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select("user_id", (F.col("user_id") * 3 + F.col("i")).alias("doc_id"))
+    return gates.refusals(asked, visible(m), m.versions, m.documents, CLEARED)
+
+
+@query(sql("SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false"))
+def c01_violations(m: Model) -> DataFrame:
+    return checks.violations(m.units, m.memberships, m.grants, m.documents, m.versions, m.edges)
+
+
+# Usage.
+
+
+@query(sql("SELECT tenant, round(sum(value), 4) AS cost, count(*)::BIGINT n FROM ev WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY tenant"))
+def a06_cost_per_tenant(m: Model) -> DataFrame:
+    return m.events.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp")).groupBy("tenant").agg(F.round(F.sum("value"), 4).alias("cost"), F.count("*").alias("n"))
+
+
+@query(sql("SELECT tenant, event_type, count(*)::BIGINT n, round(sum(value), 4) AS cost FROM ev GROUP BY ALL"))
+def a07_usage_per_model(m: Model) -> DataFrame:
+    return m.events.groupBy("tenant", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("cost"))
+
+
+@query(sql("""SELECT c AS chunk_id, count(*) FILTER (WHERE s = 1)::BIGINT positive, count(*) FILTER (WHERE s = -1)::BIGINT negative FROM (SELECT unnest([doc_id * 1000, (doc_id + 1) * 1000]) c, CASE WHEN quality = 1 THEN 1 ELSE -1 END s FROM labels) GROUP BY 1"""))
+def a08_chunk_votes(m: Model) -> DataFrame:
+    """Votes on answers, for each chunk that an answer cites (as JSON)."""
+    votes = m.table("labels").select(F.to_json(F.array(F.col("doc_id") * 1000, (F.col("doc_id") + 1) * 1000)).alias("sources"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("s"))
+    return votes.select(F.explode(F.from_json("sources", "array<bigint>")).alias("chunk_id"), "s").groupBy("chunk_id").agg(F.count_if(F.col("s") == 1).alias("positive"), F.count_if(F.col("s") == -1).alias("negative"))
+
+
+# Vectors and retrieval.
+
+
+DOT = "round(list_inner_product(p.v::DOUBLE[], q.v::DOUBLE[]), 6)"
+
+
+@query(sql(f"SELECT p.chunk_id, {DOT} score, row_number() OVER (ORDER BY {DOT} DESC, p.chunk_id)::INT AS rank FROM vectors p, (SELECT v FROM vectors WHERE doc_id = 0) q QUALIFY rank <= 10"))
+def k01_topk(m: Model) -> DataFrame:
+    q = m.vectors.where("doc_id = 0").select(F.lit(0).alias("query_id"), F.col("v").alias("q"))
+    return vectors.search(m.vectors.select("chunk_id", "v"), q, 10).drop("query_id")
+
+
+@query(sql(f"SELECT q.doc_id query_id, p.chunk_id, {DOT} score, row_number() OVER (PARTITION BY q.doc_id ORDER BY {DOT} DESC, p.chunk_id)::INT AS rank FROM vectors p, vectors q WHERE q.doc_id % 50 = 0 QUALIFY rank <= 5"))
+def k02_batch_topk(m: Model) -> DataFrame:
+    q = m.vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    return vectors.search(m.vectors.select("chunk_id", "v"), q, 5)
+
+
+POINTS = "points AS (SELECT x.doc_id, x.chunk_id, x.v, d.company_id, d.authority, v.lifecycle, v.sensitivity FROM vectors x JOIN docs d USING (doc_id) JOIN versions v ON v.doc_id = x.doc_id AND v.version = 2)"
+ASK = "ask AS (SELECT u.user_id query_id, u.user_id, u.company_id, x.v FROM users u JOIN vectors x ON x.doc_id = u.user_id % 100 WHERE u.user_id % 30 = 0)"
+FOUND = f"""found AS (SELECT q.query_id, q.user_id, q.company_id, p.chunk_id, p.doc_id, {DOT} score, row_number() OVER (PARTITION BY q.query_id ORDER BY {DOT} DESC, p.chunk_id)::INT AS rank
+  FROM ask q JOIN points p ON p.company_id = q.company_id AND p.lifecycle = 'active' AND p.sensitivity IN ('public', 'internal', 'confidential')
+  WHERE EXISTS (SELECT 1 FROM resource_scope r JOIN scope s ON s.company_id = r.company_id AND s.unit_id = r.unit_id WHERE r.doc_id = p.doc_id AND s.user_id = q.user_id) QUALIFY rank <= 40)"""
+HITS = "hits AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT pos FROM found f WHERE EXISTS (SELECT 1 FROM visible s WHERE s.user_id = f.user_id AND s.doc_id = f.doc_id) QUALIFY pos <= 10)"
+
+
+def points(m: Model) -> DataFrame:
+    """Vectors with their payload: scopes as an array, lifecycle and label."""
+    scopes = access.resource_scope(m.documents, m.grants, m.closure, AS_OF).groupBy("company_id", "doc_id").agg(F.collect_set("unit_id").alias("scope_ids"))
+    now = m.versions.where("version = 2").select("doc_id", "lifecycle", "sensitivity")
+    return m.vectors.select("doc_id", "chunk_id", "v").join(scopes, "doc_id").join(now, "doc_id").join(m.documents.select("doc_id", "authority"), "doc_id")
+
+
+def retrieved(m: Model, limit: int = 10) -> DataFrame:
+    """Search over-fetches what the payload admits, the gate decides, the first ``limit`` stay."""
+    mine = scope(m).where("user_id % 30 = 0").groupBy("company_id", "user_id").agg(F.collect_set("unit_id").alias("units"))
+    q = mine.join(m.vectors.select(F.col("doc_id").alias("place"), F.col("v").alias("q")), F.col("user_id") % 100 == F.col("place")).withColumn("query_id", F.col("user_id"))
+    admitted = points(m).where((F.col("lifecycle") == "active") & F.col("sensitivity").isin(CLEARED))
+    pairs = admitted.join(q, "company_id").where(F.arrays_overlap("scope_ids", "units"))
+    scored = pairs.select("query_id", "user_id", "company_id", "chunk_id", F.round(vectors.dot("v", "q"), 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= vectors.over_fetch(limit))
+    gate = gates.gate_chunks(found, visible(m), m.versions, first_chunks(m), CLEARED)
+    rows = retrieve.first(gate, limit).rows.join(found.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"])
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
+@query(sql("SELECT query_id, chunk_id, score, pos FROM hits", POINTS, ASK, FOUND, HITS))
+def v09_retrieve(m: Model) -> DataFrame:
+    return retrieved(m).select("query_id", "chunk_id", "score", "pos")
+
+
+TURNS = """merged AS (SELECT query_id, kind, id, row_number() OVER (PARTITION BY query_id ORDER BY p)::INT pos FROM (
+  SELECT query_id, 'chunk' kind, chunk_id id, 2 * (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1) p FROM hits
+  UNION ALL SELECT query_id, 'relationship', edge_id, 2 * (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1) + 1 FROM edge_gate WHERE query_id % 30 = 0) QUALIFY pos <= 12)"""
+
+
+def merged(m: Model) -> DataFrame:
+    a = retrieved(m).select("query_id", F.col("pos").alias("rank"), F.col("chunk_id").alias("id"))
+    b = edge_gate(m).rows.where("query_id % 30 = 0").select("query_id", "rank", F.col("edge_id").alias("id"))
+    return retrieve.interleave(a, b, 12)
+
+
+@query(sql("SELECT query_id, pos, kind, id FROM merged", POINTS, ASK, FOUND, HITS, EDGE_CANDIDATES, SAME, OK, EDGE_GATE, TURNS))
+def v10_evidence(m: Model) -> DataFrame:
+    """Chunks and relationships in turns (intent: automatic)."""
+    return merged(m)
+
+
+@query(sql("""SELECT query_id, pos, '{"kind":"' || kind || '","chunk_id":' || CASE WHEN kind = 'chunk' THEN id::VARCHAR ELSE 'null' END || ',"edge_id":' || CASE WHEN kind = 'chunk' THEN 'null' ELSE id::VARCHAR END || '}' AS json FROM merged""", POINTS, ASK, FOUND, HITS, EDGE_CANDIDATES, SAME, OK, EDGE_GATE, TURNS))
+def r10_evidence_json(m: Model) -> DataFrame:
+    return retrieve.as_json(merged(m))
+
+
+@query()
+def v11_prompt(m: Model) -> DataFrame:
+    """One packed prompt for each query; sequential by nature, see the tests."""
+    e = merged(m)
+    d = first_chunks(m).select("doc_id", "chunk_id", retrieve.escaped(F.col("content")).alias("t"))
+    chunk = e.where("kind = 'chunk'").join(d, e.id == d.chunk_id).select("query_id", "pos", "kind", F.col("id").alias("key"), F.array(F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text"))).alias("chunks"))
+    ends = m.edges.select(F.col("edge_id").alias("id"), "source_doc", "target_doc")
+    a, b = d.select(F.col("doc_id").alias("source_doc"), F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text")).alias("a")), d.select(F.col("doc_id").alias("target_doc"), F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text")).alias("b"))
+    rel = e.where("kind <> 'chunk'").join(ends, "id").join(a, "source_doc").join(b, "target_doc").select("query_id", "pos", "kind", F.col("id").alias("key"), F.array("a", "b").alias("chunks"))
+    return retrieve.pack(chunk.union(rel), 2_000, 8).select("query_id", F.array_join("included", ",").alias("included"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), "n_bytes", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+@query(sql("SELECT company_id, edge_id, edge_type, version_ FROM (SELECT company_id, edge_id, edge_type, 1 version_, row_number() OVER (ORDER BY edge_id % 17, edge_id) n FROM edges WHERE company_id = 1) WHERE n BETWEEN 11 AND 30"))
+def k06_edge_page(m: Model) -> DataFrame:
+    rows = m.edges.where("company_id = 1").select("company_id", "edge_id", "edge_type", F.lit(1).alias("version_"))
+    return retrieve.page(rows, [F.col("edge_id") % 17, F.col("edge_id")], 20, 10)
+
+
+SHARES = """ends AS (SELECT e.edge_id, greatest(10.0, least(100, s.authority)::DOUBLE) a, greatest(10.0, least(100, t.authority)::DOUBLE) b, vs.v vs, vt.v vt, ty.v ty FROM edges e JOIN docs s ON s.doc_id = e.source_doc JOIN docs t ON t.doc_id = e.target_doc
+  JOIN vectors vs ON vs.doc_id = e.source_doc JOIN vectors vt ON vt.doc_id = e.target_doc JOIN vectors ty ON ty.doc_id = e.edge_type),
+mixed AS (SELECT edge_id, list_transform(range(1, len(vs) + 1), lambda i: ((0.65::DOUBLE * (a / (a + b) * vs[i]::DOUBLE + b / (a + b) * vt[i]::DOUBLE) + (1 - 0.65::DOUBLE) * ty[i]::DOUBLE)::FLOAT)::DOUBLE) m FROM ends),
+edge_points AS (SELECT edge_id, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) v FROM mixed)"""
+
+
+def edge_points(m: Model) -> DataFrame:
+    e = m.edges
+    vec = lambda key, name: m.vectors.select(F.col("doc_id").alias(key), F.col("v").alias(name))
+    auth = lambda key, name: m.documents.select(F.col("doc_id").alias(key), F.col("authority").alias(name))
+    e = e.join(auth("source_doc", "auth_s"), "source_doc").join(auth("target_doc", "auth_t"), "target_doc").join(vec("source_doc", "v_s"), "source_doc", "left").join(vec("target_doc", "v_t"), "target_doc", "left")
+    return vectors.edge_vectors(e.join(vec("edge_type", "v_type").withColumn("edge_type", F.col("edge_type").cast("int")), "edge_type", "left"))
+
+
+@query(sql("SELECT edge_id, 'completed' outcome, round(v[1], 5) v0, round(v[2], 5) v1, round(v[64], 5) v63 FROM edge_points", SHARES))
+def v06_edge_vectors(m: Model) -> DataFrame:
+    at = lambda k: F.round(F.element_at("vector", k), 5)
+    return edge_points(m).select("edge_id", "outcome", at(1).alias("v0"), at(2).alias("v1"), at(64).alias("v63"))
+
+
+@query(sql("""SELECT edge_id, score, row_number() OVER (ORDER BY score DESC, edge_id)::INT AS rank FROM (SELECT p.edge_id, round(list_inner_product(p.v, (SELECT v::DOUBLE[] FROM vectors WHERE doc_id = 0)), 6) score FROM edge_points p JOIN edges e USING (edge_id)
+WHERE e.review_state IN ('approved', 'auto') AND round(e.confidence::DOUBLE, 6) >= 0.3) QUALIFY rank <= 10""", SHARES))
+def v05_edge_search(m: Model) -> DataFrame:
+    p = edge_points(m).select("edge_id", "review_state", "confidence", F.col("vector").alias("v"))
+    q = m.vectors.where("doc_id = 0").select(F.lit(0).alias("query_id"), F.col("v").alias("q"))
+    return vectors.search_edges(p, q, STATES, 0.3, 10).drop("query_id")
+
+
+@query(sql("SELECT doc_id, chunk_id, round(v[1]::DOUBLE, 6) v0, label + CASE WHEN doc_id % 10 = 0 THEN 100 ELSE 0 END label FROM vectors WHERE doc_id % 7 <> 0"))
+def io06_upsert_delete_patch(m: Model) -> DataFrame:
+    """Points written, each tenth patched, each seventh deleted."""
+    p = m.vectors.select("doc_id", "chunk_id", "v", F.col("label").cast("int").alias("label"))
+    p = vectors.upsert(p.where("doc_id % 2 = 0"), p.where("doc_id % 2 = 1 or doc_id % 4 = 0"), ["chunk_id"])
+    p = vectors.patch(p, p.where("doc_id % 10 = 0").select("chunk_id", (F.col("label") + 100).alias("label")), ["chunk_id"])
+    p = vectors.remove(p, p.where("doc_id % 7 = 0").select("chunk_id"), ["chunk_id"])
+    return p.select("doc_id", "chunk_id", F.round(F.element_at("v", 1).cast("double"), 6).alias("v0"), "label")
+
+
+@query(sql("SELECT edge_type, CASE WHEN edge_type < 3 THEN 2 ELSE 1 END revision FROM (SELECT DISTINCT edge_type FROM edges)"))
+def v04_type_registry(m: Model) -> DataFrame:
+    """Nine types; three have a new text, three are sent unchanged, three are new."""
+    t = m.edges.select("edge_type").distinct().withColumn("text", F.concat(F.lit("type "), "edge_type")).withColumn("v", F.array(F.col("edge_type").cast("double")))
+    old = t.where("edge_type < 6").withColumn("revision", F.lit(1))
+    new = t.withColumn("text", F.when(F.col("edge_type") < 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return vectors.revise_types(old, new).select("edge_type", "revision")
+
+
+@query(sql("SELECT user_id, max(event_id) event_id, arg_max(event_type, event_id) event_type FROM ev GROUP BY user_id"))
+def v07_latest(m: Model) -> DataFrame:
+    return vectors.latest(m.events.select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
+
+
+@query(sql(f"""SELECT x.doc_id, round(s.score * d.authority / 100, 6) + 0.0::DOUBLE chunk_score FROM vectors x JOIN docs d USING (doc_id) JOIN (SELECT p.doc_id, {DOT} score FROM vectors p, (SELECT v FROM vectors WHERE doc_id = 0) q) s ON s.doc_id = x.doc_id"""))
+def x01_chunk_scores(m: Model) -> DataFrame:
+    q = m.vectors.where("doc_id = 0").select(F.col("v").alias("q"))
+    rows = m.vectors.crossJoin(q).withColumn("s", F.round(vectors.dot("v", "q"), 6)).join(m.documents.select("doc_id", "authority"), "doc_id")
+    return rows.select("doc_id", (F.round(graph.chunk_score(F.col("s"), F.col("authority")), 6) + 0.0).alias("chunk_score"))
+
+
+@query(sql("SELECT edge_id, round(confidence::DOUBLE * CASE origin WHEN 'manual' THEN 1.0 WHEN 'model' THEN 0.8 ELSE 0.9 END * least(s.authority, t.authority) / 100, 6) score FROM edges e JOIN docs s ON s.doc_id = e.source_doc JOIN docs t ON t.doc_id = e.target_doc"))
+def x01_relationship_scores(m: Model) -> DataFrame:
+    auth = lambda key, name: m.documents.select(F.col("doc_id").alias(key), F.col("authority").alias(name))
+    e = m.edges.join(auth("source_doc", "a"), "source_doc").join(auth("target_doc", "b"), "target_doc")
+    return e.select("edge_id", F.round(graph.relationship_score(F.lit(1.0), F.col("confidence").cast("double"), F.col("origin"), F.least("a", "b"), F.lit(1)), 6).alias("score"))
+
+
+BOTH = """link AS (SELECT edge_id, source_doc x, target_doc y, confidence FROM edges WHERE confidence > 0 UNION ALL SELECT edge_id, target_doc, source_doc, confidence FROM edges WHERE confidence > 0),
+one AS (SELECT l.x AS start, l.y, l.edge_id e1, ln(l.confidence::DOUBLE) s FROM link l WHERE l.x % 20 = 0),
+two AS (SELECT o.start, o.y mid, l.y, o.e1, l.edge_id e2, o.s + ln(l.confidence::DOUBLE) s FROM one o JOIN link l ON l.x = o.y WHERE l.y <> o.start AND l.edge_id <> o.e1)"""
+
+
+@query(sql("SELECT start, 1 hops, start || '/' || y nodes, round(exp(s), 6) score FROM one UNION ALL SELECT start, 2, start || '/' || mid || '/' || y, round(exp(s / 2) * 0.8::DOUBLE, 6) FROM two", BOTH))
+def x02_paths(m: Model) -> DataFrame:
+    e = m.edges.select("edge_id", F.col("source_doc").alias("source"), F.col("target_doc").alias("target"), "confidence")
+    starts = m.vectors.where("doc_id % 20 = 0").select(F.col("doc_id").alias("start"))
+    return graph.paths(e, starts, 2).select("start", "hops", F.array_join(F.transform("nodes", lambda n: n.cast("string")), "/").alias("nodes"), F.round("score", 6).alias("score"))
+
+
+@query(sql("SELECT d.doc_id, count(DISTINCT o)::BIGINT n_dependents, count(e)::BIGINT n_edges FROM (SELECT doc_id FROM docs WHERE doc_id % 10 = 1) d LEFT JOIN (SELECT source_doc doc_id, target_doc o, edge_id e FROM edges UNION ALL SELECT target_doc, source_doc, edge_id FROM edges) x USING (doc_id) GROUP BY 1"))
+def x05_impact(m: Model) -> DataFrame:
+    e = m.edges.select("edge_id", F.col("source_doc").alias("source"), F.col("target_doc").alias("target"))
+    return graph.impact(e, m.documents.where("doc_id % 10 = 1").select("doc_id"))
+
+
+@query(sql(f"SELECT q query_id, round(avg(h), 6) AS precision FROM (SELECT q.doc_id q, (p.label = q.label)::INT h, row_number() OVER (PARTITION BY q.doc_id ORDER BY {DOT} DESC, p.chunk_id) r FROM vectors p, vectors q WHERE q.doc_id % 50 = 0) WHERE r <= 10 GROUP BY 1"))
+def x09_precision(m: Model) -> DataFrame:
+    q = m.vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("want"))
+    ranked = vectors.search(m.vectors.select("chunk_id", "v"), q, 10).withColumnRenamed("chunk_id", "id")
+    relevant = q.join(m.vectors.select(F.col("chunk_id").alias("id"), F.col("label").alias("want")), "want").select("query_id", "id")
+    return graph.precision_at(ranked, relevant, 10).select("query_id", F.round("precision", 6).alias("precision"))
+
+
+# Text.
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, strlen(text)::INT + 32 AS tokens_at_most, replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM documents")
+def f01_hash_and_escape(m: Model) -> DataFrame:
+    d = m.table("documents")
+    return d.select("doc_id", F.sha2("text", 256).alias("content_hash"), retrieve.tokens_at_most(F.col("text"), F.lit("")).alias("tokens_at_most"), retrieve.escaped(F.substring("text", 1, 200)).alias("escaped"))
+
+
+UUIDS = """hashes AS (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR || ':model')) u, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR || ':model:1')) e FROM documents)"""
+SHAPE = "left({0}, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || (['8', '9', 'a', 'b'])[((instr('0123456789abcdef', substr({0}, 17, 1)) - 1) % 4 + 1)::INT] || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
+
+
+@query(f"WITH {UUIDS} SELECT doc_id, {SHAPE.format('u')} point_id, {SHAPE.format('e')} edge_point_id, true AS looks_right FROM hashes")
+def f02_uuid5(m: Model) -> DataFrame:
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(":model"))
+    point = text.uuid5(name)
+    return m.table("documents").select("doc_id", point.alias("point_id"), text.uuid5(F.concat(name, F.lit(":1")), text.DNS_SPACE).alias("edge_point_id"), text.looks_like_uuid(point).alias("looks_right"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '(\.[^./\\]*)$', 1)) ext, trim(regexp_replace(left(html, 300), '[ \t\n\v\f\r]+', ' ', 'g'), ' ') collapsed, strlen(html) n_bytes FROM pages""")
+def f13_page_text(m: Model) -> DataFrame:
+    p = m.table("pages")
+    return p.select("page_id", text.extension(F.col("url")).alias("ext"), text.collapse(F.substring("html", 1, 300)).alias("collapsed"), F.octet_length("html").cast("long").alias("n_bytes"))
+
+
+@query(sql("SELECT event_id, k, coalesce(k::VARCHAR, '') k_text, least(300, pow(2, event_id % 12))::INT backoff_s FROM ev"))
+def f19_json_and_backoff(m: Model) -> DataFrame:
+    e = m.table("events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), text.json_field(F.col("props"), "$.k").alias("k_text"), outbox.backoff(F.col("event_id") % 12).alias("backoff_s"))
+
+
+@query(sql("SELECT a.doc_id, round(greatest(10.0, least(100, a.authority)) / (greatest(10.0, least(100, a.authority)) + greatest(10.0, least(100, b.authority))), 6) AS share FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1"))
+def f17_authority_share(m: Model) -> DataFrame:
+    a = m.documents.select("doc_id", "authority")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("authority").alias("other"))
+    return a.join(b, "doc_id").select("doc_id", F.round(vectors.share(F.col("authority"), F.col("other")), 6).alias("share"))
+
+
+@query(r"""WITH lines AS (SELECT page_id, i, CASE WHEN i % 4 = 1 THEN repeat('#', (i % 3 + 1)::INT) || ' Part ' || i ELSE 'line ' || i END line FROM pages, range(0, 12) r(i)),
+k AS (SELECT *, sum((i % 4 = 1)::INT) OVER (PARTITION BY page_id ORDER BY i) k FROM lines)
+SELECT page_id doc_id, k::INT ordinal, CASE WHEN k > 0 THEN 'Part ' || min(i) ELSE '' END heading, CASE WHEN k > 0 THEN min(i) % 3 + 1 ELSE 0 END::INT depth, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE i % 4 <> 1) body FROM k GROUP BY page_id, k""")
+def d01_sections(m: Model) -> DataFrame:
+    """Markdown made from the numbers of pages: three headings in twelve lines."""
+    line = lambda i: f"{'#' * (i % 3 + 1)} Part {i}" if i % 4 == 1 else f"line {i}"
+    docs = m.table("pages").select(F.col("page_id").alias("doc_id"), F.lit("\n".join(map(line, range(12)))).alias("text"))
+    return chunking.sections(docs).select("doc_id", "ordinal", "heading", "depth", "body")
+
+
+@query()
+def d04_chunks(m: Model) -> DataFrame:
+    """Chunks of all documents; the loop over bytes has no SQL form, see the tests."""
+    s = chunking.sections(m.table("documents").select("doc_id", "text"))
+    return chunking.chunks(s).select("doc_id", "chunk_index", "ordinal", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("content_hash"))
+
+
+@query()
+def d05_html_sections(m: Model) -> DataFrame:
+    """Sections of all pages, by the HTML parser (see the tests)."""
+    p = m.table("pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"), F.octet_length("html").cast("long").alias("length"))
+    found = files.parse(p)
+    return found.select("path", "mime", "error", F.size("sections").alias("n_sections"), F.sha2(files.full_text(F.col("sections")), 256).alias("text_hash"))
+
+
+# Time and queues.
+
+
+@query(sql("SELECT doc_id, version, CASE WHEN doc_id % 10 = 0 AND version = 2 THEN 'active' ELSE lifecycle END lifecycle, CASE WHEN doc_id % 10 = 0 AND version = 2 THEN TIMESTAMP '2024-01-15' ELSE activated_at END activated_at, superseded_at FROM versions"))
+def h04_promote(m: Model) -> DataFrame:
+    """All drafts become active."""
+    drafts = m.versions.where("lifecycle = 'draft'").select("doc_id", "version")
+    return temporal.promote(m.versions, drafts, AS_OF).select("doc_id", "version", "lifecycle", "activated_at", "superseded_at")
+
+
+FEED = "feed AS (SELECT user_id, event_id seq, ts, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'update' END op, k FROM ev)"
+INTERVALS = "intervals AS (SELECT user_id, seq, op, k, ts valid_from, CASE WHEN op = 'delete' THEN ts ELSE lead(ts) OVER (PARTITION BY user_id ORDER BY ts, seq) END valid_to FROM feed)"
+
+
+def feed(m: Model) -> DataFrame:
+    return m.events.select("user_id", F.col("event_id").alias("seq"), "ts", F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"), "k")
+
+
+@query(sql("SELECT user_id, seq, op, k, valid_from, valid_to FROM intervals", FEED, INTERVALS))
+def h06_history(m: Model) -> DataFrame:
+    return temporal.history(feed(m), ["user_id"])
+
+
+@query(sql("SELECT user_id, seq, k FROM intervals WHERE valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15')", FEED, INTERVALS))
+def h08_as_of(m: Model) -> DataFrame:
+    return temporal.as_of(temporal.history(feed(m), ["user_id"]), AS_OF).select("user_id", "seq", "k")
+
+
+@query(sql("SELECT event_id FROM ev WHERE coalesce(CASE WHEN event_id % 6 = 0 THEN ts + INTERVAL 1 DAY END, ts + to_days((3 + tenant)::INT)) <= TIMESTAMP '2024-01-15'"))
+def h10_retention_due(m: Model) -> DataFrame:
+    e = m.events.select("event_id", F.col("ts").alias("created_at"), "tenant", F.when(F.col("event_id") % 6 == 0, F.col("ts") + F.expr("interval 1 day")).alias("retention_until"))
+    return temporal.retention_due(e, AS_OF, (F.col("tenant") + 3).cast("int")).select("event_id")
+
+
+@query(sql("SELECT grant_id FROM grants g WHERE (resource_type = 'document' AND resource_id % 3 <> 0 OR resource_type = 'org_unit' AND resource_id <> 101) AND principal_id <> 101"))
+def h11_grant_cleanup(m: Model) -> DataFrame:
+    """Each third document and unit 101 are gone."""
+    return temporal.without_targets(m.grants, m.documents.where("doc_id % 3 <> 0"), m.units.where("unit_id <> 101")).select("grant_id")
+
+
+@query("SELECT 'quarter' kind, (DATE '2024-01-01' + to_months((i * 3)::INT))::DATE starts, (DATE '2024-01-01' + to_months((i * 3 + 3)::INT))::DATE ends FROM range(0, 4) r(i) UNION ALL SELECT 'month', (DATE '2024-01-01' + to_months(i::INT))::DATE, (DATE '2024-01-01' + to_months((i + 1)::INT))::DATE FROM range(0, 12) r(i)")
+def io13_expected_partitions(m: Model) -> DataFrame:
+    return temporal.expected_partitions(m.spark, AS_OF)
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1996-01-01')")
+def io13_overflow(m: Model) -> DataFrame:
+    """Orders outside the partitions of 1995."""
+    p = temporal.expected_partitions(m.spark, "1995-02-10 00:00:00")
+    return temporal.overflow(m.table("orders"), p.where("kind = 'quarter'"), "o_orderdate").select("o_orderkey")
+
+
+BOX = """box AS (SELECT event_id, tenant, event_type job_type, event_id::VARCHAR AS key, (k % 6)::INT attempts, CASE WHEN event_id % 5 = 0 THEN 'w' || event_id % 3 END claimed_by, CASE WHEN event_id % 5 = 0 THEN ts END claimed_at, CASE WHEN event_id % 7 = 0 THEN ts END completed_at, NULL::TIMESTAMP next_attempt_at, ts created_at, NULL::VARCHAR last_error FROM ev)"""
+
+
+def box(m: Model) -> DataFrame:
+    none = F.lit(None)
+    claimed = F.col("event_id") % 5 == 0
+    return m.events.select(
+        "event_id", "tenant", F.col("event_type").alias("job_type"), F.col("event_id").cast("string").alias("key"), (F.col("k") % 6).cast("int").alias("attempts"),
+        F.when(claimed, F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string"))).alias("claimed_by"), F.when(claimed, F.col("ts")).alias("claimed_at"), F.when(F.col("event_id") % 7 == 0, F.col("ts")).alias("completed_at"),
+        none.cast("timestamp").alias("next_attempt_at"), F.col("ts").alias("created_at"), none.cast("string").alias("last_error"),
+    )
+
+
+@query(sql("SELECT min(event_id) event_id, tenant, event_type job_type, k FROM ev WHERE k NOT IN (SELECT k FROM ev WHERE event_id < 20) GROUP BY tenant, event_type, k"))
+def s01_enqueue(m: Model) -> DataFrame:
+    """Events keyed by k; what the first twenty named is there already for every tenant."""
+    new = m.events.select("event_id", "tenant", F.col("event_type").alias("job_type"), F.col("k").alias("key"))
+    seen = new.where("event_id < 20").select("key").distinct()
+    there = new.select("tenant", "job_type").distinct().join(seen, how="cross")
+    return outbox.enqueue(there, new).select("event_id", "tenant", "job_type", F.col("key").alias("k"))
+
+
+@query(sql("SELECT event_id, attempts + 1 attempts, 'w9' claimed_by FROM box WHERE completed_at IS NULL AND claimed_by IS NULL AND attempts < 5 AND created_at <= TIMESTAMP '2024-01-15' AND job_type IN ('click', 'view') ORDER BY created_at, event_id LIMIT 16", BOX))
+def s02_claim(m: Model) -> DataFrame:
+    return outbox.claim(box(m), "w9", ["click", "view"], AS_OF).select("event_id", "attempts", "claimed_by")
+
+
+@query(sql("""SELECT event_id, CASE WHEN old THEN greatest(0, attempts - 1) ELSE attempts END attempts, CASE WHEN old THEN NULL ELSE claimed_by END claimed_by, CASE WHEN old THEN 'reaped' END last_error
+FROM (SELECT *, completed_at IS NULL AND claimed_by IS NOT NULL AND claimed_at < TIMESTAMP '2024-01-14 23:50:00' old FROM box)""", BOX))
+def s03_reap(m: Model) -> DataFrame:
+    return outbox.reap(box(m), AS_OF).select("event_id", "attempts", "claimed_by", "last_error")
+
+
+@query(sql("SELECT event_id, CASE WHEN mine THEN greatest(0, attempts - 1) ELSE attempts END attempts, CASE WHEN mine THEN NULL ELSE claimed_by END claimed_by FROM (SELECT *, coalesce(completed_at IS NULL AND claimed_by = 'w1', false) mine FROM box)", BOX))
+def s04_release(m: Model) -> DataFrame:
+    return outbox.release(box(m), "w1").select("event_id", "attempts", "claimed_by")
+
+
+@query(sql("""SELECT event_id, CASE WHEN claimed_by = 'w0' THEN TIMESTAMP '2024-01-15' ELSE completed_at END completed_at, CASE WHEN claimed_by = 'w1' THEN TIMESTAMP '2024-01-15' + to_seconds(least(300, pow(2, attempts))::INT) END next_attempt_at,
+CASE WHEN claimed_by = 'w1' THEN 'broken' END last_error FROM box""", BOX))
+def s05_finish(m: Model) -> DataFrame:
+    """What worker 0 holds succeeds, what worker 1 holds fails."""
+    b = box(m)
+    results = b.where("claimed_by in ('w0', 'w1')").select("event_id", (F.col("claimed_by") == "w0").alias("ok"), F.lit("broken").alias("error"))
+    return outbox.finish(b, results, AS_OF).select("event_id", "completed_at", "next_attempt_at", "last_error")
+
+
+@query(sql("SELECT event_id, user_id FROM ev WHERE k >= user_id % 10"))
+def s07_current(m: Model) -> DataFrame:
+    """Events whose version k isn't below their user's current one."""
+    e = m.events.select("event_id", "user_id", F.col("k").alias("event_version"))
+    now = m.events.select("user_id").distinct().withColumn("version", F.col("user_id") % 10)
+    return outbox.current(e, now, ["user_id"]).select("event_id", "user_id")
+
+
+@query(sql("SELECT e.event_id, t.edge_type model FROM ev e, (SELECT DISTINCT edge_type FROM edges WHERE edge_type < 2) t WHERE e.event_type = 'purchase'"))
+def s08_enqueue_per_model(m: Model) -> DataFrame:
+    """One event for each of the two enabled models (a fixed, small set)."""
+    models = m.edges.where("edge_type < 2").select(F.col("edge_type").alias("model")).distinct()
+    return m.events.where("event_type = 'purchase'").select("event_id").crossJoin(models)
+
+
+@query(sql("SELECT event_id, CASE WHEN event_id % 2 = 0 AND k < 3 THEN 'requeue' ELSE 'error' END AS action FROM ev WHERE event_type IN ('click', 'view') AND ts < TIMESTAMP '2024-01-14 23:45:00'"))
+def s11_sweep(m: Model) -> DataFrame:
+    state = F.when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "view", "processing").otherwise("done")
+    jobs = m.events.select("event_id", state.alias("state"), F.col("ts").alias("updated_at"), (F.col("event_id") % 2 == 0).alias("has_payload"), F.col("k").alias("retries"))
+    return outbox.sweep(jobs, AS_OF).select("event_id", "action")
+
+
+@query(sql("SELECT chunk_id FROM vectors WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE doc_id % 3 = 0)"))
+def s12_orphans(m: Model) -> DataFrame:
+    return outbox.orphans(m.vectors.select("chunk_id", "doc_id"), m.documents.where("doc_id % 3 = 0").select("doc_id"), ["doc_id"]).select("chunk_id")
+
+
+@query(sql("SELECT event_id, tenant, row_number() OVER (PARTITION BY tenant ORDER BY ts, event_id)::INT - 1 turn FROM ev"))
+def s13_round_robin(m: Model) -> DataFrame:
+    return outbox.round_robin(m.events.select("event_id", "tenant", "ts")).select("event_id", "tenant", "turn")
+
+
+@query(sql("SELECT user_id doc_id, event_id AS token, CASE WHEN user_id % 3 <> 0 AND event_id = min(event_id) OVER (PARTITION BY user_id) THEN 'processing' ELSE 'duplicate' END outcome FROM ev"))
+def s10_ingest_claims(m: Model) -> DataFrame:
+    """Each event asks for its user's version; every third isn't pending."""
+    asks = m.events.select(F.col("user_id").alias("doc_id"), F.lit(1).alias("version"), F.col("event_id").alias("token"))
+    v = asks.select("doc_id", "version").distinct().withColumn("state", F.when(F.col("doc_id") % 3 == 0, "done").otherwise("pending"))
+    return outbox.claim_ingest(v, asks, AS_OF).select("doc_id", "token", "outcome")
