@@ -481,10 +481,10 @@ def v07_latest(m: Model) -> DataFrame:
     return vectors.latest(m.events.select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
 
 
-@query(sql(f"""SELECT x.doc_id, round(s.score * d.authority / 100, 6) + 0.0::DOUBLE chunk_score FROM vectors x JOIN docs d USING (doc_id) JOIN (SELECT p.doc_id, {DOT} score FROM vectors p, (SELECT v FROM vectors WHERE doc_id = 0) q) s ON s.doc_id = x.doc_id"""))
+@query(sql(f"""SELECT x.doc_id, round(s.score * d.authority / 100, 6) + 0.0::DOUBLE chunk_score FROM vectors x JOIN docs d USING (doc_id) JOIN (SELECT p.doc_id, list_inner_product(p.v::DOUBLE[], q.v::DOUBLE[]) score FROM vectors p, (SELECT v FROM vectors WHERE doc_id = 0) q) s ON s.doc_id = x.doc_id"""))
 def x01_chunk_scores(m: Model) -> DataFrame:
     q = m.vectors.where("doc_id = 0").select(F.col("v").alias("q"))
-    rows = m.vectors.crossJoin(q).withColumn("s", F.round(vectors.dot("v", "q"), 6)).join(m.documents.select("doc_id", "authority"), "doc_id")
+    rows = m.vectors.crossJoin(q).withColumn("s", vectors.dot("v", "q")).join(m.documents.select("doc_id", "authority"), "doc_id")
     return rows.select("doc_id", (F.round(graph.chunk_score(F.col("s"), F.col("authority")), 6) + 0.0).alias("chunk_score"))
 
 
