@@ -160,9 +160,9 @@ class Model:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """Between documents i and i+1 that both have vectors and a tenant in common or not."""
+        """Between documents i and i+25, which have their tenant in common, if both have vectors."""
         ids = self.vectors.select("doc_id").join(self.documents.select("doc_id", "company_id"), "doc_id")
-        nxt = ids.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("target_doc"))
+        nxt = ids.select((F.col("doc_id") - 25).alias("doc_id"), F.col("doc_id").alias("target_doc"))
         e = ids.join(nxt, "doc_id")
         pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.col("doc_id"), F.lit(by)) + 1).cast("int"))
         return e.select(
@@ -237,10 +237,10 @@ resource_scope AS (
 visible AS (SELECT DISTINCT s.company_id, s.user_id, r.doc_id FROM scope s JOIN resource_scope r ON r.company_id = s.company_id AND r.unit_id = s.unit_id),
 vectors AS (SELECT vec_id::BIGINT doc_id, vec_id::BIGINT * 1000 chunk_id, embedding v, label FROM embeddings),
 edges AS (
-  SELECT d.company_id, d.doc_id edge_id, d.doc_id source_doc, d.doc_id + 1 target_doc, (d.doc_id % 9)::INT edge_type, (['manual', 'imported', 'rule', 'model'])[(d.doc_id % 4 + 1)::INT] origin,
+  SELECT d.company_id, d.doc_id edge_id, d.doc_id source_doc, d.doc_id + 25 target_doc, (d.doc_id % 9)::INT edge_type, (['manual', 'imported', 'rule', 'model'])[(d.doc_id % 4 + 1)::INT] origin,
     (['approved', 'pending', 'rejected', 'auto'])[(d.doc_id % 4 + 1)::INT] review_state, ((d.doc_id % 100) / 100.0)::FLOAT confidence,
     CASE WHEN d.doc_id % 13 = 0 THEN TIMESTAMP '2024-01-10' END expires_at, CASE WHEN d.doc_id % 11 = 0 THEN TIMESTAMP '2024-01-20' END superseded_at
-  FROM docs d JOIN vectors a ON a.doc_id = d.doc_id JOIN vectors b ON b.doc_id = d.doc_id + 1 JOIN docs t ON t.doc_id = d.doc_id + 1),
+  FROM docs d JOIN vectors a ON a.doc_id = d.doc_id JOIN vectors b ON b.doc_id = d.doc_id + 25 JOIN docs t ON t.doc_id = d.doc_id + 25),
 ev AS (SELECT event_id::BIGINT event_id, ts, user_id::BIGINT user_id, event_type, value, (props->>'$.k')::BIGINT k, (user_id % 5)::BIGINT tenant FROM events)
 """
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import chunking, text
-from lattica.operators import access, checks, gates, graph, hierarchy, outbox, retrieve, temporal, vectors
+from lattica.operators import access, checks, edges, gates, graph, hierarchy, outbox, retrieve, temporal, vectors
 from lattica.operators.access import clearance
 from lattica.sources import files
 from lattica.streaming import state
@@ -186,23 +186,17 @@ EDGE_CANDIDATES = """edge_candidates AS (SELECT u.user_id query_id, u.user_id, u
 EDGE_GATE = """edge_gate AS (SELECT c.query_id, c.edge_id, c.rank, e.source_doc doc_0, e.target_doc doc_1 FROM edge_candidates c JOIN edges e USING (company_id, edge_id)
   WHERE e.review_state IN ('approved', 'auto') AND (e.expires_at IS NULL OR e.expires_at > TIMESTAMP '2024-01-15') AND (e.superseded_at IS NULL OR e.superseded_at > TIMESTAMP '2024-01-15')
   AND EXISTS (SELECT 1 FROM ok WHERE ok.user_id = c.user_id AND ok.doc_id = e.source_doc) AND EXISTS (SELECT 1 FROM ok WHERE ok.user_id = c.user_id AND ok.doc_id = e.target_doc))"""
-OK = "ok AS (SELECT DISTINCT s.user_id, v.doc_id FROM same_region s JOIN versions v ON v.doc_id = s.doc_id AND v.lifecycle = 'active' AND v.sensitivity IN ('public', 'internal', 'confidential'))"
-#: Edges lie between documents of neighbouring nations; their documents count for the reader's tenant.
-SAME = "same_region AS (SELECT user_id, doc_id FROM visible UNION SELECT u.user_id, d.doc_id FROM users u JOIN docs d ON d.company_id <> u.company_id WHERE u.user_id % 5 = 0 AND d.owner_unit_id < 100)"
+OK = "ok AS (SELECT DISTINCT s.user_id, v.doc_id FROM visible s JOIN versions v ON v.doc_id = s.doc_id AND v.lifecycle = 'active' AND v.sensitivity IN ('public', 'internal', 'confidential'))"
 
 
 def edge_gate(m: Model) -> gates.Evidence:
     users = m.users.where("user_id % 5 = 0").select("company_id", "user_id", F.col("user_id").alias("query_id"))
     found = users.join(m.edges.select("company_id", "edge_id"), "company_id").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("edge_id")))
-    # Root documents of other tenants are open to all, so that edges between tenants can pass.
-    open_ = m.documents.where("owner_unit_id < 100").select(F.col("company_id").alias("other"), "doc_id")
-    seen = visible(m).union(users.join(open_, users.company_id != open_.other).select("company_id", "user_id", "doc_id"))
     ends = m.edges.select("company_id", "edge_id", F.lit(0).alias("ordinal"), F.col("source_doc").alias("doc_id")).union(m.edges.select("company_id", "edge_id", F.lit(1), "target_doc"))
-    own = m.versions.drop("company_id").join(m.companies.select("company_id"), how="cross")
-    return gates.gate_edges(found, seen.distinct(), own, m.edges, ends, CLEARED, STATES, AS_OF)
+    return gates.gate_edges(found, visible(m), m.versions, m.edges, ends, CLEARED, STATES, AS_OF)
 
 
-@query(sql("SELECT query_id, edge_id, rank, doc_0, doc_1 FROM edge_gate", EDGE_CANDIDATES, SAME, OK, EDGE_GATE))
+@query(sql("SELECT query_id, edge_id, rank, doc_0, doc_1 FROM edge_gate", EDGE_CANDIDATES, OK, EDGE_GATE))
 def g08_relationship_gate(m: Model) -> DataFrame:
     return edge_gate(m).rows.select("query_id", "edge_id", "rank", "doc_0", "doc_1")
 
@@ -403,13 +397,13 @@ def merged(m: Model) -> DataFrame:
     return retrieve.interleave(a, b, 12)
 
 
-@query(sql("SELECT query_id, pos, kind, id FROM merged", POINTS, ASK, FOUND, HITS, EDGE_CANDIDATES, SAME, OK, EDGE_GATE, TURNS))
+@query(sql("SELECT query_id, pos, kind, id FROM merged", POINTS, ASK, FOUND, HITS, EDGE_CANDIDATES, OK, EDGE_GATE, TURNS))
 def v10_evidence(m: Model) -> DataFrame:
     """Chunks and relationships in turns (intent: automatic)."""
     return merged(m)
 
 
-@query(sql("""SELECT query_id, pos, '{"kind":"' || kind || '","chunk_id":' || CASE WHEN kind = 'chunk' THEN id::VARCHAR ELSE 'null' END || ',"edge_id":' || CASE WHEN kind = 'chunk' THEN 'null' ELSE id::VARCHAR END || '}' AS json FROM merged""", POINTS, ASK, FOUND, HITS, EDGE_CANDIDATES, SAME, OK, EDGE_GATE, TURNS))
+@query(sql("""SELECT query_id, pos, '{"kind":"' || kind || '","chunk_id":' || CASE WHEN kind = 'chunk' THEN id::VARCHAR ELSE 'null' END || ',"edge_id":' || CASE WHEN kind = 'chunk' THEN 'null' ELSE id::VARCHAR END || '}' AS json FROM merged""", POINTS, ASK, FOUND, HITS, EDGE_CANDIDATES, OK, EDGE_GATE, TURNS))
 def r10_evidence_json(m: Model) -> DataFrame:
     return retrieve.as_json(merged(m))
 
@@ -759,3 +753,64 @@ def s17_token_bucket(m: Model) -> DataFrame:
 def s07_stream_fresh(m: Model) -> DataFrame:
     """Events whose version isn't below the highest of their user so far."""
     return streamed(m, lambda e: state.fresh(e.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.col("event_id") % 7).cast("long").alias("version"))))
+
+
+# Changes to edges, and identities.
+
+
+def edge_rows(m: Model) -> DataFrame:
+    none = F.lit(None).cast("timestamp")
+    e = m.edges.select("edge_id", "source_doc", "target_doc", "confidence", "origin", "review_state")
+    return e.withColumns({"version": F.lit(1), "deleted": F.lit(False), "reviewed_at": none, "superseded_at": none})
+
+
+@query(sql("""SELECT edge_id, CASE WHEN edge_id % 3 = 0 THEN 'endpoints are the same' WHEN edge_id % 3 = 1 THEN 'id is taken' END problem FROM edges WHERE edge_id % 3 < 2"""))
+def v08_create_edges(m: Model) -> DataFrame:
+    """Every edge once more: the same id, a loop under a new id, and a good one under a new id."""
+    e = m.edges.select("edge_id", "source_doc", "target_doc", "confidence", "origin", "review_state")
+    new = e.select(F.when(F.col("edge_id") % 3 == 1, F.col("edge_id")).otherwise(F.col("edge_id") + 1_000_000).alias("edge_id"), "source_doc", F.when(F.col("edge_id") % 3 == 0, F.col("source_doc")).otherwise(F.col("target_doc")).alias("target_doc"), "confidence", "origin", "review_state")
+    return edges.create(edge_rows(m), new)[1].select((F.col("edge_id") % 1_000_000).alias("edge_id"), "problem")
+
+
+@query(sql("""SELECT edge_id, 1 + (edge_id % 2 = 0 AND (review_state <> 'approved' OR edge_id % 6 = 0))::INT AS version, CASE WHEN edge_id % 2 = 0 THEN 'approved' ELSE review_state END review_state,
+CASE WHEN edge_id % 2 = 0 AND review_state <> 'approved' THEN TIMESTAMP '2024-01-15' END reviewed_at, CASE WHEN edge_id % 6 = 0 THEN TIMESTAMP '2024-01-15' END superseded_at, edge_id % 5 = 0 deleted FROM edges"""))
+def v08_update_edges(m: Model) -> DataFrame:
+    """Every second edge is approved, every sixth superseded; then every fifth deleted."""
+    rows = edge_rows(m)
+    changes = rows.where("edge_id % 2 = 0").select("edge_id", F.lit(None).cast("float").alias("confidence"), F.lit("approved").alias("review_state"), (F.col("edge_id") % 6 == 0).alias("supersede"))
+    out = edges.delete(edges.update(rows, changes, AS_OF), rows.where("edge_id % 5 = 0").select("edge_id"))[0]
+    return out.select("edge_id", "version", "review_state", "reviewed_at", "superseded_at", "deleted")
+
+
+@query(sql("SELECT user_id request_id, company_id, user_id FROM users WHERE user_id % 3 <> 0 AND user_id % 7 <> 0 AND user_id % 11 <> 0"))
+def p12_valid_keys(m: Model) -> DataFrame:
+    """One key each; every third revoked, every seventh expired, every eleventh user deactivated."""
+    when = lambda n, t: F.when(F.col("user_id") % n == 0, F.lit(t).cast("timestamp"))
+    secret = F.concat(F.lit("k"), F.col("user_id").cast("string"))
+    keys = m.users.select("company_id", "user_id", F.sha2(secret, 256).alias("key_hash"), when(3, AS_OF).alias("revoked_at"), when(7, "2024-01-10").alias("expires_at"))
+    users = m.users.select("company_id", "user_id", when(11, "2024-01-01").alias("deactivated_at"))
+    return edges.valid_keys(keys, users, m.users.select(F.col("user_id").alias("request_id"), secret.alias("secret")), AS_OF)
+
+
+@query(sql("SELECT 'i' issuer, s subject, u user_id FROM (SELECT user_id // 3 s, min(user_id) FILTER (WHERE user_id % 3 <> 0) u, count(*) FILTER (WHERE user_id % 3 <> 0) n FROM users WHERE user_id % 5 <> 0 GROUP BY 1) WHERE n = 1"))
+def p13_identities(m: Model) -> DataFrame:
+    """Subjects shared by up to three users, of whom every third is deactivated."""
+    u = m.users.where("user_id % 5 <> 0").select(F.lit("i").alias("issuer"), F.expr("user_id div 3").alias("subject"), "user_id", F.when(F.col("user_id") % 3 == 0, F.lit(AS_OF).cast("timestamp")).alias("deactivated_at"))
+    return edges.identities(u, u.select("issuer", "subject").distinct())
+
+
+@query(sql("SELECT event_id, user_id worker FROM ev WHERE user_id NOT IN (SELECT user_id FROM (SELECT user_id, max(ts) t FROM ev WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY 1) WHERE t > TIMESTAMP '2024-01-14 23:45:00')"))
+def s14_stranded_jobs(m: Model) -> DataFrame:
+    jobs = m.events.select("event_id", F.col("user_id").alias("worker"))
+    beats = m.events.where(F.col("ts") <= F.lit(AS_OF).cast("timestamp")).groupBy(F.col("user_id").alias("worker")).agg(F.max("ts").alias("beat_at"))
+    return edges.stranded(jobs, beats, AS_OF)
+
+
+@query(sql("SELECT g.query_id, g.edge_id, e.edge_type FROM edge_gate g JOIN edges e USING (edge_id) WHERE e.edge_type IN (3, 4)", EDGE_CANDIDATES, OK, EDGE_GATE))
+def x06_contradictions(m: Model) -> DataFrame:
+    return edge_gate(m).rows.where("edge_type in (3, 4)").select("query_id", "edge_id", "edge_type")
+
+
+@query(sql("SELECT DISTINCT origin, CASE origin WHEN 'manual' THEN 1.0::DOUBLE WHEN 'model' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END factor FROM edges"))
+def x08_origin_factors(m: Model) -> DataFrame:
+    return m.edges.select("origin").distinct().withColumn("factor", graph.origin_factor(F.col("origin")))
