@@ -26,6 +26,8 @@ import regex
 import unicodedata
 from pyspark.sql import DataFrame
 
+from .common import small
+
 #: Chunks of text, and words, that a worker remembers before it begins anew.
 CACHE = 250_000
 #: Fixed value: White_Space of Unicode.
@@ -253,7 +255,7 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for b in batches:
+        for b in small(batches):
             got = list(enc.batch([t or "" for t in b["text"].to_pylist()]))
             columns = {
                 "doc_id": b["doc_id"],

@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import small, stored
+
 SAMPLE, MAX_WORDS, MAX_GRAMS, LONGEST = 20_000, 40_000, 60_000, 5
 #: Words that a worker remembers before it begins anew.
-CACHE = 300_000
+CACHE = 150_000
 #: Runs of letters (and of the few other signs that count as word characters).
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -133,7 +135,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE, max_words: int = MAX_WORDS, max
     rows = sampled(rows, F.col("doc_id"), most).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 1000):
             found: dict[str, Counter] = {}
             for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist()):
                 found.setdefault(lang, Counter()).update(words_of(text))
@@ -141,6 +143,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE, max_words: int = MAX_WORDS, max
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(words), "word": list(words), "n": pa.array(words.values(), pa.int64())}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
     by_lang = rows.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    by_lang = stored(by_lang, "words")  # read twice
     # The languages of a word stay together, so the bound counts words.
     of = F.collect_list(F.struct("lang", "n")).alias("of")
     words = by_lang.groupBy("word").agg(F.sum("n").alias("total"), of)
@@ -186,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
+        for b in small(batches):
             got = [scorer.score(t) for t in b["text"].to_pylist()]
             added = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *names])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir
+from .common import shared_dir, small
 
 #: A payload is a positive multiple of this many bytes.
 FRAME, FILL, RATE = 192, b" ", 8000
@@ -90,7 +90,7 @@ class ArchiveWriter(DataSourceArrowWriter):
             out.close()
             done.append((name, store.get_file_info(f"{root}/{name}").size))
 
-        for b in iterator:
+        for b in small(iterator):
             for doc, size, payload in zip(b["doc_id"].to_pylist(), b["n_bytes"].to_pylist(), b["payload"].to_pylist()):
                 if archive is None:
                     name = f"{uuid.uuid4().hex}.zip"
@@ -196,7 +196,7 @@ def payloads(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload) of ``docs``; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             raw = [(t or "").encode() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(map(len, raw), pa.int64()), pa.array(map(payload_of, raw), pa.binary())], names=["doc_id", "n_bytes", "payload"])
 
@@ -230,7 +230,7 @@ def features(members: DataFrame) -> DataFrame:
     """Digests and features of the payloads as they were read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             got = [p or b"" for p in b["payload"].to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b["doc_id"],

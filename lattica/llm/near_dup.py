@@ -41,14 +41,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 11, 21, 28, 1
 #: Sets of ids of at most so many rows (8 bytes each) are sent to all executors.
 SENT_IDS = 500_000
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Words that a worker remembers before it begins anew.
-CACHE = 300_000
+CACHE = 150_000
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**32, POSITIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIX = np.random.default_rng(11).integers(1, 2**32, POSITIONS, dtype=np.uint64).astype(np.uint32)
 
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for b in batches:
+        for b in small(batches):
             if len(known) > CACHE:
                 known.clear()
             got = [shingles(t, words, known) for t in b["text"].to_pylist()]
@@ -125,7 +125,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for b in batches:
+        for b in small(batches):
             if len(known) > CACHE:
                 known.clear()
             got = [shingles(t, words, known).tobytes() for t in b["text"].to_pylist()]

@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_symbols
-from .common import stored
+from .common import small, stored
 
 CAPACITY, LARGE, GROUPS, ROUNDS = 2048, 400, 32, 200
 #: Tokens of room with which a sequence counts as full.
 SLACK = 2
 #: Chunks of text that a worker remembers before it begins anew.
-CACHE = 250_000
+CACHE = 200_000
 #: A space beside other white space: then chunks can't be taken one by one.
 RUNS = re.compile(r"\s | \s|<\||[\x00\x1c-\x1f\u0250-\U0010ffff]")
 #: Fixed value: how byte-level vocabularies of this family cut a text.
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(tokenizer)
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, ids in zip(b["doc_id"].to_pylist(), encoder.batch([t or "" for t in b["text"].to_pylist()])):
                 ids += END

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .common import small
+
 HALF_ROUNDS = 8
 KINDS = ("email", "iban", "secret", "ip", "date", "ssn", "card", "phone")
 
@@ -226,7 +228,7 @@ def pseudonymise(docs: DataFrame, key: bytes, with_counts: bool = True) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonyms(key)
-        for b in batches:
+        for b in small(batches):
             got = [own.replace(t) for t in b["text"].to_pylist()]
             columns = [pa.array([t for t, _ in got], pa.string()) if n == "text" else b[n] for n in names]
             columns += [pa.array([c[k[2:]] for _, c in got], pa.int32()) for k in added]

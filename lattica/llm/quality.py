@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import small
 from .language_id import sampled
 
 SAMPLE, BINS, DEPTH, TREES, RATE = 20_000, 64, 4, 80, 0.15
@@ -129,7 +130,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE) -> Trees:
     rows = sampled(labelled.where(F.col("quality").isNotNull()), F.col("doc_id"), most).select("doc_id", "text", F.col("quality").cast("double").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "y": b["y"], "x": pa.array(list(_stats_of(b["text"].to_pylist())), pa.list_(pa.float64()))})
 
     got = rows.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(run, "doc_id long, y double, x array<double>").toPandas().sort_values(["doc_id", "y"])
@@ -148,7 +149,7 @@ def score(docs: DataFrame, model: Trees, at_least: float = 0.3) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # TREES x 2**DEPTH numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             s = sent.value.score(_stats_of(b["text"].to_pylist()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= at_least).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
