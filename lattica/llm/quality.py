@@ -76,7 +76,7 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + total)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, smooth: float = 5.0) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, smooth: float = 2.0) -> Trees:
     """Boost on logistic loss with gradient histograms."""
     n, width = x.shape if len(x) else (0, len(FEATURES))
     p = (y.sum() + 1) / (n + 2)
