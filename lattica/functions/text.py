@@ -69,3 +69,22 @@ def json_field(c: Column, path: str, default: str = "") -> Column:
 def json_strings(c: Column) -> Column:
     """A JSON array of strings; empty for anything else."""
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+#: Elements without content, and what hides an element.
+VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
+HIDES = r"display: ?none|visibility: ?hidden|\shidden(?=[\s=/>])"
+
+
+def without_html(c: Column) -> Column:
+    """struct<text, error>: Markdown without HTML tags, hidden elements with all they hold.
+
+    A ``<`` that begins no tag stays. A hidden element that isn't closed is an error.
+    """
+    opens = rf"<(?!(?:{VOID})\b)(?:(script|style)\b|([a-z][a-z0-9-]*)(?=[^>]*(?:{HIDES})))[^>]*(?<!/)>"
+    shown = c
+    for name in (r"(script|style)\b", rf"([a-z][a-z0-9-]*)(?=[^>]*(?:{HIDES}))"):
+        shown = F.regexp_replace(shown, rf"(?is)<(?!(?:{VOID})\b){name}[^>]*(?<!/)>.*?</\1[^>]*>", "")
+    unclosed = shown.rlike(rf"(?is){opens}")
+    plain = F.regexp_replace(shown, "</?[A-Za-z][^>]*>", "")
+    return F.struct(F.when(~unclosed, plain).alias("text"), F.when(unclosed, "unclosed_hidden_tag").alias("error"))

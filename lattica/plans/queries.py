@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.functions import chunking, text
+from lattica.functions import chunking, embedding, text
 from lattica.operators import access, checks, edges, gates, graph, hierarchy, outbox, retrieve, temporal, vectors
 from lattica.operators.access import clearance
 from lattica.sources import files
@@ -814,3 +814,19 @@ def x06_contradictions(m: Model) -> DataFrame:
 @query(sql("SELECT DISTINCT origin, CASE origin WHEN 'manual' THEN 1.0::DOUBLE WHEN 'model' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END factor FROM edges"))
 def x08_origin_factors(m: Model) -> DataFrame:
     return m.edges.select("origin").distinct().withColumn("factor", graph.origin_factor(F.col("origin")))
+
+
+@query()
+def v01_hashed_embeddings(m: Model) -> DataFrame:
+    """Chunks embedded in batches by the deterministic stand-in (see the tests)."""
+    s = chunking.chunks(chunking.sections(m.table("documents").select("doc_id", "text")))
+    rows = s.select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("id"), F.col("content").alias("text"))
+    v = embedding.embed(rows, embedding.hashed(16), 16)
+    return v.select(F.col("id").alias("chunk_id"), F.round(F.element_at("v", 1).cast("double"), 5).alias("v0"), F.round(F.element_at("v", 16).cast("double"), 5).alias("v15"))
+
+
+@query()
+def f12_without_html(m: Model) -> DataFrame:
+    """Pages as Markdown without HTML (see the tests)."""
+    x = text.without_html(F.col("html"))
+    return m.table("pages").select("page_id", x["error"].alias("error"), F.sha2(x["text"], 256).alias("text_hash"))

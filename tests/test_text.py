@@ -127,3 +127,33 @@ def test_binary_files_are_read(spark, tmp_path):
     (tmp_path / "a.md").write_text("# T\nbody")
     row = files.parse(files.read(spark, str(tmp_path))).first()
     assert row.mime == "text/markdown" and row.sections[0].heading == "T"
+
+
+def test_html_in_markdown(spark):
+    cases = {
+        "a < b <b>bold</b> c": ("a < b bold c", None), "x<script>bad()</script>y<STYLE>z</STYLE>": ("xy", None), "<div style='display:none'>no <b>x</b></div>yes": ("yes", None),
+        "<p hidden>no</p>ok <span data-hidden='1'>shown</span>": ("ok shown", None), "<input hidden>kept": ("kept", None), "<div hidden/>kept": ("kept", None), "<script>never": (None, "unclosed_hidden_tag"), "1 <2> 3 <": ("1 <2> 3 <", None),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.without_html(F.col("t")).alias("x"))
+    assert {r.t: (r.x.text, r.x.error) for r in df.collect()} == cases
+
+
+def test_hashed_embedding(spark):
+    from lattica.functions import embedding
+
+    def slow(t, n):
+        h = embedding.FNV_START
+        for b in t.encode():
+            h = ((h ^ b) * embedding.FNV_PRIME) % 2**64
+        out = []
+        for _ in range(n):
+            h = (h * embedding.STEP + embedding.ADD) % 2**64
+            out.append((h - 2**64 if h >= 2**63 else h) / (2**63 - 1))
+        s = sum(x * x for x in out) ** 0.5
+        return [x / s for x in out]
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["", "a", "éé", None] * 20)], "id long, text string")
+    got = embedding.embed(rows, embedding.hashed(8), 8).collect()
+    assert len(got) == 80 and all(r.v == pytest.approx(slow(["", "a", "éé", ""][r.id % 4], 8), abs=1e-5) for r in got)
+    with pytest.raises(Exception, match="dimensions"):
+        embedding.embed(rows, embedding.hashed(7), 8).count()
