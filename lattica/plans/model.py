@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.operators.hierarchy import closure
-from lattica.tables import table
+from lattica.tables import stored, table
 
 AS_OF = "2024-01-15 00:00:00"
 SUB, SELF = "self_and_descendants", "self_only"
@@ -30,14 +30,21 @@ def string(sql: str):
 
 
 class Model:
-    """DataFrames of the derived tables; nothing runs before an action."""
+    """DataFrames of the derived tables; all but the closure are lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
+    def once(self, name: str, make) -> DataFrame:
+        """A derived table that several operators of a query read, written once."""
+        if name not in self._kept:
+            self._kept[name] = stored(make(), name)
+        return self._kept[name]
+
     @cached_property
     def nations(self) -> DataFrame:
         return self.table("nation").select(long("n_nationkey").alias("nation"), long("n_regionkey").alias("company_id"), "n_name")
@@ -63,7 +70,8 @@ class Model:
 
     @cached_property
     def closure(self) -> DataFrame:
-        return closure(self.units)
+        """A table of its own, as a closure would be kept: it is read by most operators."""
+        return stored(closure(self.units), "closure")
 
     @cached_property
     def ranked_units(self) -> DataFrame:

@@ -93,7 +93,7 @@ def memberships(m: Model, t: str = AS_OF) -> DataFrame:
 
 
 def scope(m: Model, t: str = AS_OF) -> DataFrame:
-    return access.reader_scope(memberships(m, t), m.closure)
+    return m.once(f"scope-{t[:10]}", lambda: access.reader_scope(memberships(m, t), m.closure))
 
 
 def visible(m: Model) -> DataFrame:
