@@ -149,7 +149,9 @@ class ArchiveReader(DataSourceReader):
             raise OSError(f"{info.filename} at {info.header_offset}: {error}")
         return None, self.attempts, error
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive, so nothing was planned
+            return
         store, root = fs.FileSystem.from_uri(self.path)
         held: list = []
 
