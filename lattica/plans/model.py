@@ -30,7 +30,7 @@ def string(sql: str):
 
 
 class Model:
-    """DataFrames of the derived tables; all but the closure are lazy."""
+    """DataFrames of the derived tables; all but closure and grants are lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -159,7 +159,7 @@ class Model:
         both = on_docs.union(on_units)
         key = ["company_id", "resource_type", "resource_id", "principal_id"]
         least = both.groupBy(*key).agg(F.min("grant_id").alias("grant_id"))
-        return both.join(least, [*key, "grant_id"], "left_semi").select(*both.columns)
+        return stored(both.join(least, [*key, "grant_id"], "left_semi").select(*both.columns), "grants")
 
     @cached_property
     def vectors(self) -> DataFrame:
