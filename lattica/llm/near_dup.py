@@ -46,7 +46,7 @@ from .common import small, stored
 POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 11, 21, 28, 1
 #: Sets of ids of at most so many rows (8 bytes each) are sent to all executors.
 SENT_IDS = 500_000
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES, SALTS = 512, 8 << 20, 16
 #: Words that a worker remembers before it begins anew.
 CACHE = 150_000
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**32, POSITIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -286,14 +286,17 @@ def _in_blocks(rows: DataFrame, size: Column, run, schema: str) -> DataFrame:
     sided = stored(rows.withColumns({"_size": size.cast("long"), "_side": F.explode(side)}), "sided")
     each = lambda k: F.greatest(F.ceil(F.count_if(F.col("_side") == k) / BLOCK), F.ceil(F.sum(F.when(F.col("_side") == k, F.col("_size")).otherwise(0)) / BLOCK_BYTES), F.lit(1))
     blocks = sided.groupBy("low").agg(each(0).alias("_x"), each(1).alias("_y")).where("low is not null")
-    placed = sided.join(blocks, "low")
+    # A large component's rows meet its block counts in several tasks, and its
+    # blocks are dealt one by one, not by component.
+    blocks = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = sided.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(blocks, ["low", "_salt"])
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("_side") == 0, F.col("_x")).otherwise(F.col("_y"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("_side") == 0, F.col("_y")).otherwise(F.col("_x")).cast("int") - 1)
     placed = placed.withColumn("_mine", mine).withColumn("_other", F.explode(others))
     bx = F.when(F.col("_side") == 0, F.col("_mine")).otherwise(F.col("_other"))
     by = F.when(F.col("_side") == 0, F.col("_other")).otherwise(F.col("_mine"))
     placed = placed.withColumns({"_bx": bx, "_by": by}).select(*rows.columns, "_side", "_bx", "_by")
-    return placed.groupBy("low", "_bx", "_by").applyInArrow(run, schema)
+    return placed.repartition("low", "_bx", "_by").groupBy("low", "_bx", "_by").applyInArrow(run, schema)
 
 
 def _sides(rows: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
