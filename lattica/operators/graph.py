@@ -59,6 +59,11 @@ def impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return changed.join(ends, "doc_id", "left").groupBy("doc_id").agg(F.count_distinct("other").alias("n_dependents"), F.count("edge_id").alias("n_edges"))
 
 
+def citing(citations: DataFrame, versions: DataFrame, states: list[str]) -> DataFrame:
+    """Citations (doc_id, version, ...) of versions in one of ``states``, with ``lifecycle``."""
+    return citations.join(versions.where(F.col("lifecycle").isin(states)).select("doc_id", "version", "lifecycle"), ["doc_id", "version"])
+
+
 def precision_at(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, precision) over the first k of (query_id, id, rank)."""
     hits = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")

@@ -9,21 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.tables import stored
+
 
 def closure(units: DataFrame) -> DataFrame:
-    """(company_id, ancestor, descendant, depth), by a recursive query."""
-    return units.sparkSession.sql(
-        """
-        WITH RECURSIVE up(company_id, ancestor, descendant, depth) AS (
-          SELECT company_id, unit_id, unit_id, 0 FROM {units}
-          UNION ALL
-          SELECT up.company_id, u.parent_id, up.descendant, up.depth + 1
-          FROM up JOIN {units} u ON u.company_id = up.company_id AND u.unit_id = up.ancestor
-          WHERE u.parent_id IS NOT NULL)
-        SELECT company_id, ancestor, descendant, depth FROM up
-        """,
-        units=units.select("company_id", "unit_id", "parent_id"),
-    )
+    """(company_id, ancestor, descendant, depth) for trees of any size and depth.
+
+    The known distance doubles in each round: pairs at the greatest distance
+    are joined with all pairs known so far. Each round is stored. A cycle is an
+    error.
+    """
+    of = units.select("company_id", "unit_id", "parent_id")
+    itself = of.select("company_id", F.col("unit_id").alias("ancestor"), F.col("unit_id").alias("descendant"), F.lit(0).alias("depth"))
+    links = of.where("parent_id is not null").select("company_id", F.col("parent_id").alias("ancestor"), F.col("unit_id").alias("descendant"), F.lit(1).alias("depth"))
+    up = stored(links, "up")
+    most, reach = up.count(), 1
+    while True:
+        far = up.where(F.col("depth") == reach).select("company_id", F.col("ancestor").alias("middle"), "descendant")
+        near = up.select("company_id", "ancestor", F.col("descendant").alias("middle"), "depth")
+        new = stored(far.join(near, ["company_id", "middle"]).select("company_id", "ancestor", "descendant", (F.col("depth") + reach).alias("depth")), "up")
+        if new.isEmpty():
+            return itself.union(up)
+        if reach > most:
+            raise ValueError("the units hold a cycle")
+        up, reach = up.union(new), 2 * reach
 
 
 class MoveError(ValueError):
@@ -74,15 +83,20 @@ def forest(units: DataFrame, scope: DataFrame, user: int) -> DataFrame:
 
 
 def reply_paths(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, depth, path) of conversation trees (conv_id, turn, parent_turn)."""
-    return turns.sparkSession.sql(
-        """
-        WITH RECURSIVE down(conv_id, turn, depth, path) AS (
-          SELECT conv_id, turn, 0, CAST(turn AS STRING) FROM {t} WHERE parent_turn IS NULL
-          UNION ALL
-          SELECT d.conv_id, t.turn, d.depth + 1, concat(d.path, '/', t.turn)
-          FROM down d JOIN {t} t ON t.conv_id = d.conv_id AND t.parent_turn = d.turn)
-        SELECT conv_id, turn, depth, path FROM down
-        """,
-        t=turns,
-    )
+    """(conv_id, turn, depth, path) of conversation trees (conv_id, turn, parent_turn).
+
+    Each turn points to its parent; in each round a pointer skips to where its
+    target points, and the path grows by the target's. So a conversation of n
+    turns takes log2(n) rounds, each stored. Turns that no root reaches are
+    left out.
+    """
+    at = turns.select("conv_id", "turn", F.col("parent_turn").alias("to"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).alias("depth"), F.col("turn").cast("string").alias("path"))
+    at = stored(at, "paths")
+    rounds = at.count().bit_length() + 1  # more only on a cycle
+    while rounds and not at.where(F.col("to").isNotNull()).isEmpty():
+        whole = at.where("to is null")
+        skip = at.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        longer = at.where("to is not null").join(skip, ["conv_id", "to"])
+        longer = longer.select("conv_id", "turn", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", F.lit("/"), "path").alias("path"))
+        at, rounds = stored(whole.union(longer), "paths"), rounds - 1
+    return at.where("to is null").select("conv_id", "turn", "depth", "path")

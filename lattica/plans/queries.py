@@ -830,3 +830,32 @@ def f12_without_html(m: Model) -> DataFrame:
     """Pages as Markdown without HTML (see the tests)."""
     x = text.without_html(F.col("html"))
     return m.table("pages").select("page_id", x["error"].alias("error"), F.sha2(x["text"], 256).alias("text_hash"))
+
+
+@query(sql("""SELECT 'i' issuer, coalesce(u.user_id, s.user_id) subject, CASE WHEN s.user_id IS NULL THEN 'u' || u.user_id ELSE 'e' || s.user_id END email, CASE WHEN s.user_id IS NULL AND u.user_id % 3 = 0 THEN TIMESTAMP '2024-01-15' END deactivated_at,
+CASE WHEN s.user_id IS NOT NULL THEN TIMESTAMP '2024-01-15' END last_seen FROM users u FULL JOIN (SELECT DISTINCT user_id FROM ev WHERE event_type = 'signup') s ON s.user_id = u.user_id"""))
+def h09_sign_in(m: Model) -> DataFrame:
+    """Users with a signup event sign in; every third user was deactivated."""
+    issuer, none = F.lit("i").alias("issuer"), F.lit(None).cast("timestamp")
+    users = m.users.select(issuer, F.col("user_id").alias("subject"), F.concat(F.lit("u"), "user_id").alias("email"), F.when(F.col("user_id") % 3 == 0, F.lit(AS_OF).cast("timestamp")).alias("deactivated_at"), none.alias("last_seen"))
+    seen = m.events.where("event_type = 'signup'").select(issuer, F.col("user_id").alias("subject"), F.concat(F.lit("e"), "user_id").alias("email"))
+    return temporal.sign_in(users, seen, AS_OF)
+
+
+PATH = """path AS (SELECT edge_id, list_transform(range(1, len(s.v) + 1), lambda i: confidence::DOUBLE * s.v[i]::DOUBLE + 0.4::DOUBLE * t.v[i]::DOUBLE) v FROM edges e JOIN vectors s ON s.doc_id = e.source_doc JOIN vectors t ON t.doc_id = e.target_doc)"""
+
+
+@query(sql("SELECT edge_id, round(v[1] / sqrt(list_inner_product(v, v)), 5) v0, round(v[64] / sqrt(list_inner_product(v, v)), 5) v63 FROM path", PATH))
+def x04_path_vectors(m: Model) -> DataFrame:
+    """Both ends of each edge as a path; the second counts half."""
+    vec = lambda key, name: m.vectors.select(F.col("doc_id").alias(key), F.col("v").alias(name))
+    e = m.edges.join(vec("source_doc", "s"), "source_doc").join(vec("target_doc", "t"), "target_doc")
+    v = graph.path_vector(F.array("s", "t"), F.array(F.col("confidence").cast("double"), F.lit(0.5)), 64)
+    return e.withColumn("v", v).select("edge_id", *[F.round(F.element_at("v", k + 1), 5).alias(f"v{k}") for k in (0, 63)])
+
+
+@query(sql("SELECT page_id, v.doc_id, v.version FROM pages p JOIN versions v ON v.doc_id = p.page_id AND v.version = 1 + p.page_id % 2 WHERE v.lifecycle IN ('deprecated', 'archived')"))
+def x05_stale_citations(m: Model) -> DataFrame:
+    """Page n cites document n, the older version if n is even."""
+    cited = m.table("pages").select("page_id", F.col("page_id").alias("doc_id"), (1 + F.col("page_id") % 2).cast("int").alias("version"))
+    return graph.citing(cited, m.versions, ["deprecated", "archived"]).select("page_id", "doc_id", "version")

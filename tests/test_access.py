@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from lattica.operators import access, gates, hierarchy
 
 T, LATE, EARLY = "2024-01-15 00:00:00", "2024-02-01 00:00:00", "2024-01-01 00:00:00"
@@ -105,3 +107,18 @@ def test_gates_are_closed_without_labels_or_candidates(spark):
     assert ok(c, seen, versions, chunks, []) == 0 and ok(c, seen, versions, chunks, ["public"], lifecycle=[]) == 0
     assert ok(c.limit(0), seen, versions, chunks, ["public"]) == 0 and ok(c, seen.limit(0), versions, chunks, ["public"]) == 0
     assert ok(c, seen, versions, chunks, ["public"], tombstones=seen.select("company_id", "doc_id")) == 0
+
+
+def test_deep_trees(spark):
+    """Far deeper than a recursive query's bound, with a fork, an orphan and a cycle."""
+    chain = [(1, 1, None), *((1, k, k - 1) for k in range(2, 151)), (1, 900, 75), (2, 5, None)]
+    df = spark.createDataFrame(chain, "company_id long, unit_id long, parent_id long")
+    got = sorted(map(tuple, hierarchy.closure(df).collect()))
+    want = [(1, a, d, d - a) for d in range(1, 151) for a in range(1, d + 1)] + [(1, 900, 900, 0), *((1, a, 900, 76 - a) for a in range(1, 76)), (2, 5, 5, 0)]
+    assert got == sorted(want)
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.closure(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], df.schema)).count()
+    assert hierarchy.closure(df.limit(0)).count() == 0
+    turns = spark.createDataFrame([*chain, (1, 700, 701), (3, 1, 2), (3, 2, 1)], "conv_id long, turn long, parent_turn long")
+    rows = {(r.conv_id, r.turn): (r.depth, r.path) for r in hierarchy.reply_paths(turns).collect()}
+    assert len(rows) == 152 and rows[1, 150] == (149, "/".join(map(str, range(1, 151)))) and rows[1, 900] == (75, "/".join(map(str, [*range(1, 76), 900]))) and rows[2, 5] == (0, "5")
