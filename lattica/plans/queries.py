@@ -77,6 +77,12 @@ def v16_visible_units(m: Model) -> DataFrame:
     return m.units.where("unit_id < 1000").join(scope(m), ["company_id", "unit_id"])
 
 
+@query()
+def v16_visible_units_all(m: Model) -> DataFrame:
+    """Roots, divisions and departments."""
+    return m.units.join(scope(m), ["company_id", "unit_id"]).select("company_id", "unit_id", "parent_id", "name", "user_id")
+
+
 @query("""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn - 1 END parent_turn FROM conversations),
 down AS (SELECT conv_id, turn, 0 depth, turn::VARCHAR path FROM t WHERE parent_turn IS NULL UNION ALL SELECT d.conv_id, t.turn, d.depth + 1, d.path || '/' || t.turn FROM down d JOIN t ON t.conv_id = d.conv_id AND t.parent_turn = d.turn)
 SELECT conv_id, turn, depth, path FROM down""")
@@ -157,9 +163,9 @@ def first_chunks(m: Model) -> DataFrame:
     return m.documents.select("company_id", "doc_id", (F.col("doc_id") * 1000).alias("chunk_id"), F.substring("text", 1, 40).alias("content"))
 
 
-def candidates(m: Model) -> DataFrame:
-    """Each 25th user ranks all documents of the tenant, in an order of its own."""
-    users = m.users.where("user_id % 25 = 0").select("company_id", "user_id", F.col("user_id").alias("query_id"))
+def candidates(m: Model, every: int = 25) -> DataFrame:
+    """Each 25th user (or each) ranks all documents of the tenant, in an order of its own."""
+    users = m.users.where(F.col("user_id") % every == 0).select("company_id", "user_id", F.col("user_id").alias("query_id"))
     pairs = users.join(first_chunks(m), "company_id")
     order = Window.partitionBy("user_id").orderBy((F.col("doc_id") * 7 + F.col("user_id")) % 1009, "doc_id")
     return pairs.withColumn("rank", F.row_number().over(order)).select("query_id", "user_id", "company_id", "chunk_id", "rank")
@@ -182,6 +188,29 @@ def k04_first_of_gate(m: Model) -> DataFrame:
     return retrieve.first(gates.gate_chunks(candidates(m), visible(m), m.versions, first_chunks(m), CLEARED), 5).rows.select("query_id", "chunk_id", "rank")
 
 
+# The queries with SQL take some users, starts or documents, as it does; the
+# ones named _all take all of them and have none (see tests/test_whole.py).
+
+
+def gated_all(m: Model, tombstones: DataFrame | None = None) -> gates.Evidence:
+    return gates.gate_chunks(candidates(m, 1), visible(m), m.versions, first_chunks(m), CLEARED, tombstones=tombstones)
+
+
+@query()
+def g07_chunk_gate_all(m: Model) -> DataFrame:
+    return gated_all(m).rows.select("query_id", "user_id", "company_id", "chunk_id", "rank", "doc_id", "version", "content")
+
+
+@query()
+def g07_chunk_gate_tombstones_all(m: Model) -> DataFrame:
+    return gated_all(m, m.documents.where("deleted").select("company_id", "doc_id")).rows.select("query_id", "chunk_id", "rank")
+
+
+@query()
+def k04_first_of_gate_all(m: Model) -> DataFrame:
+    return retrieve.first(gated_all(m), 5).rows.select("query_id", "chunk_id", "rank")
+
+
 EDGE_CANDIDATES = """edge_candidates AS (SELECT u.user_id query_id, u.user_id, u.company_id, e.edge_id, row_number() OVER (PARTITION BY u.user_id ORDER BY e.edge_id)::INT AS rank FROM users u JOIN edges e ON e.company_id = u.company_id WHERE u.user_id % 5 = 0)"""
 EDGE_GATE = """edge_gate AS (SELECT c.query_id, c.edge_id, c.rank, e.source_doc doc_0, e.target_doc doc_1 FROM edge_candidates c JOIN edges e USING (company_id, edge_id)
   WHERE e.review_state IN ('approved', 'auto') AND (e.expires_at IS NULL OR e.expires_at > TIMESTAMP '2024-01-15') AND (e.superseded_at IS NULL OR e.superseded_at > TIMESTAMP '2024-01-15')
@@ -189,8 +218,8 @@ EDGE_GATE = """edge_gate AS (SELECT c.query_id, c.edge_id, c.rank, e.source_doc
 OK = "ok AS (SELECT DISTINCT s.user_id, v.doc_id FROM visible s JOIN versions v ON v.doc_id = s.doc_id AND v.lifecycle = 'active' AND v.sensitivity IN ('public', 'internal', 'confidential'))"
 
 
-def edge_gate(m: Model) -> gates.Evidence:
-    users = m.users.where("user_id % 5 = 0").select("company_id", "user_id", F.col("user_id").alias("query_id"))
+def edge_gate(m: Model, every: int = 5) -> gates.Evidence:
+    users = m.users.where(F.col("user_id") % every == 0).select("company_id", "user_id", F.col("user_id").alias("query_id"))
     found = users.join(m.edges.select("company_id", "edge_id"), "company_id").withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("edge_id")))
     ends = m.edges.select("company_id", "edge_id", F.lit(0).alias("ordinal"), F.col("source_doc").alias("doc_id")).union(m.edges.select("company_id", "edge_id", F.lit(1), "target_doc"))
     return gates.gate_edges(found, visible(m), m.versions, m.edges, ends, CLEARED, STATES, AS_OF)
@@ -201,6 +230,11 @@ def g08_relationship_gate(m: Model) -> DataFrame:
     return edge_gate(m).rows.select("query_id", "edge_id", "rank", "doc_0", "doc_1")
 
 
+@query()
+def g08_relationship_gate_all(m: Model) -> DataFrame:
+    return edge_gate(m, 1).rows.select("query_id", "edge_id", "rank", "doc_0", "doc_1")
+
+
 @query(sql("""SELECT company_id, doc_id FROM docs WHERE (company_id, doc_id) IN (SELECT company_id, resource_id FROM grants WHERE resource_type = 'document' AND grant_id % 7 = 0)
 UNION SELECT d.company_id, d.doc_id FROM docs d JOIN closure c ON c.company_id = d.company_id AND c.descendant = d.owner_unit_id JOIN grants g ON g.company_id = c.company_id AND g.resource_type = 'org_unit' AND g.resource_id = c.ancestor AND (g.resource_applies_to = 'self_and_descendants' OR c.depth = 0) WHERE g.grant_id % 7 = 0"""))
 def g10_affected_docs(m: Model) -> DataFrame:
@@ -309,6 +343,13 @@ def x07_refusals(m: Model) -> DataFrame:
     return gates.refusals(asked, visible(m), m.versions, m.documents, CLEARED)
 
 
+@query()
+def x07_refusals_all(m: Model) -> DataFrame:
+    """All users ask for all documents of their tenant."""
+    asked = m.users.select("company_id", "user_id").join(m.documents.select("company_id", "doc_id"), "company_id").select("user_id", "doc_id")
+    return gates.refusals(asked, visible(m), m.versions, m.documents, CLEARED)
+
+
 @query(sql("SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false"))
 def c01_violations(m: Model) -> DataFrame:
     return checks.violations(m.units, m.memberships, m.grants, m.documents, m.versions, m.edges)
@@ -499,8 +540,17 @@ two AS (SELECT o.start, o.y mid, l.y, o.e1, l.edge_id e2, o.s + ln(l.confidence:
 
 @query(sql("SELECT start, 1 hops, start || '/' || y nodes, round(exp(s), 6) score FROM one UNION ALL SELECT start, 2, start || '/' || mid || '/' || y, round(exp(s / 2) * 0.8::DOUBLE, 6) FROM two", BOTH))
 def x02_paths(m: Model) -> DataFrame:
+    return paths(m, 20)
+
+
+@query()
+def x02_paths_all(m: Model) -> DataFrame:
+    return paths(m, 1)
+
+
+def paths(m: Model, every: int) -> DataFrame:
     e = m.edges.select("edge_id", F.col("source_doc").alias("source"), F.col("target_doc").alias("target"), "confidence")
-    starts = m.vectors.where("doc_id % 20 = 0").select(F.col("doc_id").alias("start"))
+    starts = m.vectors.where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("start"))
     return graph.paths(e, starts, 2).select("start", "hops", F.array_join(F.transform("nodes", lambda n: n.cast("string")), "/").alias("nodes"), F.round("score", 6).alias("score"))
 
 
@@ -510,6 +560,12 @@ def x05_impact(m: Model) -> DataFrame:
     return graph.impact(e, m.documents.where("doc_id % 10 = 1").select("doc_id"))
 
 
+@query()
+def x05_impact_all(m: Model) -> DataFrame:
+    e = m.edges.select("edge_id", F.col("source_doc").alias("source"), F.col("target_doc").alias("target"))
+    return graph.impact(e, m.documents.select("doc_id"))
+
+
 @query(sql(f"SELECT q query_id, round(avg(h), 6) AS precision FROM (SELECT q.doc_id q, (p.label = q.label)::INT h, row_number() OVER (PARTITION BY q.doc_id ORDER BY {DOT} DESC, p.chunk_id) r FROM vectors p, vectors q WHERE q.doc_id % 50 = 0) WHERE r <= 10 GROUP BY 1"))
 def x09_precision(m: Model) -> DataFrame:
     q = m.vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("want"))
