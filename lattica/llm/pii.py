@@ -6,6 +6,10 @@ their format: digits stay digits, letters letters, separators stay where they
 are, check digits are right again and dates are dates. The permutation depends
 on the value alone, so equal values stay equal across documents and runs.
 
+What fits a pattern but isn't valid is tried again with fewer of its groups,
+then as the other kinds, then from its next group on; so a valid number is
+found beside digits or capitals that aren't part of it.
+
 The permutation: a value is a number in a mixed-radix domain; a keyed Feistel
 network with cycle walking permutes the domain (E), and E, one step on, and E
 undone is a permutation without a fixed point. So no value stays as it was.
@@ -176,21 +180,45 @@ def phone(text: str, key: bytes) -> str | None:
     return spread(text, [*d[:head], *(x + b for x, b in zip(new, low))])
 
 
-#: The first pattern that fits at a place decides; what isn't valid stays.
-FIND = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,})"
-    r"|(?<![A-Za-z0-9])(?:"
-    r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-    r"|(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:gh[pousr]_|github_pat_|sk-|xox[a-z]-|AIza)[A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])"
-    r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![A-Za-z0-9]|\.\d)"
-    r"|(?P<date>\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![A-Za-z0-9]|[-/.]\d)"
-    r"|(?P<ssn>\d{3}[- ]\d{2}[- ]\d{4})(?![A-Za-z0-9]|-\d)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![A-Za-z0-9]|-\d)"
-    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z0-9]|-\d)"
-    r")"
-)
+PATTERNS = {
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:gh[pousr]_|github_pat_|sk-|xox[a-z]-|AIza)[A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])",
+    "ip": r"\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)",
+    "date": r"(?:\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![A-Za-z0-9]|[-/.]\d)",
+    "ssn": r"\d{3}[- ]\d{2}[- ]\d{4}(?![A-Za-z0-9]|-\d)",
+    "card": r"\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])",
+    "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z0-9]|-\d)",
+}
+#: Where something may begin, and the kind and end to be tried first.
+FIND = re.compile(f"(?P<email>{PATTERNS['email']})|(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "email") + ")")
+ONE = {k: re.compile(v if k == "email" else f"(?<![A-Za-z0-9]){v}") for k, v in PATTERNS.items()}
+#: Kinds that may have taken in groups of what follows them.
+GROUPED = ("iban", "card", "phone")
+#: Characters of an IBAN by country.
+IBAN_SIZES = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in names.split()
+}
 #: Texts without these hold nothing to find.
-MAYBE = re.compile(r"[0-9@]|AIza|gh[pousr]_|sk-")
+MAYBE = re.compile(r"[0-9@]|AKIA|AIza|gh[pousr]_|github_pat_|sk-|xox[a-z]-")
+
+
+def ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a match may end: as found, then at the borders of its groups from the last back; an IBAN of its country's size first."""
+    if kind not in GROUPED:
+        return [end]
+    out = [end, *(k for k in range(end - 1, start, -1) if text[k] in " .-" and text[k - 1] not in " .-")]
+    if kind == "iban":
+        own = IBAN_SIZES.get(text[start : start + 2])
+        out.sort(key=lambda k: k - start - text.count(" ", start, k) != own)
+    return out
+
+
 MAKERS: dict[str, Callable[[str, bytes], str | None]] = {"email": email, "iban": iban, "secret": secret, "ip": ip, "date": date, "ssn": ssn, "card": card, "phone": phone}
 
 
@@ -205,14 +233,28 @@ class Pseudonyms:
         if not text or not MAYBE.search(text):
             return text, counts
 
-        def one(m: re.Match) -> str:
-            new = self.of(m.lastgroup, m[m.lastgroup])
-            if new is None:
-                return m[0]
-            counts[m.lastgroup] += 1
-            return new
-
-        return FIND.sub(one, text), counts
+        out, done, m = [], 0, FIND.search(text)
+        while m:
+            start = m.start()
+            kind, end, new = self.at(text, m)
+            if new is not None:
+                counts[kind] += 1
+                out += [text[done:start], new]
+                done = end
+            # Behind what isn't valid another value may begin at the next group.
+            m = FIND.search(text, start + 1 if new is None else end)
+        return "".join([*out, text[done:]]) if out else text, counts
+
+    def at(self, text: str, m: re.Match) -> tuple[str, int, str | None]:
+        """Kind, end and pseudonym of the first valid value where ``m`` begins."""
+        start = m.start()
+        for kind in KINDS[KINDS.index(m.lastgroup) :]:
+            tried = m if kind == m.lastgroup else ONE[kind].match(text, start)
+            for end in ends(kind, text, start, tried.end()) if tried else ():
+                new = self.of(kind, text[start:end])
+                if new is not None:
+                    return kind, end, new
+        return m.lastgroup, m.end(), None
 
 
 def pseudonymise(docs: DataFrame, key: bytes, with_counts: bool = True) -> DataFrame:
