@@ -3,32 +3,31 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprints, language_id, media, near_dup, packing, pii, quality
-from .common import id_crc, table
-from .resharding import reshard
+from .common import id_crc, shared_dir, table
+from .resharding import lay_out_anew
 
 #: Old and new numbers of shards of op2.
 OLD_SHARDS, NEW_SHARDS = 32, 40
 
 
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents from 32 hashed shards into 40 of equal bytes.
+    """documents from files of 32 hashed shards into files of 40 of equal bytes.
 
-    The text is read once for its size and checksum and isn't shuffled.
+    All that is returned is read from the rewritten files.
     """
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("bytes"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    out = reshard(docs, F.pmod(id_crc(), F.lit(OLD_SHARDS)), F.col("bytes"), NEW_SHARDS)
+    old_shard = F.coalesce(F.pmod(id_crc(), F.lit(OLD_SHARDS)).cast("int"), F.lit(0))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lay_out_anew(docs, old_shard, size, NEW_SHARDS, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+        "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), old_shard.alias("old_shard"),
     )
 
 

@@ -15,6 +15,7 @@ has about ``rows_per_block`` rows, so no window sees a whole shard.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import deque
 
 from pyspark.sql import DataFrame, Window
@@ -101,6 +102,9 @@ def flow_step(layout: DataFrame, capacity: list[int], cost=None, rows_per_block:
     for i in range(n_old):
         at = 0
         order = sorted((j != i, j) for (a, j) in flow if a == i)
+        if not order:
+            # No byte flows from it; rows without bytes stay, or go to the last shard if theirs is gone.
+            borders.append((i, at, 2**62, min(i, len(capacity) - 1)))
         for k, (_, j) in enumerate(order):
             last = k == len(order) - 1
             borders.append((i, at, 2**62 if last else at + flow[i, j], j))
@@ -161,24 +165,51 @@ def reshard(df: DataFrame, old_shard, size, capacity_shares: list[float] | int,
     return rows.drop("_row")
 
 
-def rewrite_affected(before: DataFrame, after: DataFrame, path: str) -> list[int]:
+def rewrite_affected(before: DataFrame, after: DataFrame, path: str, key: str = "doc_id") -> list[int]:
     """Rewrite only the shards whose rows changed; returns them.
 
-    ``before`` and ``after`` hold the same rows with ``shard`` and a key column
-    ``doc_id``; the data set at ``path`` is partitioned by ``shard``. Shards
-    that gain or lose a row are written over, the files of others stay.
+    ``before`` and ``after`` hold the same rows with ``shard``, ``slot`` and a
+    column ``key``; the data set at ``path`` is partitioned by ``shard``.
+    Shards that gain or lose a row, or a slot of which changes, are written
+    anew beside it and take the place of the old ones; the files of others
+    stay. Null and repeated keys count as often as they are there. ``after``
+    may be read from ``path``.
     """
     spark = after.sparkSession
-    was = before.select("doc_id", F.col("shard").alias("_was"))
-    changed = after.join(was, "doc_id").where("shard <> _was")
+    place = ["shard", "slot", key]
+    both = before.select(*place, F.lit(1).alias("_n")).unionByName(after.select(*place, F.lit(-1).alias("_n")))
+    changed = both.groupBy(*place).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     # At most as many rows as there are shards.
-    ids = sorted(r[0] for r in changed.select(F.explode(F.array("shard", "_was"))).distinct().collect())
-    affected = after.where(F.col("shard").isin(ids)) if ids else after.limit(0)
+    ids = sorted(r[0] for r in changed.select("shard").distinct().collect())
     if ids:
-        (stored(affected, "rewrite").repartition("shard", F.pmod("slot", F.lit(64))).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
-        gone = set(ids) - {r[0] for r in after.select("shard").distinct().collect()}
-        for shard in gone:
-            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        after.where(F.col("shard").isin(ids)).write.partitionBy("shard").parquet(fresh)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for shard in ids:
+            new, old = hadoop(f"{fresh}/shard={shard}"), hadoop(f"{path}/shard={shard}")
+            fs.delete(old, True)
+            if fs.exists(new) and not fs.rename(new, old):
+                raise OSError(f"can't move {new} to {old}")
+        fs.delete(hadoop(fresh), True)
     return ids
+
+
+def lay_out_anew(df: DataFrame, old_shard, size, capacity_shares: list[float] | int, path: str) -> DataFrame:
+    """``df`` as a data set of old shards at ``path``, moved to the new ones there and read back.
+
+    Adds ``shard`` and ``slot``; arguments as for ``reshard``. Rows are known
+    by a number of their own (``_id``), so null and repeated ids are safe.
+    Each writing task has a file in each shard that it has rows of; texts are
+    shuffled once, where they meet their new places.
+    """
+    spark = df.sparkSession
+    kept = [c for c in df.columns if c not in ("shard", "slot", "_id")]
+    old = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(old_shard.cast("int"), F.lit(0)).alias("shard"), F.monotonically_increasing_id().alias("_id"), F.lit(None).cast("long").alias("slot"))
+    old.write.partitionBy("shard").parquet(path)
+    before = spark.read.schema(old.schema).parquet(path)
+    plan = reshard(before.select("_id", F.col("shard").alias("_old"), size.alias("_size")), F.col("_old"), F.col("_size"), capacity_shares)
+    plan = stored(plan.select("_id", "shard", "slot"), "places")
+    after = before.drop("shard", "slot").join(plan, "_id")
+    rewrite_affected(before, after, path, "_id")
+    return spark.read.schema(old.schema).parquet(path).drop("_id")

@@ -87,6 +87,33 @@ def test_only_affected_shards_are_rewritten(spark, tmp_path):
     assert kept == {p.name for p in (tmp_path / "shards/shard=2").iterdir()}
 
 
+def test_rows_without_id_move_too(spark, tmp_path):
+    rows = [(None, 0, 0), (None, 1, 0), (3, 1, 1), (3, 1, 2), (4, 2, 0)]
+    before = spark.createDataFrame(rows, "doc_id long, shard int, slot long")
+    path = str(tmp_path / "shards")
+    before.write.partitionBy("shard").parquet(path)
+    after = spark.createDataFrame([(None, 3, 0), *rows[1:]], before.schema)
+    assert resharding.rewrite_affected(before, after, path) == [0, 3]
+    assert sorted(map(str, spark.read.parquet(path).select(before.columns).collect())) == sorted(map(str, after.collect()))
+
+
+def test_shards_without_bytes_keep_their_rows(spark):
+    df = spark.createDataFrame([(k, k % 4, 10 if k % 4 < 2 else 0) for k in range(40)], "doc_id long, s int, n long")
+    got = resharding.reshard(df, F.col("s"), F.col("n"), 3).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40)) and {r.shard for r in got} <= {0, 1, 2}
+
+
+def test_texts_move_between_shard_files(spark, odd, none, tmp_path):
+    path = str(tmp_path / "shards")
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(k, f"text {k}" * (k % 9)) for k in range(500)] + [(None, "x")] * 3, "doc_id long, text string"))
+    got = resharding.lay_out_anew(docs, F.pmod("doc_id", F.lit(4)), F.octet_length("text"), 6, path).toPandas()
+    files = spark.read.parquet(path)
+    key = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    assert key(files) == key(docs) and {p.name for p in (tmp_path / "shards").iterdir() if p.name.startswith("shard=")} == {f"shard={s}" for s in set(got["shard"])}
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert resharding.lay_out_anew(none.select("doc_id", "text"), F.lit(0), F.lit(1), 3, str(tmp_path / "none")).count() == 0
+
+
 def test_chat(spark, none):
     turns = [(c, t, ("user", "assistant")[t % 2], f"line one of {t}\nmore text" if t % 2 else f"what is {t}?") for c in range(60) for t in range(6)]
     turns += [(99, t, ("user", "assistant")[t % 2], "a fairly long line of talk\n" * 300) for t in range(4)] + [(100, 0, None, None), (None, 0, "user", "hi"), (100, 0, "user", "again")]
