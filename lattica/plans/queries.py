@@ -432,10 +432,10 @@ TURNS = """merged AS (SELECT query_id, kind, id, row_number() OVER (PARTITION BY
   UNION ALL SELECT query_id, 'relationship', edge_id, 2 * (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1) + 1 FROM edge_gate WHERE query_id % 30 = 0) QUALIFY pos <= 12)"""
 
 
-def merged(m: Model) -> DataFrame:
+def merged(m: Model, limit: int = 12) -> DataFrame:
     a = retrieved(m).select("query_id", F.col("pos").alias("rank"), F.col("chunk_id").alias("id"))
     b = edge_gate(m).rows.where("query_id % 30 = 0").select("query_id", "rank", F.col("edge_id").alias("id"))
-    return retrieve.interleave(a, b, 12)
+    return retrieve.interleave(a, b, limit)
 
 
 @query(sql("SELECT query_id, pos, kind, id FROM merged", POINTS, ASK, FOUND, HITS, EDGE_CANDIDATES, OK, EDGE_GATE, TURNS))
@@ -449,16 +449,24 @@ def r10_evidence_json(m: Model) -> DataFrame:
     return retrieve.as_json(merged(m))
 
 
+def prompt_chunks(m: Model) -> DataFrame:
+    """The first chunk of each document, which its vector stands for; empty where a document has none."""
+    made = chunking.chunks(chunking.sections(m.documents.select("doc_id", "text"))).where("chunk_index = 0")
+    made = m.documents.select("doc_id").join(made.select("doc_id", "content"), "doc_id", "left")
+    return made.select("doc_id", (F.col("doc_id") * 1000).alias("chunk_id"), F.coalesce("content", F.lit("")).alias("content"))
+
+
 @query()
 def v11_prompt(m: Model) -> DataFrame:
     """One packed prompt for each query; sequential by nature, see the tests."""
-    e = merged(m)
-    d = first_chunks(m).select("doc_id", "chunk_id", retrieve.escaped(F.col("content")).alias("t"))
+    # Twenty items, and at most ten chunks that are in already and don't count.
+    e = merged(m, 30)
+    d = prompt_chunks(m).select("doc_id", "chunk_id", retrieve.escaped(F.col("content")).alias("t"))
     chunk = e.where("kind = 'chunk'").join(d, e.id == d.chunk_id).select("query_id", "pos", "kind", F.col("id").alias("key"), F.array(F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text"))).alias("chunks"))
     ends = m.edges.select(F.col("edge_id").alias("id"), "source_doc", "target_doc")
     a, b = d.select(F.col("doc_id").alias("source_doc"), F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text")).alias("a")), d.select(F.col("doc_id").alias("target_doc"), F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text")).alias("b"))
     rel = e.where("kind <> 'chunk'").join(ends, "id").join(a, "source_doc").join(b, "target_doc").select("query_id", "pos", "kind", F.col("id").alias("key"), F.array("a", "b").alias("chunks"))
-    return retrieve.pack(chunk.union(rel), 2_000, 8).select("query_id", F.array_join("included", ",").alias("included"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), "n_bytes", F.sha2("prompt", 256).alias("prompt_sha256"))
+    return retrieve.pack(chunk.union(rel)).select("query_id", F.array_join("included", ",").alias("included"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), "n_bytes", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query(sql("SELECT company_id, edge_id, edge_type, version_ FROM (SELECT company_id, edge_id, edge_type, 1 version_, row_number() OVER (ORDER BY edge_id % 17, edge_id) n FROM edges WHERE company_id = 1) WHERE n BETWEEN 11 AND 30"))
@@ -583,6 +591,13 @@ def f01_hash_and_escape(m: Model) -> DataFrame:
     return d.select("doc_id", F.sha2("text", 256).alias("content_hash"), retrieve.tokens_at_most(F.col("text"), F.lit("")).alias("tokens_at_most"), retrieve.escaped(F.substring("text", 1, 200)).alias("escaped"))
 
 
+@query()
+def f01_hash_and_escape_all(m: Model) -> DataFrame:
+    """Whole texts; f01_hash_and_escape escapes their first 200 characters, as its SQL does."""
+    d = m.table("documents")
+    return d.select("doc_id", F.sha2("text", 256).alias("content_hash"), retrieve.tokens_at_most(F.col("text"), F.lit("")).alias("tokens_at_most"), retrieve.escaped(F.col("text")).alias("escaped"))
+
+
 UUIDS = """hashes AS (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR || ':model')) u, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR || ':model:1')) e FROM documents)"""
 SHAPE = "left({0}, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || (['8', '9', 'a', 'b'])[((instr('0123456789abcdef', substr({0}, 17, 1)) - 1) % 4 + 1)::INT] || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
 
@@ -600,6 +615,13 @@ def f13_page_text(m: Model) -> DataFrame:
     return p.select("page_id", text.extension(F.col("url")).alias("ext"), text.collapse(F.substring("html", 1, 300)).alias("collapsed"), F.octet_length("html").cast("long").alias("n_bytes"))
 
 
+@query()
+def f13_page_text_all(m: Model) -> DataFrame:
+    """Whole pages; f13_page_text collapses their first 300 characters, as its SQL does."""
+    p = m.table("pages")
+    return p.select("page_id", text.extension(F.col("url")).alias("ext"), text.collapse(F.col("html")).alias("collapsed"), F.octet_length("html").cast("long").alias("n_bytes"))
+
+
 @query(sql("SELECT event_id, k, coalesce(k::VARCHAR, '') k_text, least(300, pow(2, event_id % 12))::INT backoff_s FROM ev"))
 def f19_json_and_backoff(m: Model) -> DataFrame:
     e = m.table("events")
