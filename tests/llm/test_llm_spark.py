@@ -176,36 +176,66 @@ def test_a_broken_member_is_tried_alone(spark, tmp_path):
 
 
 def python_compare(rows):
-    """op5's result by plain sets."""
-    rows = sorted(((d, t or "") for d, t in rows), key=lambda x: -x[0])
-    pieces = lambda t: set(re.findall(r"[^\n]{1,100}", t))
+    """op5's result by plain sets, as a sorted list; rows with equal ids may follow each other in any order."""
+    pieces = lambda t: set(re.findall(r"[^\n]+?(?:(?<=[.!?…。！？]\s)|(?<=[kwxz7]\s)|(?=\n)|$)", t))
     alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    out = {}
+    out = []
     for k, (d, t) in enumerate(rows):
         n = rows[(k + 1) % len(rows)][1]
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        out[d] = (len(t), hashlib.sha256(e.encode()).hexdigest(), alike(pieces(t), pieces(e)), alike(pieces(t), pieces(n)))
-    return out
+        out.append((str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), round(alike(pieces(t), pieces(e)), 9), round(alike(pieces(t), pieces(n)), 9)))
+    return sorted(out)
 
 
-def test_fingerprints(spark, none):
+def compared(out):
+    return sorted((str(x.doc_id), x.n_chars, x.edited_sha256, round(x.near_edited, 9), round(x.near_next, 9)) for x in out.collect())
+
+
+def in_order(spark, rows):
+    """As the operator orders them: by id downwards, nulls last, then by the hash of the text."""
+    df = spark.createDataFrame([(d, t or "") for d, t in rows], "doc_id long, text string")
+    return [(r.doc_id, r.text) for r in df.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+
+
+@pytest.mark.parametrize("turns", [18, 3])
+def test_fingerprints(spark, turns):
+    """Three turns empty few tables, so most pairs go through the retries."""
     r = random.Random(8)
-    line = lambda: "".join(r.choices("abcdéß日😀 ", k=r.randint(0, 250)))
-    rows = [(k * r.choice([1, 3, 1000]) + 5000 * k, "\n".join(line() for _ in range(r.randint(0, 12)))) for k in range(120)] + [(-7, None), (-8, ""), (-9, "x" * 30_000), (-10, rows_text := "same\nlines"), (-11, rows_text)]
+    line = lambda: "".join(r.choices("abcdéß日😀. k", k=r.randint(0, 250)))
+    rows = [(k * r.choice([1, 3, 1000]) + 5000 * k, "\n".join(line() for _ in range(r.randint(0, 12)))) for k in range(80)] + [(2**62, "far away"), (-7, None), (-8, ""), (-9, "x" * 30_000), (-10, rows_text := "same\nlines"), (-11, rows_text)]
+    rows += [(None, "\n".join(line() for _ in range(9))) for _ in range(20)] + [(-12, "\n".join(line() for _ in range(9))) for _ in range(20)] + [(-13, "equal. rows. " * 5)] * 40
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.lit("clash"))
-    got = {x.doc_id: x for x in fingerprints.compare(df, rows=10).collect()}
-    want = python_compare(rows)
-    assert set(got) == set(want)
-    for d, (n, sha, a, b) in want.items():
-        x = got[d]
-        assert (x.n_chars, x.edited_sha256) == (n, sha) and x.near_edited == pytest.approx(a) and x.near_next == pytest.approx(b)
+    want = python_compare(in_order(spark, rows))
+    out = fingerprints.compare(df, rows=10, turns=turns).cache()
+    assert compared(out) == want
+    got = {x.doc_id: x for x in out.collect()}
     assert got[-10].fingerprint == got[-11].fingerprint and got[-10].near_next == 1.0
-    # Tables that are too small fail and are tried again, in the end digest by digest.
-    again = {x.doc_id: x.near_next for x in fingerprints.compare(df, rows=10, turns=1).collect()}
-    assert again == pytest.approx({d: w[3] for d, w in want.items()})
-    assert fingerprints.compare(none).count() == 0
-    odd = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c"), (1, "c")], "doc_id long, text string")
-    assert fingerprints.compare(odd).count() == 4
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark, none):
+    r = random.Random(4)
+    text = lambda: "\n".join(f"{r.random()}" for _ in range(6))
+    rows = [(1, text()), (2, text()), (3, same := text()), (3, same), (3, text()), (None, text())]
+    assert compared(fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string"), turns=1)) == python_compare(in_order(spark, rows))
+    assert fingerprints.compare(none, turns=1).count() == 0
+    one = spark.createDataFrame([(None, "a")], "doc_id long, text string")
+    assert [(x.n_chars, x.near_next) for x in fingerprints.compare(one, turns=1).collect()] == [(1, 1.0)]
+
+
+def test_ranges_of_the_order_are_even(spark):
+    """Outliers, nulls and one id in a third of the rows make no large range."""
+    rows = [(k, f"t{k}") for k in range(3000)] + [(7, f"u{k}") for k in range(2000)] + [(8, "equal")] * 2000 + [(None, f"n{k}") for k in range(1000)] + [(2**60, "far")]
+    keys = fingerprints.placed(spark.createDataFrame(rows, "doc_id long, text string")).select("key")
+    borders = fingerprints.ranges(keys, len(rows), 100)
+    sizes = sorted(r["count"] for r in keys.groupBy(fingerprints.range_of(F.col("key"), borders).alias("b")).count().collect())
+    assert len(sizes) > 60 and sizes[-1] < 5 * 100
+    assert fingerprints.ranges(keys, 50, 100) == []
+
+
+def test_an_inserted_character_moves_no_other_cut(spark):
+    words = " ".join(f"word{k}" for k in range(2000))
+    rows = [(2, words), (1, words[:5000] + "#" + words[5000:])]
+    assert fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 2").first().near_next > 0.95
 
 
 def test_packing(spark, odd, none):
