@@ -32,6 +32,8 @@ from pyspark.sql.types import StructType
 from .common import small
 
 HALF_ROUNDS = 8
+#: Characters that are permuted together; longer values take several blocks.
+BLOCK = 128
 KINDS = ("email", "iban", "secret", "ip", "date", "ssn", "card", "phone")
 
 
@@ -71,12 +73,16 @@ def permute(digits: list[int], radices: list[int], key: bytes) -> list[int]:
 
 
 def characters(text: str, key: bytes) -> str:
-    """Permute digits, small and capital letters within their own kinds."""
+    """Permute digits, small and capital letters within their own kinds, ``BLOCK`` of them at a time."""
     classes = [c for c in (string.digits, string.ascii_lowercase, string.ascii_uppercase)]
     at = [(k, next(c for c in classes if ch in c)) for k, ch in enumerate(text) if ch.isascii() and ch.isalnum()]
     new = list(text)
-    for (k, c), d in zip(at, permute([c.index(text[k]) for k, c in at], [len(c) for _, c in at], key)):
-        new[k] = c[d]
+    for n in range(0, len(at), BLOCK):
+        part = at[n : n + BLOCK]
+        # The first block has the key itself, each further one a key of its own.
+        own = hashlib.blake2b(n.to_bytes(8, "big"), key=key, digest_size=32).digest() if n else key
+        for (k, c), d in zip(part, permute([c.index(text[k]) for k, c in part], [len(c) for _, c in part], own)):
+            new[k] = c[d]
     return "".join(new)
 
 
@@ -180,8 +186,11 @@ def phone(text: str, key: bytes) -> str | None:
     return spread(text, [*d[:head], *(x + b for x, b in zip(new, low))])
 
 
+#: An address is tried once for each run of the characters that it may begin
+#: with, and all else has a bounded length or begins at a border, so long unbroken
+#: texts take time in proportion to their length. Digits are ASCII digits.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[._%+\-]*[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:gh[pousr]_|github_pat_|sk-|xox[a-z]-|AIza)[A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)",
@@ -191,8 +200,8 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z0-9]|-\d)",
 }
 #: Where something may begin, and the kind and end to be tried first.
-FIND = re.compile(f"(?P<email>{PATTERNS['email']})|(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "email") + ")")
-ONE = {k: re.compile(v if k == "email" else f"(?<![A-Za-z0-9]){v}") for k, v in PATTERNS.items()}
+FIND = re.compile(f"(?P<email>{PATTERNS['email']})|(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "email") + ")", re.ASCII)
+ONE = {k: re.compile(v if k == "email" else f"(?<![A-Za-z0-9]){v}", re.ASCII) for k, v in PATTERNS.items()}
 #: Kinds that may have taken in groups of what follows them.
 GROUPED = ("iban", "card", "phone")
 #: Characters of an IBAN by country.
@@ -213,6 +222,8 @@ def ends(kind: str, text: str, start: int, end: int) -> list[int]:
     if kind not in GROUPED:
         return [end]
     out = [end, *(k for k in range(end - 1, start, -1) if text[k] in " .-" and text[k - 1] not in " .-")]
+    if kind == "card":
+        out = [k for k in out if k - start >= 13]  # it has 13 digits at least
     if kind == "iban":
         own = IBAN_SIZES.get(text[start : start + 2])
         out.sort(key=lambda k: k - start - text.count(" ", start, k) != own)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import secrets
 import uuid
+import warnings
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +45,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
 def pii_key() -> bytes:
-    """The secret key of pseudonyms; LATTICA_PII_KEY on a real run."""
-    return os.environ.get("LATTICA_PII_KEY", "a key for trials only").encode()[:64]
+    """The secret key of pseudonyms, from LATTICA_PII_KEY; if that isn't set, one drawn for this process.
+
+    With a drawn key equal values are linked within all that this process
+    makes, and with nothing made elsewhere or later.
+    """
+    given = os.environ.get("LATTICA_PII_KEY")
+    if given:
+        return hashlib.blake2b(given.encode(), digest_size=64).digest()
+    warnings.warn("LATTICA_PII_KEY isn't set; pseudonyms get a key drawn for this process", stacklevel=2)
+    return secrets.token_bytes(64)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
