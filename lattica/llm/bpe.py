@@ -14,6 +14,7 @@ Spark read it: one Arrow pass, no shuffle.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import struct
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame
 
 from .common import small
 
-#: Chunks of text, and words, that a worker remembers before it begins anew.
-CACHE = 250_000
+#: Chunks of text, and words, that a worker remembers before it begins anew, and
+#: their characters.
+CACHE, CACHE_TEXT = 250_000, 16 << 20
 #: Fixed value: White_Space of Unicode.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -137,21 +139,36 @@ class Vocabulary:
         return out
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging, lowest rank first, left to right."""
+        """Exact merging, lowest rank first, then from the left.
+
+        Parts are linked to their neighbours, and pairs wait in a heap, so a
+        word of n characters takes about n log n steps.
+        """
         parts = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + self.end]]
-        rank, never = self.rank, (1 << 60, -1)
-        ranks = [rank.get(p, never) for p in zip(parts, parts[1:])]
-        while ranks and (best := min(ranks)) is not never:
-            k = 0
-            while best in ranks[k:]:
-                k = ranks.index(best, k)
-                parts[k : k + 2] = [best[1]]
-                del ranks[k]
-                if k < len(ranks):
-                    ranks[k] = rank.get((parts[k], parts[k + 1]), never)
-                if k:
-                    ranks[k - 1] = rank.get((parts[k - 1], parts[k]), never)
-        return parts
+        rank, n = self.rank, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # A rank stands for one pair, so rank and place say all.
+        heap = [r[0] << 32 | k for k, pair in enumerate(zip(parts, parts[1:])) if (r := rank.get(pair))]
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            top = pop(heap)
+            k = top & 0xFFFFFFFF
+            j = after[k]
+            r = rank.get((parts[k], parts[j])) if j < n else None
+            if r is None or r[0] != top >> 32:
+                continue  # the pair has gone since
+            made = r[1]
+            parts[k], parts[j] = made, -1
+            after[k] = j = after[j]
+            if j < n:
+                before[j] = k
+                if r := rank.get((made, parts[j])):
+                    push(heap, r[0] << 32 | k)
+            i = before[k]
+            if i >= 0 and (r := rank.get((parts[i], made))):
+                push(heap, r[0] << 32 | i)
+        return [p for p in parts if p >= 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of words in byte symbols; all pairs are tested at once."""
@@ -184,6 +201,7 @@ class Encoder:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.special, key=len, reverse=True))) + ")")
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
         self.pack = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
     def chunks(self, text: str) -> list[str]:
@@ -197,12 +215,13 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode all new chunks (texts without spaces) together."""
-        if len(self.known) + len(chunks) > CACHE:
-            self.known = {}
-        if len(self.words) > CACHE:
+        if len(self.known) + len(chunks) > CACHE or self.held > CACHE_TEXT:
+            self.known, self.held = {}, 0
+        if len(self.words) > CACHE or not self.held:
             self.words = {}
         known, by_word, names = self.known, self.words, self.vocab.names
         chunks = [c for c in chunks if c not in known]
+        self.held += sum(map(len, chunks))
         pieces = [PIECES.findall(c) for c in chunks]
         words = list({w for p in pieces for w in p if w not in by_word})
         coded = self.vocab.encode_words([w if w.isalnum() and w.isascii() else w.encode().decode("latin-1").translate(self.vocab.symbols) for w in words])

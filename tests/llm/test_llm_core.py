@@ -1,6 +1,7 @@
 """Parts of the corpus operators that need no Spark, against plain versions."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -37,6 +38,45 @@ def test_bpe_proposals_are_verified():
     assert v.encode_words([]) == []
 
 
+def test_long_words_equal_the_library():
+    """Also where equal pairs overlap and where much fails; the time is about linear in the length."""
+    path, r = public.path("word_bpe_49k.json"), random.Random(6)
+    lib, own = Tokenizer.from_file(path), bpe.Encoder(path)
+    for text in ("a" * 50_001, "ab" * 9000, "".join(r.choices("aenrtioshblx", k=20_000)), "é" * 5000, "".join(r.choices("aeiouAZ09+/", k=20_000)), "mississippi" * 900):
+        began = time.perf_counter()
+        ((ids, _),) = own.batch([text])
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert time.perf_counter() - began < 3
+
+
+def test_long_unbroken_texts_take_linear_time():
+    r, own = random.Random(1), pii.Pseudonyms(b"key")
+    runs = ["a" * 200_000, "".join(r.choices("abcXYZ0123456789+/", k=200_000)), "1" * 200_000, "f0" * 100_000, "a." * 100_000, "a@" * 100_000, "a@" + "b." * 100_000, "-" * 200_000, "sk-" * 60_000, "x" * 200_000 + "@example.com"]
+    for text in runs:
+        began = time.perf_counter()
+        new, counts = own.replace(text + " 4111 1111 1111 1111")
+        assert time.perf_counter() - began < 4 and len(new) == len(text) + 20 and counts["card"] == 1
+    assert own.replace("x" * 300 + "@example.com")[1]["email"] == 1
+    # Digits of other scripts are no number of any format here.
+    assert own.replace("٣٢١-٤٥-٦٧٨٩ and ４１１１１１１１１１１１１１１１")[0] == "٣٢١-٤٥-٦٧٨٩ and ４１１１１１１１１１１１１１１１"
+
+
+def test_the_key_is_given_or_drawn(monkeypatch):
+    from lattica.llm import queries
+
+    monkeypatch.setenv("LATTICA_PII_KEY", "given")
+    queries.pii_key.cache_clear()
+    given = queries.pii_key()
+    monkeypatch.delenv("LATTICA_PII_KEY")
+    queries.pii_key.cache_clear()
+    with pytest.warns(UserWarning, match="LATTICA_PII_KEY"):
+        drawn = queries.pii_key()
+    assert given != drawn == queries.pii_key() and len(given) == len(drawn) == 64
+    queries.pii_key.cache_clear()
+    with pytest.warns(UserWarning):
+        assert queries.pii_key() != drawn
+
+
 def test_token_chunks_equal_the_library():
     path = public.path("byte_bpe_50k.json")
     own, texts = packing.Tokens(path), odd_texts(4000, 9)
