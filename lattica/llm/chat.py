@@ -6,11 +6,13 @@ length, whether it asks and whether it is a list item. The model's tables are
 counted from labelled lines; the most likely states (Viterbi) give roles and
 turn borders, also where markers are missing or misleading.
 
-No conversation must fit into one task. Lines are decoded in blocks of
-``BLOCK`` lines: a block's best scores from each state before it to each state
-at its end form a matrix; matrices of ``FAN`` neighbours combine into one, level
-by level, until each conversation has one; then the best states at the borders
-go down the levels, and each block is decoded between its two known states.
+No conversation and no turn must fit into one task. Lines and turns are numbered
+by sums over ranges of rows. Lines are decoded in blocks of ``BLOCK`` lines: a
+block's best scores from each state before it to each state at its end form a
+matrix; matrices of ``FAN`` neighbours combine into one, level by level, until
+each conversation has one; then the best states at the borders go down the
+levels, and each block is decoded between its two known states. A turn is
+rendered in pieces that end at every ``PIECE``-th line of the conversation.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import earlier, stored
 
 ROLES = ("system", "user", "assistant")
 #: States: first line of a role's turn (0 to 2), later line of it (3 to 5); 6 stands before the start.
 STATES, START = 6, 6
-BLOCK, FAN = 256, 64
+BLOCK, FAN, PIECE = 256, 64, 1024
 #: Names that mark a speaker at the start of a line.
 MARKERS = {"system": "System|Instructions", "user": "User|Human|Customer|Q", "assistant": "Assistant|Bot|AI|Agent|A"}
 CODES = 5 * 5 * 2 * 2
@@ -49,19 +51,18 @@ def code(line: Column) -> Column:
     return F.coalesce(((marker * 5 + size) * 2 + asks) * 2 + item, F.lit(0)).cast("int")
 
 
-def numbered(turns: DataFrame, text: str = "text") -> DataFrame:
-    """(conv_id, part, line_no, line): the lines of texts that follow each other by ``part``.
+def numbered(turns: DataFrame) -> DataFrame:
+    """(conv_id, row, line_no, is_first, line): the lines of texts that follow each other by ``part``.
 
-    Null texts are one empty line. Parts with equal numbers follow each other
-    by their text.
+    ``turns`` (row, conv_id, part, text): ``row`` is unique, ``conv_id`` isn't
+    null. Null texts are one empty line. Parts with equal numbers follow each
+    other by a hash of their text.
     """
-    rows = turns.select("conv_id", "part", F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_lines", F.size(F.split("_text", "\n", -1)))
-    # Running sums over numbers only; the texts stay out of the window's buffer.
-    w = Window.partitionBy("conv_id").orderBy("part", F.xxhash64("_text")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_first", F.coalesce(F.sum("_lines").over(w), F.lit(0)))
-    lines = rows.select("conv_id", "part", "_first", F.posexplode(F.split("_text", "\n", -1)).alias("_k", "line"))
-    return lines.select("conv_id", "part", (F.col("_first") + F.col("_k")).cast("long").alias("line_no"), (F.col("_k") == 0).alias("is_first"), "line")
+    text = F.coalesce("text", F.lit(""))
+    counts = turns.select("row", "conv_id", F.coalesce("part", F.lit(-1).cast("long")).alias("part"), F.xxhash64(text).alias("_hash"), F.size(F.split(text, "\n", -1)).alias("_lines"))
+    first = earlier(counts, ["conv_id"], ["part", "_hash", "row"], "_lines", "_first").select("row", "_first")
+    lines = turns.join(first, "row").select("conv_id", "row", "_first", F.posexplode(F.split(text, "\n", -1)).alias("_k", "line"))
+    return lines.select("conv_id", "row", (F.col("_first") + F.col("_k")).cast("long").alias("line_no"), (F.col("_k") == 0).alias("is_first"), "line")
 
 
 @dataclass
@@ -210,8 +211,9 @@ def recover(lines: DataFrame, hmm: Hmm) -> DataFrame:
             )
 
     paths = blocks.drop("m").join(borders, ["conv_id", "idx"]).mapInArrow(decoded, f"conv_id {kind}, idx long, line_nos array<long>, states array<int>, begun array<long>")
-    w = Window.partitionBy("conv_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    paths = paths.withColumn("before", F.coalesce(F.sum(F.element_at("begun", -1)).over(w), F.lit(0)))
+    paths = stored(paths, "paths")
+    begun = earlier(paths.select("conv_id", "idx", F.element_at("begun", -1).alias("_n")), ["conv_id"], ["idx"], "_n", "before").drop("_n")
+    paths = paths.join(begun, ["conv_id", "idx"])
     found = paths.select("conv_id", "before", F.explode(F.arrays_zip("line_nos", "states", "begun")).alias("x"))
     found = found.select(
         "conv_id", F.col("x.line_nos").alias("line_no"), (F.col("before") + F.col("x.begun") - 1).alias("turn"),
@@ -221,15 +223,25 @@ def recover(lines: DataFrame, hmm: Hmm) -> DataFrame:
 
 
 def render(lines: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, n_lines, rendered): canonical turns without their markers."""
+    """(conv_id, turn, piece, role, n_lines, rendered): canonical turns without their markers.
+
+    The pieces of a turn, from 0, one behind the other are the turn; most turns
+    have one. A piece has at most ``PIECE`` lines.
+    """
     bare = F.when(F.col("begins"), F.regexp_replace("line", "(?i)" + any_marker(), "")).otherwise(F.col("line"))
-    turns = lines.groupBy("conv_id", "turn", "role").agg(F.array_sort(F.collect_list(F.struct("line_no", bare.alias("t")))).alias("of"))
-    text = F.trim(F.array_join(F.col("of.t"), "\n"))
-    return turns.select("conv_id", "turn", "role", F.size("of").alias("n_lines"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"))
+    turn = ["conv_id", "turn", "role"]
+    lines = lines.withColumn("_piece", F.floor(F.col("line_no") / PIECE).cast("long"))
+    span = lines.groupBy(*turn).agg(F.min("_piece").alias("_low"), F.max("_piece").alias("_high"))
+    pieces = lines.groupBy(*turn, "_piece").agg(F.array_sort(F.collect_list(F.struct("line_no", bare.alias("t")))).alias("of")).join(span, turn)
+    text = F.array_join(F.col("of.t"), "\n")
+    begins, ends = F.col("_piece") == F.col("_low"), F.col("_piece") == F.col("_high")
+    text = F.when(begins, F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.ltrim(text))).otherwise(text)
+    text = F.when(ends, F.concat(F.rtrim(text), F.lit("\n<|end|>"))).otherwise(F.concat(text, F.lit("\n")))
+    return pieces.select("conv_id", "turn", (F.col("_piece") - F.col("_low")).alias("piece"), "role", F.size("of").alias("n_lines"), text.alias("rendered"))
 
 
 def transcribed(turns: DataFrame) -> DataFrame:
-    """Conversations as raw transcripts would show them: (conv_id, part, role, text).
+    """Conversations as raw transcripts would show them: (row, conv_id, part, role, train, text).
 
     Speakers are marked by names that differ between conversations, and one
     turn in eight (by hash) has no marker.
@@ -239,18 +251,24 @@ def transcribed(turns: DataFrame) -> DataFrame:
     name = name.when(F.col("role") == "assistant", F.element_at(F.array(F.lit("Assistant"), F.lit("AI")), pick + 1)).otherwise("System")
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
     text = F.coalesce("text", F.lit(""))
-    return turns.select("conv_id", F.col("turn").alias("part"), "role", F.when(bare, text).otherwise(F.concat(name, F.lit(": "), text)).alias("text"))
+    return turns.select("row", "conv_id", F.col("turn").alias("part"), "role", "train", F.when(bare, text).otherwise(F.concat(name, F.lit(": "), text)).alias("text"))
 
 
 def parse(turns: DataFrame, train: Column) -> DataFrame:
     """Parse transcripts of ``turns`` (conv_id, turn, role, text) and render their turns.
 
     ``train`` chooses the rows whose roles are learned from; roles are no input
-    of the parsing itself. Rows that repeat (conv_id, turn) follow each other;
-    null texts are empty lines; null conv_ids are one conversation; an empty
-    input gives an empty result.
+    of the parsing itself. Rows that repeat (conv_id, turn) follow each other,
+    each with its own role; null turns come first; null texts are empty lines;
+    null conv_ids are one conversation of their own; an empty input gives an
+    empty result.
     """
-    raw = transcribed(turns.withColumn("conv_id", F.coalesce(F.col("conv_id"), F.lit(-1))))
+    # A key that is never null and keeps null apart from every number.
+    name = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none"))
+    rows = turns.select(name.alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", F.coalesce(train, F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("row"))
+    raw = stored(transcribed(rows), "turns")
     lines = stored(numbered(raw), "lines")
-    roles = raw.where(train).dropDuplicates(["conv_id", "part"]).select("conv_id", "part", "role")
-    return render(recover(lines, fit(lines.join(roles, ["conv_id", "part"]))))
+    hmm = fit(lines.join(raw.where("train").select("row", "role"), "row"))
+    out = render(recover(lines, hmm))
+    number = F.when(F.col("conv_id") != "none", F.substring("conv_id", 2, 20)).cast("long")
+    return out.withColumn("conv_id", number)

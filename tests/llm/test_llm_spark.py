@@ -116,17 +116,45 @@ def test_texts_move_between_shard_files(spark, odd, none, tmp_path):
 
 def test_chat(spark, none):
     turns = [(c, t, ("user", "assistant")[t % 2], f"line one of {t}\nmore text" if t % 2 else f"what is {t}?") for c in range(60) for t in range(6)]
-    turns += [(99, t, ("user", "assistant")[t % 2], "a fairly long line of talk\n" * 300) for t in range(4)] + [(100, 0, None, None), (None, 0, "user", "hi"), (100, 0, "user", "again")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("line", F.lit("clash"))
+    turns += [(99, t, ("user", "assistant")[t % 2], "a fairly long line of talk\n" * 300) for t in range(4)] + [(100, 0, None, None), (None, 0, "user", "hi"), (-1, 0, "user", "ho"), (100, 0, "user", "again")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("line", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("train", F.lit("clash"))
     got = chat.parse(df, F.col("conv_id") < 40)
-    rows = {(r.conv_id, r.turn): r for r in got.collect()}
+    pieces = got.collect()
+    rows = {(r.conv_id, r.turn): r for r in pieces}
     same = sum(rows.get((c, t)) is not None and rows[c, t].role == role for c, t, role, _ in turns[:360])
     assert same >= 0.9 * 360
-    assert sum(r.n_lines for (c, _), r in rows.items() if c == 99) == 4 * 301
-    assert all(r.rendered.startswith(f"<|{r.role}|>\n") and r.rendered.endswith("\n<|end|>") for r in rows.values())
+    assert sum(r.n_lines for r in pieces if r.conv_id == 99) == 4 * 301
+    assert sum("hi" in r.rendered for (c, _), r in rows.items() if c is None) == 1 == sum("ho" in r.rendered for (c, _), r in rows.items() if c == -1)
+    whole = [r for r in rows.values() if r.piece == 0 and r.n_lines < 900]
+    assert all(r.rendered.startswith(f"<|{r.role}|>\n") and r.rendered.endswith("\n<|end|>") for r in whole)
     assert chat.parse(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_a_turn_of_any_length_comes_in_pieces(spark):
+    lines = [f"line {k} of talk" for k in range(2500)]
+    df = spark.createDataFrame([(7, k, "assistant" if k % 2 else "user", "\n".join(lines) if k == 3 else "short?") for k in range(8)] + [(1, 0, "user", "hello")], "conv_id long, turn long, role string, text string")
+    rows = chat.parse(df, F.lit(True)).where("conv_id = 7").orderBy("turn", "piece").collect()
+    assert max(r.n_lines for r in rows) <= chat.PIECE and max(r.piece for r in rows) >= 2
+    texts = {}
+    for r in rows:
+        texts[r.turn] = texts.get(r.turn, "") + r.rendered
+    assert any(t == "<|assistant|>\n" + "\n".join(lines) + "\n<|end|>" for t in texts.values()) and all(t.startswith("<|") and t.endswith("\n<|end|>") for t in texts.values())
+
+
+def test_lines_are_numbered_across_ranges(spark):
+    """One conversation with most rows, repeated and null parts: as a loop numbers them."""
+    r = random.Random(3)
+    rows = [(k, "c1" if k % 4 else f"c{k}", None if k % 11 == 0 else r.randrange(30), "\n".join("ab"[: r.randrange(3)] for _ in range(r.randrange(1, 4))) if k % 7 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "row long, conv_id string, part long, text string").repartition(5)
+    hashes = {x.row: x.h for x in df.select("row", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    at, want = {}, []
+    for row, conv, part, text in sorted(rows, key=lambda x: (x[1], -1 if x[2] is None else x[2], hashes[x[0]], x[0])):
+        for line in (text or "").split("\n"):
+            want.append((conv, at.setdefault(conv, 0), row, line))
+            at[conv] += 1
+    assert sorted((x.conv_id, x.line_no, x.row, x.line) for x in chat.numbered(df).collect()) == sorted(want)
+
+
 def test_blocks_decode_like_one_pass(spark):
     """A conversation over many blocks and levels gets a path as good as one Viterbi pass finds."""
     r = np.random.default_rng(1)
