@@ -2,18 +2,21 @@
 
 Reader side: memberships expand to the units a user reads for. Resource side:
 grants expand to the units that may read a document. A document is visible to
-a user if the two sets meet; ``visible_docs`` decides that without expanding
-the resource side, by semi-joins. All of it is set-at-a-time for all users and
-documents; ``t`` is the time as of which expiry counts.
+a user if the two sets meet; that is decided without expanding the resource
+side, by semi-joins: ``Readers.among`` for given pairs, ``visible_docs`` for
+all users and documents at once. ``t`` is the time as of which expiry counts.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.tables import stored
+
 SUB, SELF = "self_and_descendants", "self_only"
 ROLES = {"viewer": 1, "editor": 2, "admin": 3}
 #: Sensitivity from low to high; readers are cleared up to the third.
@@ -128,6 +131,36 @@ def visible_docs(scope: DataFrame, documents: DataFrame, grants: DataFrame, tree
     return reduce(DataFrame.union, [x.select("company_id", "user_id", "doc_id") for x in (own, exact, above)]).distinct()
 
 
+@dataclass(frozen=True)
+class Readers:
+    """All that decides who reads what: scopes, documents with their owners, grants and the tree, as of ``t``."""
+
+    scope: DataFrame
+    documents: DataFrame
+    grants: DataFrame
+    tree: DataFrame
+    t: str
+
+    def among(self, pairs: DataFrame) -> DataFrame:
+        """(company_id, user_id, doc_id): those of ``pairs`` in which the user sees the document.
+
+        Scopes and documents are cut down to those that ``pairs`` name before
+        anything expands, so the work follows the pairs. What a document needs
+        is a unit, in the user's scope or, for grants that reach down, in scope
+        or above it.
+        """
+        user, doc = ["company_id", "user_id"], ["company_id", "doc_id"]
+        asked = stored(pairs.select("company_id", "user_id", "doc_id").distinct(), "asked")
+        docs = self.documents.select(*doc, "owner_unit_id").join(asked.select(*doc).distinct(), doc, "left_semi")
+        scope = self.scope.join(asked.select(*user).distinct(), user, "left_semi")
+        given = covered_docs(reading(self.grants, self.t), docs, self.tree)
+        own = docs.select(*doc, F.col("owner_unit_id").alias("unit_id"), F.lit(False).alias("down"))
+        needs = own.union(given.select(*doc, "principal_id", F.col("principal_applies_to") == SUB)).distinct()
+        above = scope.withColumnRenamed("unit_id", "descendant").join(self.tree, ["company_id", "descendant"]).select(*user, F.col("ancestor").alias("unit_id"), F.lit(True).alias("down"))
+        has = scope.select(*user, "unit_id", F.lit(False).alias("down")).union(above)
+        return asked.join(needs, doc).join(has, [*user, "unit_id", "down"], "left_semi").select("company_id", "user_id", "doc_id").distinct()
+
+
 def affected_docs(changes: DataFrame, documents: DataFrame, tree: DataFrame) -> DataFrame:
     """(company_id, doc_id) whose readers a grant change may change; wiki pages affect none."""
     direct = changes.where("resource_type = 'document'").select("company_id", F.col("resource_id").alias("doc_id"))

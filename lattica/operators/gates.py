@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .access import not_expired
+from .access import Readers, not_expired
 
 
 @dataclass(frozen=True)
@@ -27,17 +27,25 @@ def admitted(versions: DataFrame, labels: list[str], lifecycle: list[str]) -> Da
     return versions.where(F.col("lifecycle").isin(lifecycle) & F.col("sensitivity").isin(labels)).select("company_id", "doc_id", "version")
 
 
-def gate_chunks(candidates: DataFrame, visible: DataFrame, versions: DataFrame, chunks: DataFrame, labels: list[str], lifecycle: list[str] = ["active"], tombstones: DataFrame | None = None) -> Evidence:
+def gate_chunks(
+    candidates: DataFrame, readers: Readers, versions: DataFrame, chunks: DataFrame, labels: list[str], lifecycle: list[str] = ["active"],
+    tombstones: DataFrame | None = None, sections: DataFrame | None = None,
+) -> Evidence:
     """Candidates (…, chunk_id) whose document the user sees, with the authoritative version and text.
 
     A chunk found twice counts once, with its best rank. ``tombstones``
-    (company_id, doc_id) are left out if given.
+    (company_id, doc_id) are left out if given; with ``sections`` (company_id,
+    section_id, heading) each row has the ``heading`` of its chunk's section,
+    null where it has none. Texts join last, for what passed.
     """
     best = candidates.groupBy("query_id", "user_id", "company_id", "chunk_id").agg(F.min("rank").alias("rank"))
-    found = best.join(chunks, ["company_id", "chunk_id"]).join(admitted(versions, labels, lifecycle), ["company_id", "doc_id"])
-    found = found.join(visible, ["company_id", "user_id", "doc_id"], "left_semi")
+    found = best.join(chunks.select("company_id", "chunk_id", "doc_id"), ["company_id", "chunk_id"]).join(admitted(versions, labels, lifecycle), ["company_id", "doc_id"])
     if tombstones is not None:
         found = found.join(tombstones, ["company_id", "doc_id"], "left_anti")
+    found = found.join(readers.among(found), ["company_id", "user_id", "doc_id"], "left_semi")
+    found = found.join(chunks.drop("doc_id"), ["company_id", "chunk_id"])
+    if sections is not None:
+        found = found.join(sections.select("company_id", "section_id", "heading"), ["company_id", "section_id"], "left")
     return Evidence("chunk", found)
 
 
@@ -45,14 +53,15 @@ def live_edges(edges: DataFrame, states: list[str], t: str) -> DataFrame:
     return edges.where(F.col("review_state").isin(states) & not_expired(t) & not_expired(t, "superseded_at"))
 
 
-def gate_edges(candidates: DataFrame, visible: DataFrame, versions: DataFrame, edges: DataFrame, endpoints: DataFrame, labels: list[str], states: list[str], t: str, lifecycle: list[str] = ["active"]) -> Evidence:
+def gate_edges(candidates: DataFrame, readers: Readers, versions: DataFrame, edges: DataFrame, endpoints: DataFrame, labels: list[str], states: list[str], t: str, lifecycle: list[str] = ["active"]) -> Evidence:
     """Candidates (…, edge_id) of which both endpoints are visible; one hidden endpoint hides the edge.
 
     ``endpoints``: (company_id, edge_id, ordinal, doc_id).
     """
     best = candidates.groupBy("query_id", "user_id", "company_id", "edge_id").agg(F.min("rank").alias("rank"))
     needed = best.join(live_edges(edges, states, t).select("company_id", "edge_id", "edge_type", "confidence", "origin"), ["company_id", "edge_id"]).join(endpoints, ["company_id", "edge_id"])
-    ok = admitted(versions, labels, lifecycle).join(visible, ["company_id", "doc_id"]).select("company_id", "user_id", "doc_id").distinct().withColumn("ok", F.lit(True))
+    docs = admitted(versions, labels, lifecycle).select("company_id", "doc_id").distinct()
+    ok = readers.among(needed.join(docs, ["company_id", "doc_id"], "left_semi")).withColumn("ok", F.lit(True))
     both = needed.join(ok, ["company_id", "user_id", "doc_id"], "left").groupBy("query_id", "user_id", "company_id", "edge_id", "rank", "edge_type", "confidence", "origin").agg(
         F.count("*").alias("n"), F.count("ok").alias("n_ok"),
         F.max(F.when(F.col("ordinal") == 0, F.col("doc_id"))).alias("doc_0"), F.max(F.when(F.col("ordinal") == 1, F.col("doc_id"))).alias("doc_1"),
@@ -64,13 +73,53 @@ def gate_edges(candidates: DataFrame, visible: DataFrame, versions: DataFrame, e
 REASONS = ("unknown_document", "draft", "archived", "deprecated", "above_clearance", "not_visible", "deleted")
 
 
-def refusals(candidates: DataFrame, visible: DataFrame, versions: DataFrame, documents: DataFrame, labels: list[str]) -> DataFrame:
-    """Candidates (user_id, doc_id) with all ``reasons`` against them; empty where admitted."""
+def refusals(candidates: DataFrame, readers: Readers, versions: DataFrame, labels: list[str]) -> DataFrame:
+    """Candidates (user_id, doc_id) with all ``reasons`` against them; empty where admitted.
+
+    ``readers.documents`` says which documents there are, and which are deleted.
+    """
     now = versions.where("lifecycle <> 'deprecated'").select("doc_id", "lifecycle", "sensitivity")
-    rows = candidates.join(documents.select("doc_id", "deleted"), "doc_id", "left").join(now, "doc_id", "left")
-    rows = rows.join(visible.select("user_id", "doc_id", F.lit(True).alias("seen")), ["user_id", "doc_id"], "left")
+    known = candidates.join(readers.documents.select("company_id", "doc_id", "deleted"), "doc_id", "left")
+    seen = readers.among(known.where("deleted is not null")).select("user_id", "doc_id", F.lit(True).alias("seen"))
+    rows = known.join(now, "doc_id", "left").join(seen, ["user_id", "doc_id"], "left")
     reasons = F.array_compact(F.array(
         F.when(F.col("deleted").isNull(), "unknown_document"), *[F.when(F.col("lifecycle") == s, s) for s in ("draft", "archived", "deprecated")],
         F.when(~F.col("sensitivity").isin(labels), "above_clearance"), F.when(F.col("seen").isNull(), "not_visible"), F.when(F.col("deleted"), "deleted"),
     ))
     return rows.select("user_id", "doc_id", F.array_join(reasons, ",").alias("reasons"))
+
+
+#: Reasons for which a relationship is refused, in the order in which they are given.
+EDGE_REASONS = (
+    "tenant_mismatch", "edge_missing", "edge_not_accepted", "edge_expired", "edge_superseded", "endpoint_missing", "scope", "sensitivity", "lifecycle", "tombstone", "malformed_endpoint_set",
+)
+
+
+def edge_refusals(candidates: DataFrame, readers: Readers, versions: DataFrame, edges: DataFrame, endpoints: DataFrame, labels: list[str], states: list[str], t: str) -> DataFrame:
+    """Candidates (company_id, user_id, edge_id) with all ``reasons`` against them; empty where admitted.
+
+    An endpoint's document counts with its version that isn't deprecated. A
+    reason is given once, however many endpoints it holds for.
+    """
+    out = lambda name: ~F.coalesce(F.col(name) > F.lit(t).cast("timestamp"), F.lit(True))
+    e = edges.select("edge_id", F.col("company_id").alias("of_company"), "review_state", "expires_at", "superseded_at")
+    rows = candidates.select("company_id", "user_id", "edge_id").distinct().join(e, "edge_id", "left")
+    now = versions.where("lifecycle <> 'deprecated'").select("doc_id", "lifecycle", "sensitivity")
+    docs = readers.documents.select("doc_id", "deleted")
+    ends = rows.select("company_id", "user_id", "edge_id").join(endpoints.select("edge_id", "ordinal", "doc_id"), "edge_id")
+    seen = readers.among(ends).select("company_id", "user_id", "doc_id", F.lit(True).alias("seen"))
+    ends = ends.join(docs, "doc_id", "left").join(now, "doc_id", "left").join(seen, ["company_id", "user_id", "doc_id"], "left")
+    there = F.col("deleted").isNotNull()
+    some = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    per = ends.groupBy("company_id", "user_id", "edge_id").agg(
+        some(~there).alias("missing"), some(there & F.col("seen").isNull()).alias("scope"), some(~F.col("sensitivity").isin(labels)).alias("sensitivity"),
+        some(F.col("lifecycle") != "active").alias("lifecycle"), some(F.col("deleted")).alias("tombstone"), F.array_sort(F.collect_list("ordinal")).alias("ordinals"),
+    )
+    rows = rows.join(per, ["company_id", "user_id", "edge_id"], "left")
+    known = F.col("of_company").isNotNull()
+    holds = (
+        known & (F.col("of_company") != F.col("company_id")), ~known, known & ~F.col("review_state").isin(states), known & out("expires_at"), known & out("superseded_at"),
+        F.col("missing"), F.col("scope"), F.col("sensitivity"), F.col("lifecycle"), F.col("tombstone"), known & ~F.coalesce(F.col("ordinals") == F.array(F.lit(0), F.lit(1)), F.lit(False)),
+    )
+    reasons = F.array_compact(F.array(*[F.when(c, name) for c, name in zip(holds, EDGE_REASONS)]))
+    return rows.select("company_id", "user_id", "edge_id", F.array_join(reasons, ",").alias("reasons"))

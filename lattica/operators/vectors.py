@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 6
+#: Queries that are sent to all tasks together.
+BLOCK = 4096
 
 
 def dot(a: str, b: str) -> Column:
@@ -59,16 +61,34 @@ def over_fetch(limit: int, factor: int = 4, most: int = 10_000) -> int:
     return min(limit * max(1, factor), most)
 
 
+def meet(points: DataFrame, queries: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Every point beside every query, or those that agree in the columns ``on``.
+
+    Queries are counted and sent to all tasks in blocks of at most ``BLOCK``,
+    so points stay where they are, whatever share of them one tenant has, and
+    what is sent has a bound.
+    """
+    blocks = max(1, -(-queries.count() // BLOCK))
+    found = None
+    for k in range(blocks):
+        some = F.broadcast(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k))
+        pairs = points.join(some, on) if on else points.crossJoin(some)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def search(points: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", on: list[str] | None = None) -> DataFrame:
-    """(query_id, key, score, rank): the ``k`` best points of each query.
+    """(query_id, key, score, rank): the ``k`` best points of each query (query_id, q, ...).
 
-    ``queries``: (query_id, q, ...). Queries meet points by the columns ``on``
-    (a tenant, say), else as a block: the queries must then be few and are
-    broadcast by Spark's own size check. Each task keeps at most k rows for a
+    Queries meet points as in ``meet``. Each task keeps at most k rows for a
     query before the shuffle.
     """
-    pairs = points.join(queries, on) if on else points.crossJoin(queries)
-    scored = pairs.select("query_id", key, F.round(dot("v", "q"), DIGITS).alias("score"))
+    scored = meet(points, queries, on).select("query_id", key, F.round(dot("v", "q"), DIGITS).alias("score"))
+    return best(scored, k, key)
+
+
+def best(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
+    """The ``k`` rows of the highest score of each query, with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     # Spark pushes a limit on row_number below the shuffle.
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -19,6 +19,8 @@ from lattica.tables import stored, table
 AS_OF = "2024-01-15 00:00:00"
 SUB, SELF = "self_and_descendants", "self_only"
 UNITS_PER_COMPANY = 31
+#: Chunk ids: the document's times this, and the number of the chunk.
+PER_DOC = 100_000
 
 
 def long(c):
@@ -121,6 +123,22 @@ class Model:
         owner = F.when(F.col("doc_id") % 3 == 0, F.col("nation") + 100).when(F.col("doc_id") % 3 == 1, string("1000 + nation * 10 + (doc_id div 25) % 5")).otherwise(F.col("company_id") + 1)
         return d.select("company_id", "doc_id", owner.alias("owner_unit_id"), (F.col("doc_id") % 101).cast("int").alias("authority"), (F.col("doc_id") % 29 == 0).alias("deleted"), "text")
 
+    @cached_property
+    def n_docs(self) -> int:
+        return self.table("documents").count()
+
+    @cached_property
+    def paragraphs(self) -> DataFrame:
+        """Chunks: each line of each document; four make a section, but in every third document."""
+        lines = self.documents.select("company_id", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("k", "content"))
+        first = F.col("doc_id") * PER_DOC
+        return lines.select("company_id", "doc_id", (first + F.col("k")).alias("chunk_id"), F.when(F.col("doc_id") % 3 != 0, first + long(F.expr("k div 4"))).alias("section_id"), "content")
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        p = self.paragraphs.where(f"section_id is not null and chunk_id % {PER_DOC} % 4 = 0")
+        return p.select("company_id", "section_id", F.concat(F.lit("Part "), F.col("section_id") % PER_DOC).alias("heading"))
+
     @cached_property
     def versions(self) -> DataFrame:
         """Version 2 of each document is the current one; every third has an older version 1."""
@@ -164,7 +182,7 @@ class Model:
     @cached_property
     def vectors(self) -> DataFrame:
         """One chunk, the first, of each document that has a vector: (doc_id, chunk_id, v)."""
-        return self.table("embeddings").select(long("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label").withColumn("chunk_id", F.col("doc_id") * 1000)
+        return self.table("embeddings").select(long("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label").withColumn("chunk_id", F.col("doc_id") * PER_DOC)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -216,6 +234,9 @@ group_members AS (SELECT g.company_id, g.group_id, u.user_id FROM groups_ g JOIN
 docs AS (
   SELECT n.company_id, d.doc_id::BIGINT doc_id, CASE d.doc_id % 3 WHEN 0 THEN n.nation + 100 WHEN 1 THEN 1000 + n.nation * 10 + (d.doc_id // 25) % 5 ELSE n.company_id + 1 END owner_unit_id,
     (d.doc_id % 101)::INT authority, d.doc_id % 29 = 0 deleted, d.text FROM documents d JOIN nations n ON n.nation = d.doc_id % 25),
+paragraphs AS (SELECT company_id, doc_id, doc_id * 100000 + k chunk_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id * 100000 + k // 4 END section_id, content
+  FROM (SELECT company_id, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 k FROM docs)),
+sections AS (SELECT company_id, section_id, 'Part ' || (section_id % 100000) heading FROM paragraphs WHERE section_id IS NOT NULL AND chunk_id % 100000 % 4 = 0),
 versions AS (
   SELECT company_id, doc_id, 2 AS version, CASE doc_id % 10 WHEN 0 THEN 'draft' WHEN 1 THEN 'archived' ELSE 'active' END lifecycle,
     (['public', 'internal', 'confidential', 'restricted'])[(doc_id % 4 + 1)::INT] sensitivity, CASE WHEN doc_id % 10 > 1 THEN TIMESTAMP '2024-01-05' END activated_at, NULL::TIMESTAMP superseded_at FROM docs
@@ -243,7 +264,7 @@ resource_scope AS (
     JOIN live_grants g ON g.company_id = d.company_id AND g.resource_type = 'org_unit' AND g.resource_id = o.ancestor AND (g.resource_applies_to = 'self_and_descendants' OR o.depth = 0)
     JOIN closure c ON c.company_id = g.company_id AND c.ancestor = g.principal_id AND (g.principal_applies_to = 'self_and_descendants' OR c.depth = 0)),
 visible AS (SELECT DISTINCT s.company_id, s.user_id, r.doc_id FROM scope s JOIN resource_scope r ON r.company_id = s.company_id AND r.unit_id = s.unit_id),
-vectors AS (SELECT vec_id::BIGINT doc_id, vec_id::BIGINT * 1000 chunk_id, embedding v, label FROM embeddings),
+vectors AS (SELECT vec_id::BIGINT doc_id, vec_id::BIGINT * 100000 chunk_id, embedding v, label FROM embeddings),
 edges AS (
   SELECT d.company_id, d.doc_id edge_id, d.doc_id source_doc, d.doc_id + 25 target_doc, (d.doc_id % 9)::INT edge_type, (['manual', 'imported', 'rule', 'model'])[(d.doc_id % 4 + 1)::INT] origin,
     (['approved', 'pending', 'rejected', 'auto'])[(d.doc_id % 4 + 1)::INT] review_state, ((d.doc_id % 100) / 100.0)::FLOAT confidence,

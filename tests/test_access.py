@@ -96,17 +96,50 @@ def test_clearance_stops_at_confidential():
     assert all(access.clearance(p) == ["public", "internal", "confidential"] for p in ("member", "admin", "service"))
 
 
+def readers(spark, scope, documents, grants=(), tree=()):
+    """``documents``: (company_id, doc_id, owner_unit_id, deleted)."""
+    return access.Readers(
+        spark.createDataFrame(scope, "company_id long, user_id long, unit_id long"), spark.createDataFrame(documents, "company_id long, doc_id long, owner_unit_id long, deleted boolean"),
+        spark.createDataFrame(grants, "company_id long, resource_type string, resource_id long, principal_id long, resource_applies_to string, principal_applies_to string, permission string, expires_at timestamp, grant_id long"),
+        spark.createDataFrame(tree, "company_id long, ancestor long, descendant long, depth int"), "2024-01-15 00:00:00",
+    )
+
+
 def test_gates_are_closed_without_labels_or_candidates(spark):
     c = spark.createDataFrame([(1, 1, 1, 1, 7)], "query_id long, user_id long, company_id long, rank long, chunk_id long")
-    chunks = spark.createDataFrame([(1, 7, 5, "x")], "company_id long, chunk_id long, doc_id long, content string")
+    chunks = spark.createDataFrame([(1, 7, 5, 70, "x")], "company_id long, chunk_id long, doc_id long, section_id long, content string")
     versions = spark.createDataFrame([(1, 5, 1, "active", "public")], "company_id long, doc_id long, version int, lifecycle string, sensitivity string")
-    seen = spark.createDataFrame([(1, 1, 5)], "company_id long, user_id long, doc_id long")
-    ok = lambda *a, **k: gates.gate_chunks(*a, **k).rows.count()
+    docs = [(1, 5, 3, False)]
+    seen, blind = readers(spark, [(1, 1, 3)], docs), readers(spark, [], docs)
+    rows = lambda *a, **k: gates.gate_chunks(*a, **k).rows.collect()
+    ok = lambda *a, **k: len(rows(*a, **k))
     assert ok(c, seen, versions, chunks, ["public"]) == 1
     assert ok(c.union(c), seen, versions, chunks, ["public"]) == 1
     assert ok(c, seen, versions, chunks, []) == 0 and ok(c, seen, versions, chunks, ["public"], lifecycle=[]) == 0
-    assert ok(c.limit(0), seen, versions, chunks, ["public"]) == 0 and ok(c, seen.limit(0), versions, chunks, ["public"]) == 0
-    assert ok(c, seen, versions, chunks, ["public"], tombstones=seen.select("company_id", "doc_id")) == 0
+    assert ok(c.limit(0), seen, versions, chunks, ["public"]) == 0 and ok(c, blind, versions, chunks, ["public"]) == 0
+    assert ok(c, seen, versions, chunks, ["public"], tombstones=seen.documents.select("company_id", "doc_id")) == 0
+    # The section's heading, or none.
+    titled = spark.createDataFrame([(1, 70, "Part")], "company_id long, section_id long, heading string")
+    assert [r.heading for r in rows(c, seen, versions, chunks, ["public"], sections=titled)] == ["Part"]
+    assert [r.heading for r in rows(c, seen, versions, chunks, ["public"], sections=titled.where("section_id < 0"))] == [None]
+
+
+def test_pairs_are_decided_like_whole_sets(spark):
+    """Random trees, grants and pairs: what meets as sets is what the pairs' way lets through."""
+    for seed in range(6):
+        r = random.Random(seed)
+        units = [(1, 1, None), *((1, k, r.randrange(1, k)) for k in range(2, 12))]
+        tree = hierarchy.closure(spark.createDataFrame(units, "company_id long, unit_id long, parent_id long"))
+        docs = [(1, d, r.randrange(1, 12), False) for d in range(8)]
+        axis = lambda: r.choice([access.SUB, access.SELF])
+        grants = [(1, "document", r.randrange(8), r.randrange(1, 12), access.SELF, axis(), r.choice(["read", "none"]), None, k) for k in range(5)] + [(1, "org_unit", r.randrange(1, 12), r.randrange(1, 12), axis(), axis(), "read", None, k) for k in range(5, 8)]
+        members = spark.createDataFrame([(1, u, r.randrange(1, 12), axis()) for u in range(6)], "company_id long, user_id long, unit_id long, applies_to string")
+        q = readers(spark, access.reader_scope(members, tree).collect(), docs, grants, tree.collect())
+        meet = q.scope.join(access.resource_scope(q.documents, q.grants, q.tree, q.t), ["company_id", "unit_id"]).select("company_id", "user_id", "doc_id").distinct()
+        pairs = spark.createDataFrame([(r.choice([1, 1, 1, 2]), r.randrange(7), r.randrange(9)) for _ in range(40)], "company_id long, user_id long, doc_id long")
+        key = lambda df: sorted(map(tuple, df.collect()))
+        assert key(q.among(pairs)) == key(pairs.distinct().join(meet, ["company_id", "user_id", "doc_id"], "left_semi"))
+        assert key(access.visible_docs(q.scope, q.documents, q.grants, q.tree, q.t)) == key(meet)
 
 
 def test_deep_trees(spark):
