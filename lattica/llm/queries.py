@@ -23,7 +23,8 @@ OLD_SHARDS, NEW_SHARDS = 32, 40
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents from files of 32 hashed shards into files of 40 of equal bytes.
 
-    All that is returned is read from the rewritten files.
+    All that is returned is read from the rewritten files; rows with another
+    shard than ``old_shard`` have moved, ``least_moved`` bytes had to.
     """
     old_shard = F.coalesce(F.pmod(id_crc(), F.lit(OLD_SHARDS)).cast("int"), F.lit(0))
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
@@ -31,7 +32,7 @@ def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lay_out_anew(docs, old_shard, size, NEW_SHARDS, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     return out.select(
         "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), old_shard.alias("old_shard"),
+        F.lit(None).cast("int").alias("grown_shard"), old_shard.alias("old_shard"), "least_moved",
     )
 
 

@@ -14,12 +14,14 @@ has about ``rows_per_block`` rows, so no window sees a whole shard.
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import stored
 
@@ -135,17 +137,18 @@ def flow_step(layout: DataFrame, capacity: list[int], cost=None, rows_per_block:
 
 
 def reshard(df: DataFrame, old_shard, size, capacity_shares: list[float] | int, steps: int = 3, rows_per_block: int = 50_000) -> DataFrame:
-    """Lay ``df`` out anew; adds ``old_shard``, ``size``, ``shard`` and ``slot``.
+    """Lay ``df`` out anew; adds ``old_shard``, ``size``, ``shard``, ``slot`` and ``least_moved``.
 
     ``old_shard`` and ``size`` are columns; ``capacity_shares`` is a number of
     equal shards, or the share of each. The first step moves what the flow
     says; the next ones even out what cutting between whole rows left over, at
-    the price of a few small rows. Rows whose old shard is null count as shard
+    the price of a few small rows. So a little more moves than the cost of the
+    first flow, which every row has as ``least_moved``. Rows whose old shard is null count as shard
     0 and null sizes as 0; equal rows are placed one by one; an empty input
     gives an empty result. Columns of ``df`` named like the added ones are
     replaced.
     """
-    taken = {"old_shard", "size", "shard", "slot", "_row", "_class", "_part", "_start", "_at", "_to", "_first", "_n"}
+    taken = {"old_shard", "size", "shard", "slot", "least_moved", "_row", "_class", "_part", "_start", "_at", "_to", "_first", "_n"}
     kept = [c for c in df.columns if c not in taken]
     rows = df.select(
         *[F.col(f"`{c}`") for c in kept],
@@ -158,22 +161,83 @@ def reshard(df: DataFrame, old_shard, size, capacity_shares: list[float] | int,
     shares = [1 / capacity_shares] * capacity_shares if isinstance(capacity_shares, int) else capacity_shares
     bounds = [round(total * sum(shares[: j + 1]) / sum(shares)) for j in range(len(shares))]
     capacity = [b - a for a, b in zip([0, *bounds], bounds)]
+    held: dict[int, int] = {r.shard: r.bytes for r in rows.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}  # a row for each old shard
+    supply = [held.get(k, 0) for k in range(max(held, default=-1) + 1)]
+    least = sum(u for (i, j), u in min_cost_flow(supply, capacity, lambda i, j: int(i != j)).items() if i != j)
     for step in range(steps):
         rows = flow_step(rows.drop("slot"), capacity, rows_per_block=rows_per_block)
         if step < steps - 1:
             rows = stored(rows, "layout")
-    return rows.drop("_row")
+    return rows.drop("_row").withColumn("least_moved", F.lit(least).cast("long"))
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and its kind of path."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark._jsc.hadoopConfiguration()), kind
+
+
+def publish(spark: SparkSession, path: str, layout: dict[int, str]) -> None:
+    """Make ``layout`` (the folder below ``path`` of each shard) the current one, by one rename."""
+    fs, kind = _files(spark, path)
+    name = f"{path}/_layout-{len(markers(spark, path)):06d}.json"
+    draft = kind(f"{path}/_draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps({str(k): v for k, v in sorted(layout.items())}).encode()))
+    out.close()
+    if not fs.rename(draft, kind(name)):
+        raise OSError(f"{name} is there already")
+
+
+def markers(spark: SparkSession, path: str) -> list[str]:
+    fs, kind = _files(spark, path)
+    if not fs.exists(kind(path)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(kind(path))]
+    return sorted(n for n in names if n.startswith("_layout-"))
+
+
+def current(spark: SparkSession, path: str) -> dict[int, str]:
+    """The folder of each shard, from the last marker."""
+    found = markers(spark, path)
+    if not found:
+        return {}
+    fs, kind = _files(spark, path)
+    stream = fs.open(kind(f"{path}/{found[-1]}"))
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return {int(k): v for k, v in json.loads(text).items()}
+
+
+def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of the current layout of the data set at ``path``; ``schema`` has ``shard``."""
+    folders = [f"{path}/{v}" for v in current(spark, path).values()]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders).select(*schema.names)
+
+
+def write(df: DataFrame, path: str) -> dict[int, str]:
+    """Write ``df`` in folders by ``shard`` that no layout names yet; returns them."""
+    spark = df.sparkSession
+    made = f"made={uuid.uuid4().hex}"
+    df.write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/{made}")
+    fs, kind = _files(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(kind(f"{path}/{made}"))]
+    return {int(n.removeprefix("shard=")): f"{made}/{n}" for n in names if n.startswith("shard=")}
 
 
 def rewrite_affected(before: DataFrame, after: DataFrame, path: str, key: str = "doc_id") -> list[int]:
     """Rewrite only the shards whose rows changed; returns them.
 
     ``before`` and ``after`` hold the same rows with ``shard``, ``slot`` and a
-    column ``key``; the data set at ``path`` is partitioned by ``shard``.
-    Shards that gain or lose a row, or a slot of which changes, are written
-    anew beside it and take the place of the old ones; the files of others
-    stay. Null and repeated keys count as often as they are there. ``after``
-    may be read from ``path``.
+    column ``key``; the data set at ``path`` has been written by ``write`` and
+    ``publish``. Shards that gain or lose a row, or a slot of which changes,
+    are written anew beside the old ones; then one rename makes the new layout
+    the current one, and the old files of these shards go. Until that rename
+    readers see the old layout, whole. Files of other shards stay. Null and
+    repeated keys count as often as they are there. ``after`` may be read from
+    ``path``.
     """
     spark = after.sparkSession
     place = ["shard", "slot", key]
@@ -182,34 +246,33 @@ def rewrite_affected(before: DataFrame, after: DataFrame, path: str, key: str =
     # At most as many rows as there are shards.
     ids = sorted(r[0] for r in changed.select("shard").distinct().collect())
     if ids:
-        fresh = f"{path}-{uuid.uuid4().hex}"
-        after.where(F.col("shard").isin(ids)).write.partitionBy("shard").parquet(fresh)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        old = current(spark, path)
+        new = write(after.where(F.col("shard").isin(ids)), path)
+        publish(spark, path, {k: v for k, v in old.items() if k not in ids} | new)
+        fs, kind = _files(spark, path)
         for shard in ids:
-            new, old = hadoop(f"{fresh}/shard={shard}"), hadoop(f"{path}/shard={shard}")
-            fs.delete(old, True)
-            if fs.exists(new) and not fs.rename(new, old):
-                raise OSError(f"can't move {new} to {old}")
-        fs.delete(hadoop(fresh), True)
+            if shard in old:
+                fs.delete(kind(f"{path}/{old[shard]}"), True)
     return ids
 
 
 def lay_out_anew(df: DataFrame, old_shard, size, capacity_shares: list[float] | int, path: str) -> DataFrame:
     """``df`` as a data set of old shards at ``path``, moved to the new ones there and read back.
 
-    Adds ``shard`` and ``slot``; arguments as for ``reshard``. Rows are known
+    Adds ``shard``, ``slot`` and ``least_moved``, the bytes that any move to
+    these capacities has to move; arguments as for ``reshard``. Rows are known
     by a number of their own (``_id``), so null and repeated ids are safe.
     Each writing task has a file in each shard that it has rows of; texts are
     shuffled once, where they meet their new places.
     """
     spark = df.sparkSession
-    kept = [c for c in df.columns if c not in ("shard", "slot", "_id")]
+    kept = [c for c in df.columns if c not in ("shard", "slot", "_id", "least_moved")]
     old = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(old_shard.cast("int"), F.lit(0)).alias("shard"), F.monotonically_increasing_id().alias("_id"), F.lit(None).cast("long").alias("slot"))
-    old.write.partitionBy("shard").parquet(path)
-    before = spark.read.schema(old.schema).parquet(path)
+    publish(spark, path, write(old, path))
+    before = read(spark, path, old.schema)
     plan = reshard(before.select("_id", F.col("shard").alias("_old"), size.alias("_size")), F.col("_old"), F.col("_size"), capacity_shares)
-    plan = stored(plan.select("_id", "shard", "slot"), "places")
-    after = before.drop("shard", "slot").join(plan, "_id")
+    plan = stored(plan.select("_id", "shard", "slot", "least_moved"), "places")
+    after = before.drop("shard", "slot").join(plan.drop("least_moved"), "_id")
     rewrite_affected(before, after, path, "_id")
-    return spark.read.schema(old.schema).parquet(path).drop("_id")
+    least = plan.agg(F.max("least_moved")).first()[0]
+    return read(spark, path, old.schema).drop("_id").withColumn("least_moved", F.lit(least).cast("long"))
