@@ -57,7 +57,8 @@ class Tokens:
     can be encoded once and remembered; the same vocabulary in a faster
     library does that. Texts with runs of white space, with what may be a
     special token, or with characters that the two libraries may class
-    differently go to the tokenizers library whole.
+    differently (from U+0250 on) go to the tokenizers library whole. Both ways
+    give the same ids; the tests compare all characters below U+0250.
     """
 
     def __init__(self, path: str):
@@ -136,7 +137,9 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
     """(how many of each size, times) whose sum holds at most ``counts``, near the optimum.
 
     Column generation on the covering program; its basis is kept as a matrix
-    and the best new column comes from an unbounded knapsack.
+    and the best new column comes from an unbounded knapsack. It stops when no
+    column improves it, after ``rounds`` columns at the latest; what it leaves
+    over is packed by best fit, so nothing is lost by stopping early.
     """
     m = len(sizes)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
@@ -278,13 +281,13 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
     return {n: tuple(np.array(x, dtype=np.int64) for x in zip(*v)) for n, v in found.items()}
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 2_000) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` with ``sequence_id`` and ``offset``; needs ``length`` from 1 to ``capacity``.
 
     Any further columns stay. Pieces of equal length are interchangeable and
-    are numbered in an arbitrary order, in parts of about ``rows_per_part``
-    rows, so a length that a third of all pieces have isn't sorted in one task.
-    An empty input gives an empty result.
+    are numbered in an arbitrary order, in parts of at most a quarter of an
+    even task's rows, so a length that a third of all pieces have is spread
+    over many tasks. An empty input gives an empty result.
     """
     cut = cut.drop("sequence_id", "offset")
     spark = cut.sparkSession
@@ -292,6 +295,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 2_000) -
     # At most ``capacity`` rows.
     histogram = {r.length: r.rows for r in cut.groupBy("length").agg(F.count("*").alias("rows")).collect()}
     at = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
+    rows_per_part = max(1, sum(histogram.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     parts = spark.createDataFrame([(n, max(1, -(-c // rows_per_part))) for n, c in histogram.items()], "length long, _parts long")
     rows = cut.join(F.broadcast(parts), "length").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts"))).drop("_parts")
     part = ["length", "_part"]
