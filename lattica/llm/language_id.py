@@ -6,9 +6,9 @@ going to shorter ones only while none is known.
 
 Learning: words are counted in Spark over a sample of the labelled rows whose
 expected size is ``SAMPLE`` rows (a hash of the id chooses; all rows if there
-are fewer), and the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` most
-frequent n-grams are kept. So the model that is sent to the executors has a
-fixed bound. Prediction is one Arrow pass without a shuffle.
+are fewer). Words that the sample holds ``OFTEN`` times or more are known, and
+all n-grams of all its words; the sample is what bounds the model that is sent
+to the executors. Prediction is one Arrow pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from .common import small, stored
 
-SAMPLE, MAX_WORDS, MAX_GRAMS, LONGEST = 20_000, 40_000, 60_000, 5
+SAMPLE, OFTEN, LONGEST = 20_000, 2, 5
 #: Words that a worker remembers before it begins anew.
 CACHE = 150_000
 #: Runs of letters (and of the few other signs that count as word characters).
@@ -114,10 +114,10 @@ def _counts(top: pa.Table, key: str, languages: list[str] | None) -> tuple[list[
     lang = of.values.field("lang").to_pylist()
     languages = languages or sorted(set(lang))
     number = {x: k for k, x in enumerate(languages)}
-    at = np.array([number.get(x, -1) for x in lang], dtype=np.int64)
+    at = np.array([number[x] for x in lang], dtype=np.int64)
     row = np.repeat(np.arange(len(of)), np.diff(of.offsets.to_numpy()))
     table = np.zeros((len(of), len(languages)))
-    np.add.at(table, (row[at >= 0], at[at >= 0]), of.values.field("n").to_numpy()[at >= 0])
+    table[row, at] = of.values.field("n").to_numpy()
     return top[key].to_pylist(), table, languages
 
 
@@ -126,7 +126,7 @@ def _frequencies(table: np.ndarray) -> np.ndarray:
     return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(labelled: DataFrame, most: int = SAMPLE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(labelled: DataFrame, most: int = SAMPLE, often: int = OFTEN) -> Model:
     """Learn from ``text`` and ``lang`` of ``labelled``; rows with a null in either don't count.
 
     Without any such row the model knows no language and predicts ``und``.
@@ -144,10 +144,8 @@ def fit(labelled: DataFrame, most: int = SAMPLE, max_words: int = MAX_WORDS, max
 
     by_lang = rows.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     by_lang = stored(by_lang, "words")  # read twice
-    # The languages of a word stay together, so the bound counts words.
-    of = F.collect_list(F.struct("lang", "n")).alias("of")
-    words = by_lang.groupBy("word").agg(F.sum("n").alias("total"), of)
-    top = words.orderBy(F.desc("total"), "word").limit(max_words).select("word", "of").toArrow()
+    of = F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("of")  # one entry for each language
+    words = by_lang.groupBy("word").agg(F.sum("n").alias("total"), of).where(F.col("total") >= often).select("word", "of").toArrow()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,12 +157,12 @@ def fit(labelled: DataFrame, most: int = SAMPLE, max_words: int = MAX_WORDS, max
             yield pa.RecordBatch.from_pydict({"gram": [g for g, _ in found], "lang": [lang for _, lang in found], "n": pa.array(found.values(), pa.int64())}, schema=pa.schema([("gram", pa.string()), ("lang", pa.string()), ("n", pa.int64())]))
 
     grams = by_lang.mapInArrow(cut, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    grams = grams.groupBy("gram").agg(F.sum("n").alias("total"), of).orderBy(F.desc("total"), "gram").limit(max_grams).select("gram", "of").toArrow()
-    if not top.num_rows:
+    grams = grams.groupBy("gram").agg(of).toArrow()
+    if not grams.num_rows:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    names, table, languages = _counts(top, "word", None)
-    word_table = _frequencies(table)
-    keys, table, _ = _counts(grams, "gram", languages)
+    keys, table, languages = _counts(grams, "gram", None)
+    names, counts, _ = _counts(words, "word", languages)
+    word_table = _frequencies(counts)
     # N-grams of each length have frequencies of their own.
     length = np.array(list(map(len, keys)))
     gram_table = np.zeros(table.shape, dtype=np.float32)
@@ -185,7 +183,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     names = [p.split()[0] for p in ADDED.split(", ")]
     docs = docs.drop(*names)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
