@@ -21,10 +21,16 @@ Keys are handled without forming all pairs of a group of copies:
    other hubs follow for keys that still hold more than one component.
 2. What is left are keys with several components. Such a key belongs to its
    least component; per component, the classes outside it (strays) are
-   compared with all classes of its keys, in blocks of at most ``BLOCK``
+   compared with those classes of its keys whose sizes allow the similarity
+   (bands of sizes, each with its neighbours), in blocks of at most ``BLOCK``
    classes and ``BLOCK_BYTES``: first by signature, and what may reach the
    similarity by full sets. A pair within a component couldn't change the
    result any more, and components only grow, so after this nothing is left.
+   In this step a row has at most three times as many copies as its component
+   has blocks of the other side in a band.
+
+Sets are compared as sets of 64-bit hashes of shingles. Two texts count as
+copies if 128 bits of hashes of their sets are equal.
 
 So a group of n like documents costs about n comparisons, while documents of
 different components that share a key are always compared; those comparisons
@@ -33,6 +39,7 @@ happen inside tasks and don't become rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +51,6 @@ from pyspark.sql import functions as F
 from .common import small, stored
 
 POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 11, 21, 28, 1
-#: Sets of ids of at most so many rows (8 bytes each) are sent to all executors.
-SENT_IDS = 500_000
 BLOCK, BLOCK_BYTES, SALTS = 512, 8 << 20, 16
 #: Words that a worker remembers before it begins anew.
 CACHE = 150_000
@@ -177,8 +182,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
     Only the texts that ``pairs`` names are read into sets once more.
     """
+    # Written, so that Spark's own size check chooses the kind of join.
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     full = full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words)
     pairs = pairs.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b")
 
@@ -267,11 +272,13 @@ def near_links(members: DataFrame, docs: DataFrame, words: int, percent: int) ->
         links = stored(new if links is None else links.union(new), "links")
     # Each class once for each component that owns a key of it.
     owned = _mixed(keys, links, 0).groupBy("low", "id", "part").agg(F.lit(1).alias("n")).drop("n")
-    owned = stored(owned.join(members, "id").select("low", "id", "part", "n_shingles", "signature"), "owned")
+    # Sizes in one band differ by less than the similarity allows, so a partner
+    # is in the same band or beside it.
+    band = F.floor(F.ln("n_shingles") / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n_shingles").cast("int")
+    owned = stored(owned.join(members, "id").select("low", "id", "part", "n_shingles", "signature", band.alias("band")), "owned")
     likely = _in_blocks(owned, F.lit(POSITIONS), lambda rows: _survivors(rows, percent), "low long, id long")
-    likely = stored(owned.join(likely.distinct(), ["low", "id"], "left_semi").select("low", "id", "part", "signature"), "likely")
+    likely = stored(owned.join(likely.distinct(), ["low", "id"], "left_semi").select("low", "id", "part", "signature", "band"), "likely")
     ids = stored(likely.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     full = full_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words)
     last = _in_blocks(likely.join(full, "id"), F.octet_length("hashes"), lambda rows: _linked(rows, percent), "a long, b long")
     return stored(links.union(last), "links")
@@ -280,23 +287,29 @@ def near_links(members: DataFrame, docs: DataFrame, words: int, percent: int) ->
 def _in_blocks(rows: DataFrame, size: Column, run, schema: str) -> DataFrame:
     """Call ``run`` on each block of strays of a component with each block of all its classes.
 
-    ``rows`` is (low, id, part, ...); strays are not of the component ``low``.
+    ``rows`` is (low, id, part, band, ...); strays are not of the component
+    ``low``. Only bands of sizes that lie beside each other meet.
     """
-    side = F.when(F.col("part") != F.col("low"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    sided = stored(rows.withColumns({"_size": size.cast("long"), "_side": F.explode(side)}), "sided")
+    # A class (side 1) lies in its own band; a stray (side 0) also meets the bands beside its own.
+    own = F.array(F.struct(F.lit(1).alias("_side"), F.col("band").alias("_band")))
+    strays = F.array(*[F.struct(F.lit(0).alias("_side"), (F.col("band") + k).alias("_band")) for k in (-1, 0, 1)])
+    sided = rows.withColumn("_at", F.explode(F.when(F.col("part") != F.col("low"), F.concat(own, strays)).otherwise(own)))
+    sided = stored(sided.select(*rows.columns, size.cast("long").alias("_size"), "_at.*"), "sided")
+    group = ["low", "_band"]
     each = lambda k: F.greatest(F.ceil(F.count_if(F.col("_side") == k) / BLOCK), F.ceil(F.sum(F.when(F.col("_side") == k, F.col("_size")).otherwise(0)) / BLOCK_BYTES), F.lit(1))
-    blocks = sided.groupBy("low").agg(each(0).alias("_x"), each(1).alias("_y")).where("low is not null")
+    # A band needs both sides.
+    blocks = sided.groupBy(*group).agg(each(0).alias("_x"), each(1).alias("_y"), (F.min("_side") != F.max("_side")).alias("_both")).where("_both").drop("_both")
     # A large component's rows meet its block counts in several tasks, and its
     # blocks are dealt one by one, not by component.
     blocks = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = sided.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(blocks, ["low", "_salt"])
+    placed = sided.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(blocks, [*group, "_salt"])
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("_side") == 0, F.col("_x")).otherwise(F.col("_y"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("_side") == 0, F.col("_y")).otherwise(F.col("_x")).cast("int") - 1)
     placed = placed.withColumn("_mine", mine).withColumn("_other", F.explode(others))
     bx = F.when(F.col("_side") == 0, F.col("_mine")).otherwise(F.col("_other"))
     by = F.when(F.col("_side") == 0, F.col("_other")).otherwise(F.col("_mine"))
-    placed = placed.withColumns({"_bx": bx, "_by": by}).select(*rows.columns, "_side", "_bx", "_by")
-    return placed.repartition("low", "_bx", "_by").groupBy("low", "_bx", "_by").applyInArrow(run, schema)
+    placed = placed.withColumns({"_bx": bx, "_by": by}).select(*rows.columns, "_side", "_band", "_bx", "_by")
+    return placed.repartition(*group, "_bx", "_by").groupBy(*group, "_bx", "_by").applyInArrow(run, schema)
 
 
 def _sides(rows: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
