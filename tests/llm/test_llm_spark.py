@@ -72,29 +72,48 @@ def test_resharding(spark, odd, none):
     before, cap = out.groupby("old_shard")["size"].sum(), out["size"].sum() / 10
     least = sum(max(0, before.get(k, 0) - cap) for k in range(7))
     assert out[out["shard"] != out.old_shard]["size"].sum() <= 1.05 * least + 200
-    assert sorted(resharding.reshard(odd, F.lit(0), F.octet_length("text"), 3).toPandas().slot.value_counts()) is not None
+    assert least <= out.least_moved[0] <= least + 10 and set(out.least_moved) == {out.least_moved[0]}
+    three = resharding.reshard(odd, F.lit(0), F.octet_length("text"), 3).toPandas()
+    assert len(three) == len(ODD) and all(sorted(g.slot) == list(range(len(g))) for _, g in three.groupby("shard")) and set(three["shard"]) <= {0, 1, 2}
     assert resharding.reshard(none, F.lit(0), F.lit(1), 3).count() == 0
 
 
 def test_only_affected_shards_are_rewritten(spark, tmp_path):
     before = spark.createDataFrame([(k, k % 3, k) for k in range(9)], "doc_id long, shard int, slot long")
     path = str(tmp_path / "shards")
-    before.write.partitionBy("shard").parquet(path)
-    kept = {p.name for p in (tmp_path / "shards/shard=2").iterdir()}
+    resharding.publish(spark, path, resharding.write(before, path))
+    old = resharding.current(spark, path)
+    kept = {p.name for p in (tmp_path / "shards" / old[2]).iterdir()}
     after = before.withColumn("shard", F.when(F.col("doc_id") == 0, 1).otherwise(F.col("shard")))
     assert resharding.rewrite_affected(before, after, path) == [0, 1]
-    assert sorted((r.doc_id, r.shard) for r in spark.read.parquet(path).collect()) == sorted((r.doc_id, r.shard) for r in after.collect())
-    assert kept == {p.name for p in (tmp_path / "shards/shard=2").iterdir()}
+    assert sorted((r.doc_id, r.shard) for r in resharding.read(spark, path, before.schema).collect()) == sorted((r.doc_id, r.shard) for r in after.collect())
+    new = resharding.current(spark, path)
+    assert new[2] == old[2] and new[1] != old[1] and kept == {p.name for p in (tmp_path / "shards" / new[2]).iterdir()} and not (tmp_path / "shards" / old[1]).exists()
+    assert resharding.rewrite_affected(after, after, path) == []
+
+
+def test_a_move_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    before = spark.createDataFrame([(k, k % 3, k) for k in range(9)], "doc_id long, shard int, slot long")
+    path = str(tmp_path / "shards")
+    resharding.publish(spark, path, resharding.write(before, path))
+
+    def broken(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(resharding, "publish", broken)
+    with pytest.raises(OSError, match="lost"):
+        resharding.rewrite_affected(before, before.withColumn("shard", F.lit(0)), path)
+    assert sorted(map(tuple, resharding.read(spark, path, before.schema).collect())) == sorted(map(tuple, before.collect()))
 
 
 def test_rows_without_id_move_too(spark, tmp_path):
     rows = [(None, 0, 0), (None, 1, 0), (3, 1, 1), (3, 1, 2), (4, 2, 0)]
     before = spark.createDataFrame(rows, "doc_id long, shard int, slot long")
     path = str(tmp_path / "shards")
-    before.write.partitionBy("shard").parquet(path)
+    resharding.publish(spark, path, resharding.write(before, path))
     after = spark.createDataFrame([(None, 3, 0), *rows[1:]], before.schema)
     assert resharding.rewrite_affected(before, after, path) == [0, 3]
-    assert sorted(map(str, spark.read.parquet(path).select(before.columns).collect())) == sorted(map(str, after.collect()))
+    assert sorted(map(str, resharding.read(spark, path, before.schema).collect())) == sorted(map(str, after.collect()))
 
 
 def test_shards_without_bytes_keep_their_rows(spark):
@@ -107,9 +126,9 @@ def test_texts_move_between_shard_files(spark, odd, none, tmp_path):
     path = str(tmp_path / "shards")
     docs = odd.select("doc_id", "text").union(spark.createDataFrame([(k, f"text {k}" * (k % 9)) for k in range(500)] + [(None, "x")] * 3, "doc_id long, text string"))
     got = resharding.lay_out_anew(docs, F.pmod("doc_id", F.lit(4)), F.octet_length("text"), 6, path).toPandas()
-    files = spark.read.parquet(path)
+    files = spark.read.parquet(*[f"{path}/{v}" for v in resharding.current(spark, path).values()])
     key = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
-    assert key(files) == key(docs) and {p.name for p in (tmp_path / "shards").iterdir() if p.name.startswith("shard=")} == {f"shard={s}" for s in set(got["shard"])}
+    assert key(files) == key(docs) and set(resharding.current(spark, path)) == set(got["shard"])
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     assert resharding.lay_out_anew(none.select("doc_id", "text"), F.lit(0), F.lit(1), 3, str(tmp_path / "none")).count() == 0
 
@@ -205,7 +224,7 @@ def test_a_broken_member_is_tried_alone(spark, tmp_path):
 
 def python_compare(rows):
     """op5's result by plain sets, as a sorted list; rows with equal ids may follow each other in any order."""
-    pieces = lambda t: set(re.findall(r"[^\n]+?(?:(?<=[.!?…。！？]\s)|(?<=[kwxz7]\s)|(?=\n)|$)", t))
+    pieces = lambda t: {p for line in t.split("\n") for p in re.split(r"(?<=[.!?…。！？]\s)(?=[A-Ma-m0-4])|(?<=[kwxz7]\s)(?=[A-Ma-m0-4])", line) if p}
     alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     out = []
     for k, (d, t) in enumerate(rows):
@@ -225,9 +244,9 @@ def in_order(spark, rows):
     return [(r.doc_id, r.text) for r in df.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
 
 
-@pytest.mark.parametrize("turns", [18, 3])
+@pytest.mark.parametrize("turns", [12, 2])
 def test_fingerprints(spark, turns):
-    """Three turns empty few tables, so most pairs go through the retries."""
+    """Two turns empty few tables, so most pairs go through the retries."""
     r = random.Random(8)
     line = lambda: "".join(r.choices("abcdéß日😀. k", k=r.randint(0, 250)))
     rows = [(k * r.choice([1, 3, 1000]) + 5000 * k, "\n".join(line() for _ in range(r.randint(0, 12)))) for k in range(80)] + [(2**62, "far away"), (-7, None), (-8, ""), (-9, "x" * 30_000), (-10, rows_text := "same\nlines"), (-11, rows_text)]
@@ -261,14 +280,15 @@ def test_ranges_of_the_order_are_even(spark):
 
 
 def test_an_inserted_character_moves_no_other_cut(spark):
-    words = " ".join(f"word{k}" for k in range(2000))
+    r = random.Random(5)
+    words = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5)) for _ in range(2000))
     rows = [(2, words), (1, words[:5000] + "#" + words[5000:])]
     assert fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 2").first().near_next > 0.95
 
 
 def test_packing(spark, odd, none):
     path = public.path("byte_bpe_50k.json")
-    got = packing.pack(packing.pieces(odd, path).withColumn("offset", F.lit("clash")), rows_per_part=2).toPandas()
+    got = packing.pack(packing.pieces(odd, path).withColumn("offset", F.lit("clash"))).toPandas()
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
