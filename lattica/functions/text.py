@@ -71,6 +71,23 @@ def json_strings(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
+def valid_utf8(c: Column) -> Column:
+    """Whether bytes are UTF-8: no overlong forms, no surrogates, nothing beyond U+10FFFF."""
+    return F.is_valid_utf8(c.cast("string"))
+
+
+def sheet_column(ref: Column, most: int = 16_384) -> Column:
+    """The column of a cell reference such as AB12, from 1; 0 if malformed or beyond ``most``."""
+    letters = F.regexp_extract(ref, "^([A-Z]+)[0-9]+$", 1)
+    n = F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda s, x: F.when((x == "") | (s > most), s).otherwise(s * 26 + F.ascii(x) - 64))
+    return F.when(n <= most, n).otherwise(0).cast("int")
+
+
+def heading_level(style: Column) -> Column:
+    """The level of a word processor's heading style, 1 to 9; 0 for other styles."""
+    return F.coalesce(F.regexp_extract(style, "^(?i)heading ?([1-9])$", 1).try_cast("int"), F.lit(0))
+
+
 #: Elements without content, and what hides an element.
 VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
 HIDES = r"display: ?none|visibility: ?hidden|\shidden(?=[\s=/>])"

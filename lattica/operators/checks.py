@@ -51,3 +51,57 @@ def changed(before: DataFrame, after: DataFrame, key: list[str], frozen: list[st
     b, a = before.select(*key, F.struct(*frozen).alias("was")), after.select(*key, F.struct(*frozen).alias("is"))
     both = b.join(a, key, "left").where(~F.col("was").eqNullSafe(F.col("is")))
     return both.select(F.lit(rule).alias("rule"), F.concat_ws(":", *key).alias("key"))
+
+
+def foreign_actors(rows: DataFrame, users: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """(rule, key) of rows whose acting user, if any, isn't of the row's tenant."""
+    found = [unmatched(rows.where(F.col(c).isNotNull()), f"{c} is of the tenant", users.select("company_id", F.col("user_id").alias(c)), ["company_id", c], key) for c in columns]
+    return reduce(DataFrame.union, found)
+
+
+def several_defaults(providers: DataFrame) -> DataFrame:
+    """(rule, key) of scopes (a tenant, or all tenants if null) with more than one enabled default."""
+    live = providers.where("is_default and enabled").withColumn("scope", F.coalesce(F.col("company_id").cast("string"), F.lit("system")))
+    return repeated(live, "one default provider", ["scope"])
+
+
+def late_changes(changes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(rule, key) of changes (request_id, ts) made after the first decision (request_id, ts) on the request."""
+    first = decisions.groupBy("request_id").agg(F.min("ts").alias("_first"))
+    return changes.join(first, "request_id").where("ts > _first").select(F.lit("decided requests are frozen").alias("rule"), F.col("request_id").cast("string").alias("key")).distinct()
+
+
+def roots(companies: DataFrame, units: DataFrame) -> DataFrame:
+    """Units after each company (company_id, root_id, name) has a root that bears its name; new ones get one."""
+    new = companies.join(units.where("parent_id is null").select("company_id"), "company_id", "left_anti")
+    named = units.join(companies.select("company_id", F.col("name").alias("_name")), "company_id", "left")
+    named = named.withColumn("name", F.when(F.col("parent_id").isNull(), F.coalesce("_name", "name")).otherwise(F.col("name"))).select(*units.columns)
+    return named.unionByName(new.select("company_id", F.col("root_id").alias("unit_id"), F.lit(None).cast("long").alias("parent_id"), "name"))
+
+
+def feed(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., op, old, new): what turns one state of a table into the next, as inserts, updates and deletes."""
+    values = [c for c in before.columns if c not in key]
+    b, a = before.select(*key, F.struct(*values).alias("old")), after.select(*key, F.struct(*values).alias("new"))
+    op = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(~F.col("old").eqNullSafe(F.col("new")), "update")
+    return b.join(a, key, "full").withColumn("op", op).where("op is not null").select(*key, "op", "old", "new")
+
+
+def snapshots(sessions: DataFrame, scopes: DataFrame, approvals: DataFrame) -> DataFrame:
+    """(session_id, snapshot): each session with its scopes and approvals in order, as JSON.
+
+    ``scopes`` (session_id, unit_id) and ``approvals`` (session_id, approver,
+    decision) are a few rows of a session each.
+    """
+    units = scopes.groupBy("session_id").agg(F.array_sort(F.collect_list("unit_id")).alias("scopes"))
+    votes = approvals.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("approver", "decision"))).alias("approvals"))
+    s = sessions.join(units, "session_id", "left").join(votes, "session_id", "left")
+    empty = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    body = F.struct("session_id", "state", empty("scopes", "array<bigint>"), empty("approvals", "array<struct<approver:bigint,decision:string>>"))
+    return s.select("session_id", F.to_json(body).alias("snapshot"))
+
+
+def small_tenants(users: DataFrame, units: DataFrame, most: int) -> DataFrame:
+    """(user_id, root_id, n_units, outcome): active users with their tenant's root; trees of over ``most`` units are refused."""
+    roots_ = units.groupBy("company_id").agg(F.count("*").alias("n_units"), F.min(F.when(F.col("parent_id").isNull(), F.col("unit_id"))).alias("root_id"))
+    return users.where("deactivated_at is null").join(roots_, "company_id").select("user_id", "root_id", "n_units", F.when(F.col("n_units") > most, "too large").otherwise("ok").alias("outcome"))

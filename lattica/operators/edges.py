@@ -81,3 +81,13 @@ def stranded(jobs: DataFrame, heartbeats: DataFrame, t: str, seconds: int = 900)
     """Jobs (worker, ...) of workers without a heartbeat (worker, beat_at) in time; they go back to the queue."""
     alive = heartbeats.where(F.col("beat_at") > at(t) - F.expr(f"interval {seconds} seconds")).select("worker")
     return jobs.join(alive, "worker", "left_anti")
+
+
+def listed(edges: DataFrame, endpoints: DataFrame, company: int, edge_type: int | None = None, states: list[str] | None = None, doc: int | None = None) -> DataFrame:
+    """A tenant's edges; a filter that isn't given filters nothing, ``doc`` asks for an end there."""
+    rows = edges.where(F.col("company_id") == company)
+    if edge_type is not None:
+        rows = rows.where(F.col("edge_type") == edge_type)
+    if states:
+        rows = rows.where(F.col("review_state").isin(states))
+    return rows if doc is None else rows.join(endpoints.where(F.col("doc_id") == doc), "edge_id", "left_semi")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .gates import Evidence
 
 MAX_LIMIT, MAX_PAGE = 100, 200
+#: Tokens that a chat template may add.
+ALLOWANCE = 32
 
 
 def checked_limit(limit: int, most: int = MAX_LIMIT) -> int:
@@ -55,16 +57,18 @@ def escaped(c: Column) -> Column:
 PACKED = "query_id long, included array<string>, sources array<long>, n_bytes long, prompt string"
 
 
-def pack(evidence: DataFrame, budget_bytes: int = 65_536, max_items: int = 20) -> DataFrame:
+def pack(evidence: DataFrame, budget_bytes: int = 65_536, max_items: int = 20, budget_tokens: int = 8192 - 2048) -> DataFrame:
     """Fill one prompt for each query, greedily, in ``pos`` order.
 
     ``evidence``: (query_id, pos, kind, key, chunks: array<struct<id, text>>).
     An item that doesn't fit is left out and later ones may still fit. A chunk
     that is in already is cited by its number and not repeated; a relationship
-    adds its missing chunks and itself, all or nothing. A prompt holds at most
+    adds its missing chunks and itself, all or nothing. Tokens are bounded from
+    above: as many as bytes, and ``ALLOWANCE``. A prompt holds at most
     ``max_items`` items, so only about that many candidates of a query should
     come here.
     """
+    most = min(budget_bytes, budget_tokens - ALLOWANCE)
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         number: dict[int, int] = {}
@@ -81,7 +85,7 @@ def pack(evidence: DataFrame, budget_bytes: int = 65_536, max_items: int = 20) -
                 ends = [label.get(c["id"], number.get(c["id"])) for c in r.chunks]
                 texts.append(f'<relation of="{ends[0]}" to="{ends[1]}"/>')
             size = sum(len(t.encode()) + 1 for t in texts)
-            if used + size > budget_bytes:
+            if used + size > most:
                 continue
             used += size
             number |= label
@@ -94,7 +98,7 @@ def pack(evidence: DataFrame, budget_bytes: int = 65_536, max_items: int = 20) -
 
 def tokens_at_most(system: Column, user: Column) -> Column:
     """No tokenizer makes more tokens than there are bytes."""
-    return F.octet_length(system) + F.octet_length(user) + 32
+    return F.octet_length(system) + F.octet_length(user) + ALLOWANCE
 
 
 def as_json(evidence: DataFrame) -> DataFrame:

@@ -34,6 +34,11 @@ def upsert(points: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return points.join(new, key, "left_anti").unionByName(new)
 
 
+def write_collection(points: DataFrame, path: str) -> None:
+    """Points (model_id, ...) as a collection with a folder for each model, so that a search reads one model's only."""
+    points.write.mode("append").partitionBy("model_id").parquet(path)
+
+
 def remove(points: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return points.join(gone, key, "left_anti")
 

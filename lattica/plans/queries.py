@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import chunking, embedding, text
-from lattica.operators import access, checks, edges, gates, graph, hierarchy, outbox, retrieve, temporal, vectors
+from lattica.operators import access, edges, gates, graph, hierarchy, outbox, retrieve, temporal, vectors
 from lattica.operators.access import clearance
 from lattica.sources import files
 from lattica.streaming import state
@@ -394,11 +394,6 @@ def x07_edge_refusals(m: Model) -> DataFrame:
     return gates.edge_refusals(asked, readers(m), m.versions, m.edges, ends, CLEARED, STATES, AS_OF)
 
 
-@query(sql("SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS key WHERE false"))
-def c01_violations(m: Model) -> DataFrame:
-    return checks.violations(m.units, m.memberships, m.grants, m.documents, m.versions, m.edges)
-
-
 # Usage.
 
 
@@ -496,13 +491,16 @@ def prompt_chunks(m: Model) -> DataFrame:
 def v11_prompt(m: Model) -> DataFrame:
     """One packed prompt for each query; sequential by nature, see the tests."""
     # Twenty items, and at most ten chunks that are in already and don't count.
-    e = merged(m, 30)
+    return pack_prompt(m, merged(m, 30), budget_tokens=128 * 1024)
+
+
+def pack_prompt(m: Model, e: DataFrame, **budget: int) -> DataFrame:
     d = prompt_chunks(m).select("doc_id", "chunk_id", retrieve.escaped(F.col("content")).alias("t"))
     chunk = e.where("kind = 'chunk'").join(d, e.id == d.chunk_id).select("query_id", "pos", "kind", F.col("id").alias("key"), F.array(F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text"))).alias("chunks"))
     ends = m.edges.select(F.col("edge_id").alias("id"), "source_doc", "target_doc")
     a, b = d.select(F.col("doc_id").alias("source_doc"), F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text")).alias("a")), d.select(F.col("doc_id").alias("target_doc"), F.struct(F.col("chunk_id").alias("id"), F.col("t").alias("text")).alias("b"))
     rel = e.where("kind <> 'chunk'").join(ends, "id").join(a, "source_doc").join(b, "target_doc").select("query_id", "pos", "kind", F.col("id").alias("key"), F.array("a", "b").alias("chunks"))
-    return retrieve.pack(chunk.union(rel)).select("query_id", F.array_join("included", ",").alias("included"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), "n_bytes", F.sha2("prompt", 256).alias("prompt_sha256"))
+    return retrieve.pack(chunk.union(rel), **budget).select("query_id", F.array_join("included", ",").alias("included"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"), "n_bytes", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 @query(sql("SELECT company_id, edge_id, edge_type, version_ FROM (SELECT company_id, edge_id, edge_type, 1 version_, row_number() OVER (ORDER BY edge_id % 17, edge_id) n FROM edges WHERE company_id = 1) WHERE n BETWEEN 11 AND 30"))
@@ -951,3 +949,5 @@ def x05_stale_citations(m: Model) -> DataFrame:
 # both now take all.
 for name in ("v16_visible_units", "x02_paths", "x05_impact", "f01_hash_and_escape", "f13_page_text"):
     QUERIES[f"{name}_all"], ORACLES[f"{name}_all"] = QUERIES[name], ORACLES[name]
+
+from . import records  # noqa: E402, F401  its queries join these

@@ -23,9 +23,9 @@ def tenant(spark: SparkSession, path: str, company: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("company_id") == company)
 
 
-def manifest(spark: SparkSession, path: str, file_type: str | None = None, company: str | None = None, license: str | None = None, limit: int | None = None) -> DataFrame:
-    """Entries of a corpus manifest, filtered; what isn't given doesn't filter."""
-    rows = spark.read.option("multiLine", True).json(path)
+def manifest(spark: SparkSession, path: str, file_type: str | None = None, company: str | None = None, license: str | None = None, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Entries of a corpus manifest, filtered; what isn't given doesn't filter. One JSON array, or an entry a line."""
+    rows = spark.read.option("multiLine", not lines).json(path)
     for name, value in (("file_type", file_type), ("company_tag", company), ("license", license)):
         rows = rows if value is None else rows.where(F.col(name) == value)
     return rows if limit is None else rows.orderBy("url").limit(limit)
