@@ -27,6 +27,8 @@ from pyspark.sql.types import StructType
 from .common import small, stored
 
 SAMPLE, OFTEN, LONGEST = 20_000, 2, 5
+#: N-grams from this length on count as known, as whole words do.
+LONG, WHOLE = 3, 100
 #: Words that a worker remembers before it begins anew.
 CACHE = 150_000
 #: Runs of letters (and of the few other signs that count as word characters).
@@ -57,15 +59,16 @@ class Model:
     gram_table: np.ndarray
     longest: int = LONGEST
 
-    def evidence(self, word: str) -> np.ndarray:
+    def evidence(self, word: str) -> tuple[np.ndarray, int]:
+        """What a word says for each language, and the length of the n-grams that say it (``WHOLE``: the word itself)."""
         k = self.words.get(word)
         if k is not None:
-            return self.word_table[k]
+            return self.word_table[k], WHOLE
         for n in range(self.longest, 0, -1):
             found = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
             if found:
-                return self.gram_table[found].mean(axis=0)
-        return np.zeros(len(self.languages))
+                return self.gram_table[found].mean(axis=0), n
+        return np.zeros(len(self.languages)), 0
 
 
 class Scorer:
@@ -78,17 +81,18 @@ class Scorer:
     def reset(self) -> None:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.model.languages)))
+        self.reach = np.zeros(1024, np.int8)
 
     def learn(self, word: str) -> int:
         k = len(self.place)
         if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.evidence(word)
+            self.rows, self.reach = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.reach))
+        self.rows[k], self.reach[k] = self.model.evidence(word)
         self.place[word] = k
         return k
 
     def score(self, text: str | None) -> tuple[str, float, int, int]:
-        """Language, probability, number of words, and of those that the model knows."""
+        """Language, probability, number of words, and how many of them the model knows whole or by n-grams of three letters or more."""
         words = words_of(text or "")
         if not has_letter(words) or not self.model.languages:
             return "und", 0.0, len(words), 0
@@ -99,7 +103,7 @@ class Scorer:
         total = self.rows[at].sum(axis=0) / np.sqrt(len(words))
         p = np.exp(total - total.max())
         best = int(p.argmax())
-        return self.model.languages[best], float(p[best] / p.sum()), len(words), sum(map(self.model.words.__contains__, set(words)))
+        return self.model.languages[best], float(p[best] / p.sum()), len(words), int((self.reach[at] >= LONG).sum())
 
 
 def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
@@ -175,7 +179,10 @@ ADDED = "lang_pred string, score double, n_words integer, n_known integer"
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score``, ``n_words`` and ``n_known`` (distinct known words).
+    """``docs`` with ``lang_pred``, ``score``, ``n_words`` and ``n_known``.
+
+    ``n_known`` words are known themselves or by n-grams of ``LONG`` letters or
+    more; a low share of them means a language or letters never learned.
 
     Only ``text`` is looked at. A null text, or one without a letter, is
     ``und`` with score 0. Columns of ``docs`` named like the added ones are

@@ -101,11 +101,11 @@ def signature(hashes: np.ndarray) -> bytes:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-SETS = "doc_id long, n_shingles long, set_hash long, set_check long, signature binary"
+SETS = "doc_id long, row long, n_shingles long, set_hash long, set_check long, signature binary"
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
-    """Size, two hashes and signature of every document's shingle set."""
+def signed(docs: DataFrame, words: int, row: str | None = None) -> DataFrame:
+    """Size, two hashes and signature of every document's shingle set, with its number ``row`` if it has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -116,13 +116,15 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             raw = [g.tobytes() for g in got]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b["doc_id"],
+                "row": b["row"],
                 "n_shingles": pa.array(list(map(len, got)), pa.int64()),
                 "set_hash": pa.array([xxhash.xxh3_64_intdigest(r) - 2**63 for r in raw], pa.int64()),
                 "set_check": pa.array([xxhash.xxh64_intdigest(r, 5) - 2**63 for r in raw], pa.int64()),
                 "signature": pa.array([signature(g) if len(g) else None for g in got], pa.binary()),
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SETS)
+    number = F.lit(None) if row is None else F.col(row)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.cast("long").alias("row"), "text").mapInArrow(run, SETS)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -221,7 +223,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges.toDF("id", "component")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def link(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents are linked if their sets of ``words``-word shingles have at least
@@ -229,9 +231,12 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     least doc_id that is reachable. Null and empty texts have no shingles and
     are linked with nothing. Rows that share a doc_id count as one document
     per text (each gets a row); a null doc_id is its own component, null.
-    Other columns are ignored; an empty input gives an empty result.
+    Other columns are ignored; an empty input gives an empty result. ``row``
+    names a column of unique numbers; then each result has it too, as ``row``,
+    and ``repeats``: whether a row of a lower number has the same doc_id and
+    the same words (null doc_ids and texts without words repeat nothing).
     """
-    all_sets = stored(signed(docs, words), "sets")
+    all_sets = stored(signed(docs, words, row), "sets")
     full = all_sets.where("n_shingles > 0 and doc_id is not null")
     # Equal sets are one class, named by its least doc_id; copies end here.
     first = ["set_hash", "set_check", "n_shingles"]
@@ -240,9 +245,14 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members = stored(members.select(F.col("doc_id").alias("id"), "n_shingles", "signature"), "members")
     found = components(near_links(members, docs, words, percent))
     by_class = named.join(found, "id", "left").select(*first, F.coalesce("component", "id").alias("component"))
-    rows = all_sets.drop("hashes").join(by_class, first, "left")
-    component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rows = all_sets.join(by_class, first, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = [F.col("doc_id"), F.col("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")]
+    if row is None:
+        return rows.select(*out)
+    again = full.groupBy("doc_id", *first).agg(F.min("row").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = rows.join(stored(again, "again"), ["doc_id", *first], "left")
+    return rows.select(*out, "row", F.coalesce(F.col("row") > F.col("_least"), F.lit(False)).alias("repeats"))
 
 
 def _mixed(keys: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:

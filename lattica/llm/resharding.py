@@ -272,7 +272,8 @@ def lay_out_anew(df: DataFrame, old_shard, size, capacity_shares: list[float] |
     before = read(spark, path, old.schema)
     plan = reshard(before.select("_id", F.col("shard").alias("_old"), size.alias("_size")), F.col("_old"), F.col("_size"), capacity_shares)
     plan = stored(plan.select("_id", "shard", "slot", "least_moved"), "places")
-    after = before.drop("shard", "slot").join(plan.drop("least_moved"), "_id")
+    # Places grow with the rows, so they are never sent to all tasks.
+    after = before.drop("shard", "slot").join(plan.drop("least_moved").hint("merge"), "_id")
     rewrite_affected(before, after, path, "_id")
     least = plan.agg(F.max("least_moved")).first()[0]
     return read(spark, path, old.schema).drop("_id").withColumn("least_moved", F.lit(least).cast("long"))

@@ -38,6 +38,15 @@ def test_bpe_proposals_are_verified():
     assert v.encode_words([]) == []
 
 
+def test_all_low_characters_equal_the_library():
+    """Every character that texts of both ways may hold, among letters, digits, marks and spaces."""
+    path = public.path("byte_bpe_50k.json")
+    own, lib = packing.Tokens(path), Tokenizer.from_file(path)
+    texts = [t for c in map(chr, range(0x250)) for t in (f"a{c}b 1{c}2", f"{c} {c}{c} x{c}", f"word {c}word {c}'s")]
+    for text, ids in zip(texts, own.batch(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_long_words_equal_the_library():
     """Also where equal pairs overlap and where much fails; the time is about linear in the length."""
     path, r = public.path("word_bpe_49k.json"), random.Random(6)
@@ -183,8 +192,9 @@ def test_shingles_and_signatures():
 def test_unknown_words_back_off_to_shorter_grams():
     table = np.array([[1.0, -1.0]])
     m = language_id.Model(["a", "b"], {"known": 0}, table, {"^xy": 0, "z": 0}, -table)
-    assert m.evidence("known").tolist() == [1.0, -1.0]
-    assert m.evidence("xyw").tolist() == [-1.0, 1.0] and m.evidence("wz").tolist() == [-1.0, 1.0] and m.evidence("q").tolist() == [0.0, 0.0]
+    plain = lambda w: (m.evidence(w)[0].tolist(), m.evidence(w)[1])
+    assert plain("known") == ([1.0, -1.0], language_id.WHOLE)
+    assert plain("xyw") == ([-1.0, 1.0], 3) and plain("wz") == ([-1.0, 1.0], 1) and plain("q") == ([0.0, 0.0], 0)
     score = language_id.Scorer(m).score
     assert score(None)[:2] == ("und", 0.0) and score("12 !?")[:2] == ("und", 0.0) and score("Known")[0] == "a"
 

@@ -15,6 +15,8 @@ import corpus_pipeline  # noqa: E402
 from lattica.llm import bpe, chat, fingerprints, language_id, media, near_dup, packing, pii, quality, resharding  # noqa: E402
 from lattica.llm import queries as llm_queries  # noqa: E402
 
+import plain  # noqa: E402
+
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k}" for k in range(30_000))
@@ -48,6 +50,59 @@ def test_language_held_out_accuracy(spark):
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count() > 0
 
 
+def test_language_equals_plain_backoff(spark):
+    """Every document of the smallest table, by counts in dictionaries."""
+    rows = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang").collect()
+    crc = lambda d: zlib.crc32(str(d).encode()) % 4
+    model = plain.Language([(x.text, x.lang) for x in rows if crc(x.doc_id) != 2])
+    got = {x.doc_id: x for x in llm_queries.QUERIES["op1_language_id"](spark, DIR).collect()}
+    assert len(got) == len(rows)
+    for x in rows:
+        lang, score = model.predict(x.text)
+        assert got[x.doc_id].held_out == (crc(x.doc_id) == 2) and got[x.doc_id].lang_pred == lang and got[x.doc_id].score == pytest.approx(score, abs=1e-4)
+
+
+def test_quality_equals_trees_walked_node_by_node(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
+    trees = quality.fit(quality.labelled(docs, labels.select("doc_id", "quality")))
+    got = {x.doc_id: x for x in llm_queries.QUERIES["op7_quality"](spark, DIR).collect()}
+    for x in docs.collect():
+        want = plain.walk(trees, quality.statistics(x.text))
+        assert got[x.doc_id].score == pytest.approx(want, abs=1e-9) and got[x.doc_id].predicted == int(want >= 0.3)
+
+
+def test_media_rows_equal_plain_ones(spark):
+    """Digests, sizes and features of all documents, by the wave module and loops."""
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    rows = llm_queries.QUERIES["op4_media"](spark, DIR).collect()
+    assert {x.doc_id for x in rows} == set(texts)
+    for x in rows:
+        *want, values = plain.media_row(texts[x.doc_id])
+        assert [x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.media_bytes, x.media_sha256] == want
+        assert [float(v) for v in x.feature.split(",")] == pytest.approx(values, abs=2e-4, rel=2e-5)
+
+
+def test_private_values_of_a_plain_search_are_gone(spark):
+    """Values found by trying plain patterns at each place change within their shape; texts without a count stay."""
+    texts = {x.doc_id: x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    n, linked = 0, {}
+    for x in llm_queries.QUERIES["op8_pii"](spark, "/root/testdata/sf0.01").collect():
+        counts = sum(x[c] for c in x.asDict() if c.startswith("n_") and c != "n_chars")
+        assert (x.text != texts[x.doc_id]) == (counts > 0)
+        found = plain.private(texts[x.doc_id])
+        assert len(x.text) == len(texts[x.doc_id]) or "-" in texts[x.doc_id] or "." in texts[x.doc_id]
+        for _, value in found:
+            n += 1
+            assert value not in x.text
+        if len(x.text) == len(texts[x.doc_id]):
+            for start, value in found:
+                new = x.text[start : start + len(value)]
+                if re.fullmatch(r"[\d -]+", value):
+                    assert plain.shape(new) == plain.shape(value) and linked.setdefault(value, new) == new
+    assert n > 50
+
+
 def test_quality(spark, odd, none):
     got = quality.score(odd.withColumn("predicted", F.lit("clash")), quality.fit(quality.labelled(odd, spark.createDataFrame([(3, 1), (5, 0), (2, 1), (None, 1), (8, None)], "doc_id long, quality int"))))
     assert got.count() == len(ODD) and got.where("score between 0 and 1 and (predicted = 1) = (score >= 0.3)").count() == len(ODD)
@@ -326,28 +381,6 @@ def test_bpe(spark, odd, none):
     assert bpe.encode(none, path).count() == 0
 
 
-def brute_components(rows, words, percent):
-    sets = {}
-    for d, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[d] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
-    root = {d: d for d in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
-    return {d: (len(sets[d]), find(d)) for d in sets}
-
-
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, words):
     r = random.Random(words)
@@ -364,7 +397,7 @@ def test_near_duplicates_equal_brute_force(spark, words):
     rows += [(-1, None), (-2, ""), (-3, " \n"), (-4, "solo"), (-5, "SOLO"), (-6, LONG), (-7, LONG + " end")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash"))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.link(df, words, 80).collect()}
-    assert got == brute_components(rows, words, 80)
+    assert got == plain.components(rows, words, 80)
 
 
 def test_near_copies_far_from_their_hub(spark):
@@ -385,7 +418,7 @@ def test_near_copies_far_from_their_hub(spark):
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.link(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
     finally:
         near_dup.BLOCK = old
-    assert got == brute_components(rows, 2, 80)
+    assert got == plain.components(rows, 2, 80)
 
 
 def test_near_duplicates_of_odd_rows(spark, odd, none):
@@ -407,18 +440,59 @@ def test_components(spark):
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def kept_rows(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DIR).collect())
+
+
+def test_near_copies_go_row_by_row(spark):
+    """Rows that share a doc_id: a copy goes alone, equal rows become one, rows without id or words stay."""
+    r = random.Random(2)
+    a, b = (" ".join(r.choices([f"w{k}" for k in range(90)], k=60)) for _ in range(2))
+    row = lambda d, t: (d, t, "en", "s", 1)
+    rows = [row(1, a), row(5, a), row(5, b), row(7, b), row(7, b), row(8, "x y z u v w"), row(8, "x y z u v w"), row(None, a), row(None, a), row(9, ""), row(9, ""), row(9, None)]
+    assert kept_rows(spark, rows) == sorted([("1", a), ("5", b), ("8", "x y z u v w"), ("None", a), ("None", a), ("9", ""), ("9", ""), ("9", "None")])
+
+
+def test_texts_in_no_known_language_go(spark):
+    """A fifth script and letter noise go, texts in the learned languages stay."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    r = random.Random(9)
+    noise = " ".join("".join(r.choices("qxzjkvwyþð", k=9)) for _ in range(80))
+    more = spark.createDataFrame([(-1, noise, None, "s", 1), (-2, "Привет мир это просто текст на другом языке " * 4, None, "s", 1), (-3, "12 34", None, "s", 1)], docs.schema)
+    out = {x.doc_id for x in corpus_pipeline.identify_language(spark, docs.union(more), DIR).collect()}
+    clean = {x.doc_id for x in spark.read.parquet(f"{DIR}/labels.parquet").where("quality = 1").collect()}
+    assert clean <= out and not out & {-1, -2, -3}
+
+
 def test_pipeline(spark):
-    """Each stage's decision is the operator's own, on what the stage before kept."""
+    """Each stage's rows by a plain version, on what the stage before kept."""
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    n, names = docs.count(), []
+    own = pii.Pseudonyms(llm_queries.pii_key())
     for name, stage in corpus_pipeline.STAGES[:4]:
+        before = {x.doc_id: x for x in docs.collect()}
         out = stage(spark, docs, DIR).cache()
-        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
-        if name == "MinHash near-dedup":
-            rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
-            assert {x.doc_id for x in out.collect()} == {d for d, (_, c) in brute_components(rows, 5, 80).items() if d == c}
+        after = {x.doc_id: x for x in out.collect()}
+        assert out.columns == docs.columns and 0 < len(after) <= len(before)
+        if name == "language ID":
+            model = plain.Language([(x.text, x.lang) for x in before.values()])
+            assert all(model.predict(before[d].text)[0] != "und" for d in after)
+            assert all(model.predict(before[d].text)[1] < 0.35 or not plain.WORDS.search(before[d].text or "") for d in before.keys() - after.keys())
+        elif name == "quality classifier":
+            trees = quality.fit(quality.labelled(docs, spark.read.parquet(f"{DIR}/labels.parquet").select("doc_id", "quality")))
+            assert after.keys() == {d for d, x in before.items() if plain.walk(trees, quality.statistics(x.text)) >= 0.3}
+        elif name == "MinHash near-dedup":
+            assert after.keys() == {d for d, (_, c) in plain.components([(d, x.text) for d, x in before.items()], 5, 80).items() if d == c}
+        else:
+            assert {d: (x.text, x.n_chars) for d, x in after.items()} == {d: (t := own.replace(x.text)[0], len(t)) for d, x in before.items()}
+        assert all(x == before[d] for d, x in after.items() if name != "PII")
         docs = out
-        names.append(name)
-    packed = corpus_pipeline.STAGES[4][1](spark, docs, DIR)
-    assert packed.select("doc_id").distinct().count() == docs.count() and n >= docs.count()
-    assert corpus_pipeline.run(spark, DIR).count() == packed.count()
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, DIR).toPandas()
+    want = {d: len(lib.encode(x.text, add_special_tokens=False).ids) + 1 for d, x in after.items()}
+    assert packed.groupby("doc_id").length.sum().to_dict() == want
+    for _, g in packed.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert g.length.sum() <= 2048 and (g.length.cumsum() - g.length).tolist() == g.offset.tolist()
+    assert corpus_pipeline.run(spark, DIR).count() == len(packed)
