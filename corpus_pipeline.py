@@ -14,14 +14,18 @@ from lattica.llm import language_id, near_dup, packing, pii, quality
 from lattica.llm.common import stored, table
 from lattica.llm.queries import pii_key, tokenizer
 
-#: Below this probability of the best language a text is in none that is known.
-SURE = 0.3
+#: A text is in no known language if the best one's probability isn't that much
+#: above chance, or if less than this share of its words is known (whole, or by
+#: n-grams of three letters or more).
+ABOVE_CHANCE, LEAST_KNOWN = 0.05, 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts in no known language; ``lang`` is filled in where null."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    found = language_id.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
+    chance = 1 / max(1, len(model.languages))
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= min(1.0, chance + ABOVE_CHANCE)) & (F.col("n_known") >= LEAST_KNOWN * F.col("n_words"))
+    found = language_id.predict(docs, model).where(sure)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
@@ -32,9 +36,15 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group (5-word shingles, 80 %)."""
-    gone = near_dup.link(docs.select("doc_id", "text"), words=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document of least doc_id of each group (5-word shingles, 80 %).
+
+    Rows go one by one: of rows that share a doc_id those go whose text is a
+    copy of another document's, and of rows that also share their words one
+    stays. Rows without a doc_id or without words all stay.
+    """
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    gone = near_dup.link(docs, words=5, percent=80, row="_row").where("not kept or repeats").select(F.col("row").alias("_row"))
+    return docs.join(stored(gone, "gone"), "_row", "left_anti").drop("_row")
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
