@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 600, 100
@@ -62,8 +62,22 @@ def sections(docs: DataFrame) -> DataFrame:
     Text before the first heading is a section of depth 0 if it isn't blank; a
     document without headings is one such section. A section's parent is the
     nearest one before it of lower depth (depth 0 takes first-level headings
-    as children).
+    as children). Documents without headings need no lines, and so no shuffle.
     """
+    text = F.coalesce("text", F.lit(""))
+    has_heading = text.rlike("(?dm)^#{1,6} ")
+    none, empty = F.lit(None).cast("int"), F.lit("")
+    whole = _trimmed(F.regexp_replace(text, r"\r+(?=\n|\z)", ""))
+    flat = docs.where(~has_heading).select("doc_id", F.lit(0).alias("ordinal"), none.alias("parent"), empty.alias("heading"), empty.alias("heading_path"), F.lit(0).alias("depth"), whole.alias("body"))
+    return flat.union(_headed(docs.where(has_heading)))
+
+
+def _trimmed(body: Column) -> Column:
+    """Without empty lines at the start and white space at the end."""
+    return F.regexp_replace(F.regexp_replace(body, r"^(\s*\n)+", ""), r"\s+$", "")
+
+
+def _headed(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"\r+$", ""))
     head = F.regexp_extract("line", "^(#{1,6}) ", 1)
@@ -74,7 +88,7 @@ def sections(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_head"), F.expr("substring(line, depth + 2)"))).alias("heading"), F.max("depth").alias("depth"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_head"), F.struct("n", "line")))), lambda x: x["line"]), "\n").alias("body"),
     )
-    found = found.withColumn("body", F.regexp_replace(F.regexp_replace("body", r"^(\s*\n)+", ""), r"\s+$", ""))
+    found = found.withColumn("body", _trimmed(F.col("body")))
     whole = F.max("k").over(Window.partitionBy("doc_id"))
     found = found.withColumn("last", whole).where((F.col("k") > 0) | (F.col("body") != "") | (F.col("last") == 0)).drop("last")
     w = Window.partitionBy("doc_id").orderBy("k")

@@ -96,12 +96,19 @@ HIDES = r"display: ?none|visibility: ?hidden|\shidden(?=[\s=/>])"
 def without_html(c: Column) -> Column:
     """struct<text, error>: Markdown without HTML tags, hidden elements with all they hold.
 
-    A ``<`` that begins no tag stays. A hidden element that isn't closed is an error.
+    A ``<`` that begins no tag stays. Scripts and styles go first, so close
+    tags inside them end nothing. A hidden element ends at the first close tag
+    of its name; where an element of that name opens inside it, that isn't its
+    own end, and what follows would be shown, so this is an error, as is a
+    hidden element that isn't closed.
     """
-    opens = rf"<(?!(?:{VOID})\b)(?:(script|style)\b|([a-z][a-z0-9-]*)(?=[^>]*(?:{HIDES})))[^>]*(?<!/)>"
-    shown = c
-    for name in (r"(script|style)\b", rf"([a-z][a-z0-9-]*)(?=[^>]*(?:{HIDES}))"):
-        shown = F.regexp_replace(shown, rf"(?is)<(?!(?:{VOID})\b){name}[^>]*(?<!/)>.*?</\1[^>]*>", "")
-    unclosed = shown.rlike(rf"(?is){opens}")
+    hides = rf"([a-z][a-z0-9-]*)(?=[^>]*(?:{HIDES}))"
+    opens = rf"<(?!(?:{VOID})\b)(?:(script|style)\b|{hides})[^>]*(?<!/)>"
+    element = rf"(?is)<(?!(?:{VOID})\b){{}}[^>]*(?<!/)>.*?</\1[^>]*>"
+    bare = F.regexp_replace(c, element.format(r"(script|style)\b"), "")
+    hidden = F.regexp_extract_all(bare, F.lit(element.format(hides)), F.lit(0))
+    nested = F.exists(hidden, lambda e: e.rlike(r"(?is)^<([a-z][a-z0-9-]*)\b[^>]*>.*<\1\b"))
+    shown = F.regexp_replace(bare, element.format(hides), "")
+    error = F.when(nested, "nested_hidden_tag").when(shown.rlike(rf"(?is){opens}"), "unclosed_hidden_tag")
     plain = F.regexp_replace(shown, "</?[A-Za-z][^>]*>", "")
-    return F.struct(F.when(~unclosed, plain).alias("text"), F.when(unclosed, "unclosed_hidden_tag").alias("error"))
+    return F.struct(F.when(error.isNull(), plain).alias("text"), error.alias("error"))
