@@ -211,15 +211,18 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # Large star: larger neighbours go to the least one.
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Large star: larger neighbours go to the least one. A hub's many
+        # neighbours look it up in several places.
+        salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+        least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = both.where("v > u").withColumn("_salt", salt).join(least, ["u", "_salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: smaller neighbours and the node itself go to the least one.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = stored(small, "edges")
         # Stars are the fixed points: every edge leads to a node that has none to a lesser one.
-        if edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
+        if edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
             return edges.toDF("id", "component")
 
 
