@@ -808,9 +808,13 @@ def s10_ingest_claims(m: Model) -> DataFrame:
 # Streams, run to their end over the events file.
 
 
+#: Bytes of new files that a micro-batch takes, one file at least.
+BATCH_BYTES = 128 << 20
+
+
 def streamed(m: Model, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     schema = m.table("events").schema
-    source = m.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(m.dir)
+    source = m.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", BATCH_BYTES).parquet(m.dir)
     root = f"{shared_dir(m.spark)}/stream-{uuid.uuid4().hex}"
     out = transform(source)
     state.run_to_end(out, f"{root}/out", f"{root}/log")
