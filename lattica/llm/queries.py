@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language_id, media, near_dup, packing, pii, quality
+from . import blocks, bpe, chat, fingerprints, language_id, media, near_dup, negatives, neighbours, packing, pii, quality
 from .common import id_crc, shared_dir, table
 from .resharding import lay_out_anew
 
@@ -114,6 +114,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of each twentieth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of each fiftieth vector; each seventh label is off by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    good = table(spark, sf_dir, "embeddings").where(blocks.usable("embedding"))
+    return negatives.mine(good.select(F.col("vec_id").alias("id"), label.alias("label"), whole.alias("v")), F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat": op3_chat,
@@ -125,5 +138,21 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_near_dedup": op10_near_dedup,
     "op2_resharding": op2_resharding,
+    "op11_neighbours": op11_neighbours,
+    "op12_hard_negatives": op12_hard_negatives,
+}
+#: The others have no SQL; see tests/llm.
+ORACLES: dict[str, str] = {
+    "op11_neighbours": """
+WITH good AS (SELECT vec_id::BIGINT vec_id, embedding::DOUBLE[] v, row_number() OVER () n FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM (SELECT q.n, q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v) score FROM good q JOIN good c ON c.n <> q.n AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0) QUALIFY rank <= 20""",
+    "op12_hard_negatives": """
+WITH good AS MATERIALIZED (SELECT vec_id::BIGINT id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) v, row_number() OVER () n
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS MATERIALIZED (SELECT a.n an, a.id anchor_id, c.n cn, c.id, a.label = c.label same, list_inner_product(a.v, c.v)::BIGINT score FROM good a JOIN good c ON c.n <> a.n AND len(c.v) = len(a.v) WHERE a.id % 50 = 0),
+positives AS (SELECT an, anchor_id, cn pn, id positive_id, score positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY an ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY an, pn ORDER BY score DESC, id)::INT AS rank, id negative_id, positive_score, score negative_score
+FROM positives p JOIN pairs USING (an, anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
 }
-ORACLES: dict[str, str] = {}
