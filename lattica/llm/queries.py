@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, chat, fingerprints, language_id, media, near_dup, negatives, neighbours, packing, pii, quality
+from . import blocks, bpe, chat, fingerprints, language_id, media, near_dup, negatives, neighbours, packing, phrases, pii, quality
 from .common import id_crc, shared_dir, table
 from .resharding import lay_out_anew
 
@@ -127,6 +127,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(good.select(F.col("vec_id").alias("id"), label.alias("label"), whole.alias("v")), F.col("id") % 50 == 0)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two to four words."""
+    return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat": op3_chat,
@@ -140,6 +145,7 @@ QUERIES = {
     "op2_resharding": op2_resharding,
     "op11_neighbours": op11_neighbours,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_phrases": op13_phrases,
 }
 #: The others have no SQL; see tests/llm.
 ORACLES: dict[str, str] = {
@@ -155,4 +161,18 @@ pairs AS MATERIALIZED (SELECT a.n an, a.id anchor_id, c.n cn, c.id, a.label = c.
 positives AS (SELECT an, anchor_id, cn pn, id positive_id, score positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY an ORDER BY score DESC, id) <= 5)
 SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY an, pn ORDER BY score DESC, id)::INT AS rank, id negative_id, positive_score, score negative_score
 FROM positives p JOIN pairs USING (an, anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
+    "op13_phrases": r"""
+WITH t AS (SELECT row_number() OVER () d, coalesce(lang, 'und') lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') parts FROM documents),
+p AS (SELECT d, lang, generate_subscripts(parts, 1) k, regexp_extract_all(unnest(parts), '[^\x20\x09]+') words FROM t),
+w AS (SELECT d, lang, k, generate_subscripts(words, 1) i, unnest(words) w1 FROM p),
+g AS (SELECT lang, w1, lead(w1, 1) OVER s w2, lead(w1, 2) OVER s w3, lead(w1, 3) OVER s w4 FROM w WINDOW s AS (PARTITION BY d, k ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, [w1] ws, count(*) f FROM g GROUP BY ALL UNION ALL SELECT lang, [w1, w2], count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, ws, f a FROM f WHERE len(ws) > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.ws, c.a, k, x.f l, y.f r, (2000000::HUGEINT * c.a) // (x.f + y.f) score FROM c, range(1, 4) q(k) JOIN f x ON x.lang = c.lang AND x.ws = c.ws[:k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[k + 1:] WHERE k < len(c.ws)),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+cover AS (SELECT lang, ws[i:j] ws, max(a) most FROM c, range(1, 5) x(i), range(1, 5) y(j) WHERE i < j AND j <= len(ws) AND j - i + 1 < len(ws) GROUP BY ALL),
+n AS (SELECT lang, count(*)::BIGINT n FROM w GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(ws, ' '))) AS rank, array_to_string(ws, ' ') phrase, a::BIGINT a, l::BIGINT l, r::BIGINT r, n, score::BIGINT score
+FROM low LEFT JOIN cover USING (lang, ws) JOIN n USING (lang) WHERE most IS NULL OR 100 * most < 80 * a QUALIFY rank <= 2000""",
 }
