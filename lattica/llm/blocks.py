@@ -26,12 +26,11 @@ def usable(vector: str) -> Column:
 def bounds(df: DataFrame, n_queries: int, n_rows: int, block: int, least: int, most: int | None = None) -> tuple[int, int]:
     """Numbers of blocks and stripes: at most ``block`` queries in a block, about ``least`` rows in a stripe or more, ``most`` at most.
 
-    Between these the cluster decides: about two tiles for each of its cores.
+    Between these the cluster decides: a tile for each of its cores, and no more
+    stripes, as each has results of all queries to be merged.
     """
-    spark = df.sparkSession
-    wanted = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(1, -(-n_queries // block))
-    stripes = max(1, min(-(-n_rows // least), -(-wanted // blocks)))
+    stripes = max(1, min(-(-n_rows // least), -(-df.sparkSession.sparkContext.defaultParallelism // blocks)))
     return blocks, max(stripes, -(-n_rows // most)) if most else stripes
 
 
