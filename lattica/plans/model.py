@@ -231,13 +231,13 @@ memberships AS (
 groups_ AS (SELECT n.company_id, s_suppkey::BIGINT group_id, n.nation FROM supplier JOIN nations n ON n.nation = s_nationkey),
 group_memberships AS (SELECT company_id, group_id, nation + 100 unit_id, CASE WHEN group_id % 2 = 0 THEN 'self_and_descendants' ELSE 'self_only' END applies_to, 'viewer' role FROM groups_),
 group_members AS (SELECT g.company_id, g.group_id, u.user_id FROM groups_ g JOIN users u ON u.nation = g.nation AND u.user_id % 10 = g.group_id % 10),
-docs AS (
+docs AS MATERIALIZED (
   SELECT n.company_id, d.doc_id::BIGINT doc_id, CASE d.doc_id % 3 WHEN 0 THEN n.nation + 100 WHEN 1 THEN 1000 + n.nation * 10 + (d.doc_id // 25) % 5 ELSE n.company_id + 1 END owner_unit_id,
     (d.doc_id % 101)::INT authority, d.doc_id % 29 = 0 deleted, d.text FROM documents d JOIN nations n ON n.nation = d.doc_id % 25),
 paragraphs AS (SELECT company_id, doc_id, doc_id * 100000 + k chunk_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id * 100000 + k // 4 END section_id, content
   FROM (SELECT company_id, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 k FROM docs)),
 sections AS (SELECT company_id, section_id, 'Part ' || (section_id % 100000) heading FROM paragraphs WHERE section_id IS NOT NULL AND chunk_id % 100000 % 4 = 0),
-versions AS (
+versions AS MATERIALIZED (
   SELECT company_id, doc_id, 2 AS version, CASE doc_id % 10 WHEN 0 THEN 'draft' WHEN 1 THEN 'archived' ELSE 'active' END lifecycle,
     (['public', 'internal', 'confidential', 'restricted'])[(doc_id % 4 + 1)::INT] sensitivity, CASE WHEN doc_id % 10 > 1 THEN TIMESTAMP '2024-01-05' END activated_at, NULL::TIMESTAMP superseded_at FROM docs
   UNION ALL SELECT company_id, doc_id, 1, 'deprecated', (['public', 'internal', 'confidential', 'restricted'])[(doc_id % 4 + 1)::INT], TIMESTAMP '2023-06-01', TIMESTAMP '2024-01-05' FROM docs WHERE doc_id % 3 = 0),
@@ -249,23 +249,23 @@ all_grants AS (
   SELECT r.company_id, 'org_unit', r.unit_id, u.unit_id, CASE WHEN (p_partkey // 80) % 2 = 0 THEN 'self_and_descendants' ELSE 'self_only' END, CASE WHEN (p_partkey // 40) % 2 = 0 THEN 'self_and_descendants' ELSE 'self_only' END,
     (['read', 'write', 'admin'])[p_size % 3 + 1], CASE WHEN p_partkey % 9 = 0 THEN TIMESTAMP '2024-01-10' END, p_partkey::BIGINT
   FROM part JOIN ranked_units r ON r.company_id = (p_partkey // 40) % 5 AND r.rn = (p_partkey * 11) % 31 JOIN ranked_units u ON u.company_id = r.company_id AND u.rn = (p_partkey * 7) % 31 WHERE p_partkey % 40 = 1),
-grants AS (SELECT * FROM all_grants QUALIFY row_number() OVER (PARTITION BY company_id, resource_type, resource_id, principal_id ORDER BY grant_id) = 1),
+grants AS MATERIALIZED (SELECT * FROM all_grants QUALIFY row_number() OVER (PARTITION BY company_id, resource_type, resource_id, principal_id ORDER BY grant_id) = 1),
 live_grants AS (SELECT * FROM grants WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-15'),
 all_memberships AS (
   SELECT company_id, user_id, unit_id, applies_to, role, expires_at FROM memberships WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-15'
   UNION SELECT g.company_id, m.user_id, g.unit_id, g.applies_to, g.role, NULL FROM group_memberships g JOIN group_members m ON m.company_id = g.company_id AND m.group_id = g.group_id),
-scope AS (
+scope AS MATERIALIZED (
   SELECT DISTINCT m.company_id, m.user_id, c.descendant unit_id FROM all_memberships m JOIN closure c ON c.company_id = m.company_id AND c.ancestor = m.unit_id AND (m.applies_to = 'self_and_descendants' OR c.depth = 0)),
-resource_scope AS (
+resource_scope AS MATERIALIZED (
   SELECT company_id, doc_id, owner_unit_id unit_id FROM docs
   UNION SELECT d.company_id, d.doc_id, c.descendant FROM docs d JOIN live_grants g ON g.company_id = d.company_id AND g.resource_type = 'document' AND g.resource_id = d.doc_id
     JOIN closure c ON c.company_id = g.company_id AND c.ancestor = g.principal_id AND (g.principal_applies_to = 'self_and_descendants' OR c.depth = 0)
   UNION SELECT d.company_id, d.doc_id, c.descendant FROM docs d JOIN closure o ON o.company_id = d.company_id AND o.descendant = d.owner_unit_id
     JOIN live_grants g ON g.company_id = d.company_id AND g.resource_type = 'org_unit' AND g.resource_id = o.ancestor AND (g.resource_applies_to = 'self_and_descendants' OR o.depth = 0)
     JOIN closure c ON c.company_id = g.company_id AND c.ancestor = g.principal_id AND (g.principal_applies_to = 'self_and_descendants' OR c.depth = 0)),
-visible AS (SELECT DISTINCT s.company_id, s.user_id, r.doc_id FROM scope s JOIN resource_scope r ON r.company_id = s.company_id AND r.unit_id = s.unit_id),
+visible AS MATERIALIZED (SELECT DISTINCT s.company_id, s.user_id, r.doc_id FROM scope s JOIN resource_scope r ON r.company_id = s.company_id AND r.unit_id = s.unit_id),
 vectors AS (SELECT vec_id::BIGINT doc_id, vec_id::BIGINT * 100000 chunk_id, embedding v, label FROM embeddings),
-edges AS (
+edges AS MATERIALIZED (
   SELECT d.company_id, d.doc_id edge_id, d.doc_id source_doc, d.doc_id + 25 target_doc, (d.doc_id % 9)::INT edge_type, (['manual', 'imported', 'rule', 'model'])[(d.doc_id % 4 + 1)::INT] origin,
     (['approved', 'pending', 'rejected', 'auto'])[(d.doc_id % 4 + 1)::INT] review_state, ((d.doc_id % 100) / 100.0)::FLOAT confidence,
     CASE WHEN d.doc_id % 13 = 0 THEN TIMESTAMP '2024-01-10' END expires_at, CASE WHEN d.doc_id % 11 = 0 THEN TIMESTAMP '2024-01-20' END superseded_at

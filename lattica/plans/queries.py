@@ -165,7 +165,7 @@ def g09_equivalence(m: Model) -> DataFrame:
 
 CANDIDATES = """candidates AS (SELECT user_id query_id, user_id, company_id, doc * 100000 + i % 3 chunk_id, i + 1 AS rank FROM (
   SELECT u.user_id, u.company_id, i, CASE WHEN i % 4 = 0 THEN (u.user_id * 7 + i * 13) % n ELSE 25 * ((u.user_id * 7 + i) % greatest(1, n // 25)) + u.nation END doc FROM users u, range(0, 40) r(i), (SELECT count(*) n FROM documents)))"""
-GATED = """gated AS (SELECT c.query_id, c.user_id, c.company_id, c.chunk_id, c.rank, f.doc_id, v.version, f.content, h.heading FROM (SELECT query_id, user_id, company_id, chunk_id, min(rank)::INT AS rank FROM candidates GROUP BY ALL) c
+GATED = """gated AS MATERIALIZED (SELECT c.query_id, c.user_id, c.company_id, c.chunk_id, c.rank, f.doc_id, v.version, f.content, h.heading FROM (SELECT query_id, user_id, company_id, chunk_id, min(rank)::INT AS rank FROM candidates GROUP BY ALL) c
   JOIN paragraphs f USING (company_id, chunk_id) JOIN versions v ON v.doc_id = f.doc_id AND v.lifecycle = 'active' AND v.sensitivity IN ('public', 'internal', 'confidential')
   JOIN visible s ON s.company_id = c.company_id AND s.user_id = c.user_id AND s.doc_id = f.doc_id LEFT JOIN sections h ON h.section_id = f.section_id)"""
 
@@ -224,8 +224,8 @@ def k04_first_of_gate_all(m: Model) -> DataFrame:
     return retrieve.first(gated(m, every_document(m)), 5).rows.select("query_id", "chunk_id", "rank")
 
 
-EDGE_CANDIDATES = """edge_candidates AS (SELECT u.user_id query_id, u.user_id, u.company_id, 25 * ((u.user_id * 3 + i) % n) + u.nation edge_id, min(i + 1)::INT AS rank FROM users u, range(0, 30) r(i), (SELECT greatest(1, count(*) // 25) n FROM vectors) GROUP BY ALL)"""
-EDGE_GATE = """edge_gate AS (SELECT c.query_id, c.edge_id, c.rank, e.source_doc doc_0, e.target_doc doc_1 FROM edge_candidates c JOIN edges e USING (company_id, edge_id)
+EDGE_CANDIDATES = """edge_candidates AS MATERIALIZED (SELECT u.user_id query_id, u.user_id, u.company_id, 25 * ((u.user_id * 3 + i) % n) + u.nation edge_id, min(i + 1)::INT AS rank FROM users u, range(0, 30) r(i), (SELECT greatest(1, count(*) // 25) n FROM vectors) GROUP BY ALL)"""
+EDGE_GATE = """edge_gate AS MATERIALIZED (SELECT c.query_id, c.edge_id, c.rank, e.source_doc doc_0, e.target_doc doc_1 FROM edge_candidates c JOIN edges e USING (company_id, edge_id)
   JOIN ok a ON a.user_id = c.user_id AND a.doc_id = e.source_doc JOIN ok b ON b.user_id = c.user_id AND b.doc_id = e.target_doc
   WHERE e.review_state IN ('approved', 'auto') AND (e.expires_at IS NULL OR e.expires_at > TIMESTAMP '2024-01-15') AND (e.superseded_at IS NULL OR e.superseded_at > TIMESTAMP '2024-01-15'))"""
 OK = "ok AS MATERIALIZED (SELECT DISTINCT s.user_id, v.doc_id FROM visible s JOIN versions v ON v.doc_id = s.doc_id AND v.lifecycle = 'active' AND v.sensitivity IN ('public', 'internal', 'confidential'))"
@@ -575,17 +575,37 @@ def x01_relationship_scores(m: Model) -> DataFrame:
     return e.select("edge_id", F.round(graph.relationship_score(F.lit(1.0), F.col("confidence").cast("double"), F.col("origin"), F.least("a", "b"), F.lit(1)), 6).alias("score"))
 
 
-BOTH = """link AS (SELECT edge_id, source_doc x, target_doc y, confidence FROM edges WHERE confidence > 0 UNION ALL SELECT edge_id, target_doc, source_doc, confidence FROM edges WHERE confidence > 0),
-one AS (SELECT l.x AS start, l.y, l.edge_id e1, ln(l.confidence::DOUBLE) s FROM link l),
-two AS (SELECT o.start, o.y mid, l.y, o.e1, l.edge_id e2, o.s + ln(l.confidence::DOUBLE) s FROM one o JOIN link l ON l.x = o.y WHERE l.y <> o.start AND l.edge_id <> o.e1)"""
+BOTH = """link AS MATERIALIZED (SELECT edge_id, source_doc x, target_doc y, confidence FROM edges WHERE confidence > 0 UNION ALL SELECT edge_id, target_doc, source_doc, confidence FROM edges WHERE confidence > 0),
+one AS MATERIALIZED (SELECT l.x AS start, 1 hops, [l.x, l.y] nodes, [l.edge_id] edge_ids, ln(l.confidence::DOUBLE) s, least(100, a.authority, b.authority) / 100 f FROM link l JOIN docs a ON a.doc_id = l.x JOIN docs b ON b.doc_id = l.y),
+two AS MATERIALIZED (SELECT p.start, 2 hops, list_append(p.nodes, l.y) nodes, list_append(p.edge_ids, l.edge_id) edge_ids, p.s + ln(l.confidence::DOUBLE) s, least(p.f, least(100, d.authority) / 100) f FROM one p JOIN link l ON l.x = p.nodes[2] JOIN docs d ON d.doc_id = l.y WHERE NOT list_contains(p.nodes, l.y) AND NOT list_contains(p.edge_ids, l.edge_id)),
+three AS MATERIALIZED (SELECT p.start, 3 hops, list_append(p.nodes, l.y) nodes, list_append(p.edge_ids, l.edge_id) edge_ids, p.s + ln(l.confidence::DOUBLE) s, least(p.f, least(100, d.authority) / 100) f FROM two p JOIN link l ON l.x = p.nodes[3] JOIN docs d ON d.doc_id = l.y WHERE NOT list_contains(p.nodes, l.y) AND NOT list_contains(p.edge_ids, l.edge_id)),
+every AS (SELECT start, hops, nodes, exp(s / hops) * 0.8::DOUBLE ** (hops - 1) * f score FROM (FROM one UNION ALL FROM two UNION ALL FROM three))"""
+PATH_ROWS = "start, hops, array_to_string(nodes, '/') nodes, round(score, 6) score"
 
 
-@query(sql("SELECT start, 1 hops, start || '/' || y nodes, round(exp(s), 6) score FROM one UNION ALL SELECT start, 2, start || '/' || mid || '/' || y, round(exp(s / 2) * 0.8::DOUBLE, 6) FROM two", BOTH))
-def x02_paths(m: Model) -> DataFrame:
+def all_paths(m: Model, hops: int, policy: bool = False, **bounds) -> DataFrame:
     """From all documents that have a vector."""
     e = m.edges.select("edge_id", F.col("source_doc").alias("source"), F.col("target_doc").alias("target"), "confidence")
-    starts = m.vectors.select(F.col("doc_id").alias("start"))
-    return graph.paths(e, starts, 2).select("start", "hops", F.array_join(F.transform("nodes", lambda n: n.cast("string")), "/").alias("nodes"), F.round("score", 6).alias("score"))
+    authority = m.documents.select(F.col("doc_id").alias("node"), (F.least(F.lit(100), F.col("authority")) / 100).alias("factor"))
+    found = graph.paths(e, m.vectors.select(F.col("doc_id").alias("start")), authority, hops, policy, **bounds)
+    return found.select("start", "hops", F.array_join(F.transform("nodes", lambda n: n.cast("string")), "/").alias("nodes"), F.round("score", 6).alias("score"))
+
+
+@query(sql(f"SELECT {PATH_ROWS} FROM every WHERE hops < 3", BOTH))
+def x02_paths(m: Model) -> DataFrame:
+    return all_paths(m, 2)
+
+
+@query(sql(f"SELECT {PATH_ROWS} FROM every", BOTH))
+def x02_paths_by_policy(m: Model) -> DataFrame:
+    """Three hops, which a policy must allow."""
+    return all_paths(m, 3, policy=True)
+
+
+@query(sql(f"SELECT {PATH_ROWS} FROM (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY start ORDER BY score DESC, hops, nodes) <= 3)", BOTH))
+def x03_best_paths(m: Model) -> DataFrame:
+    """The three best paths of each document, up to three hops."""
+    return all_paths(m, 3, policy=True, best=3)
 
 
 @query(sql("SELECT d.doc_id, count(DISTINCT o)::BIGINT n_dependents, count(e)::BIGINT n_edges FROM docs d LEFT JOIN (SELECT source_doc doc_id, target_doc o, edge_id e FROM edges UNION ALL SELECT target_doc, source_doc, edge_id FROM edges) x USING (doc_id) GROUP BY 1"))
@@ -949,9 +969,4 @@ def x05_stale_citations(m: Model) -> DataFrame:
     return graph.citing(cited, m.versions, ["deprecated", "archived"]).select("page_id", "doc_id", "version")
 
 
-# These took part of their tables under their own names and all under the second;
-# both now take all.
-for name in ("v16_visible_units", "x02_paths", "x05_impact", "f01_hash_and_escape", "f13_page_text"):
-    QUERIES[f"{name}_all"], ORACLES[f"{name}_all"] = QUERIES[name], ORACLES[name]
-
-from . import records  # noqa: E402, F401  its queries join these
+from . import records, wiki  # noqa: E402, F401  their queries join these

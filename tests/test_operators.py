@@ -123,7 +123,7 @@ def test_violations_are_found(spark):
 
 def test_paths_and_their_vector(spark):
     e = spark.createDataFrame([(1, 1, 2, 0.5), (2, 2, 3, 0.5), (3, 3, 1, 0.0), (4, 3, 4, 1.0)], "edge_id long, source long, target long, confidence double")
-    got = {tuple(r.nodes): round(r.score, 6) for r in graph.paths(e, spark.createDataFrame([(1,)], "start long"), 3).collect()}
+    got = {tuple(r.nodes): round(r.score, 6) for r in graph.paths(e, spark.createDataFrame([(1,)], "start long"), spark.createDataFrame([(k, 1.0) for k in range(1, 9)], "node long, factor double"), 3, policy=True).collect()}
     assert got == {(1, 2): 0.5, (1, 2, 3): 0.4, (1, 2, 3, 4): round(0.25 ** (1 / 3) * 0.64, 6)}
     v = spark.createDataFrame([([[3.0, 0.0], [0.0, 5.0]], [1.0, 1.0])], "v array<array<double>>, c array<double>")
     assert v.select(graph.path_vector(F.col("v"), F.col("c"), 2)).first()[0] == pytest.approx([3 / 5, 4 / 5])
