@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lattica.sources.pointset import PointSet
+
 VERSION = ["company_id", "doc_id", "version"]
 
 
@@ -65,6 +67,34 @@ def drop_points(points: DataFrame, events: DataFrame) -> DataFrame:
     return points.join(events.select(F.explode("point_ids").alias("point_id")), "point_id", "left_anti")
 
 
+def newest(points: DataFrame, changes: DataFrame) -> DataFrame:
+    """Points (doc_id, acl_version, label, gone, ...) after changes (doc_id, acl_version, gone, label).
+
+    A document's change of the highest version counts, and only if it is
+    higher than the points' own; so changes may come in any order, and again.
+    A deleted document's points stay as tombstones (``gone``), which keep
+    their version, so that an older change can't bring them back.
+    """
+    last = changes.groupBy("doc_id").agg(F.max_by(F.struct("acl_version", "gone", "label"), "acl_version").alias("_c"))
+    both = points.join(last, "doc_id", "left")
+    here = F.coalesce(F.col("_c.acl_version") > F.col("acl_version"), F.lit(False))
+    return both.withColumns({c: F.when(here, F.col(f"_c.{c}")).otherwise(F.col(c)) for c in ("gone", "label", "acl_version")}).select(*points.columns)
+
+
+def follow(changes: DataFrame, points: PointSet, checkpoint: str) -> None:
+    """Apply a stream of changes (as in ``newest``) to a stored point set until all that is available is in.
+
+    The set's one writer is ``foreachBatch``; a batch that is replayed after a
+    failure finds its number in the set and changes nothing.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        touched = batch.select(points.key).distinct()
+        points.apply(number, touched, lambda p: newest(p, batch))
+
+    changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def commit(tables: dict[str, DataFrame], path: str) -> str:
     """Write one ingest (sections, chunks, audit and so on) as a whole; returns its name.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +11,7 @@ from lattica.functions import chunking, embedding, text
 from lattica.operators import access, edges, gates, graph, hierarchy, outbox, retrieve, temporal, vectors
 from lattica.operators.access import clearance
 from lattica.sources import files
-from lattica.streaming import state
-from lattica.tables import shared_dir, stored
+from lattica.tables import stored
 
 from .model import AS_OF, PER_DOC, Model, sql
 
@@ -825,44 +823,6 @@ def s10_ingest_claims(m: Model) -> DataFrame:
     return outbox.claim_ingest(v, asks, AS_OF).select("doc_id", "token", "outcome")
 
 
-# Streams, run to their end over the events file.
-
-
-#: Bytes of new files that a micro-batch takes, one file at least.
-BATCH_BYTES = 128 << 20
-
-
-def streamed(m: Model, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    schema = m.table("events").schema
-    source = m.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", BATCH_BYTES).parquet(m.dir)
-    root = f"{shared_dir(m.spark)}/stream-{uuid.uuid4().hex}"
-    out = transform(source)
-    state.run_to_end(out, f"{root}/out", f"{root}/log")
-    return m.spark.read.schema(out.schema).parquet(f"{root}/out")
-
-
-def by_tenant(e: DataFrame) -> DataFrame:
-    return e.select((F.col("user_id") % 5).cast("long").alias("tenant"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type", "user_id")
-
-
-@query()
-def s16_leases(m: Model) -> DataFrame:
-    """Ten leases of 20 minutes a tenant."""
-    return streamed(m, lambda e: state.leases(by_tenant(e).select("tenant", "event_id", (F.col("us") / 1e6).alias("ts_s"), F.lit(1200.0).alias("hold_s")), 10))
-
-
-@query()
-def s17_token_bucket(m: Model) -> DataFrame:
-    """A token every ten minutes a tenant, five at most."""
-    return streamed(m, lambda e: state.token_bucket(by_tenant(e).select("tenant", "event_id", (F.col("us") / 1e6).alias("ts_s"), F.lit(1.0).alias("cost")), 1 / 600, 5.0))
-
-
-@query("SELECT key, event_id, version FROM (SELECT user_id::BIGINT AS key, event_id::BIGINT event_id, (event_id % 7)::BIGINT AS version, max(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id) high FROM events) WHERE version >= high")
-def s07_stream_fresh(m: Model) -> DataFrame:
-    """Events whose version isn't below the highest of their user so far."""
-    return streamed(m, lambda e: state.fresh(e.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), (F.col("event_id") % 7).cast("long").alias("version"))))
-
-
 # Changes to edges, and identities.
 
 
@@ -969,4 +929,4 @@ def x05_stale_citations(m: Model) -> DataFrame:
     return graph.citing(cited, m.versions, ["deprecated", "archived"]).select("page_id", "doc_id", "version")
 
 
-from . import records, wiki  # noqa: E402, F401  their queries join these
+from . import records, streams, wiki  # noqa: E402, F401  their queries join these

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lattica.operators import access, checks, graph, outbox, retrieve, temporal, vectors
 from lattica.sources import logs
-from lattica.streaming import state
 
 T = "2024-01-15 00:00:00"
 
@@ -138,23 +137,3 @@ def test_logs_only_grow(spark, tmp_path):
         logs.append(rows, str(tmp_path / "log"), mode="overwrite")
     (tmp_path / "m.json").write_text('[{"url": "b", "file_type": "pdf", "company_tag": "x", "license": "l"}, {"url": "a", "file_type": "pdf", "company_tag": "x", "license": "l"}]')
     assert [r.url for r in logs.manifest(spark, str(tmp_path / "m.json"), file_type="pdf", limit=1).collect()] == ["a"]
-
-
-def test_streams_keep_their_state_across_batches(spark, tmp_path):
-    source = tmp_path / "in"
-    schema = "tenant long, event_id long, ts_s double, cost double, hold_s double"
-    rows = [(1, k, float(k), 1.0, 2.0) for k in range(12)] + [(2, 100, 0.0, 9.0, -1.0)]
-    for part in (rows[:6], rows[6:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    state.run_to_end(state.token_bucket(stream().drop("hold_s"), 0.5, 2.0), str(tmp_path / "b"), str(tmp_path / "bc"))
-    got = {r.event_id: r.admitted for r in spark.read.parquet(str(tmp_path / "b")).collect()}
-    tokens, last, want = 2.0, None, {}
-    for _, k, ts, cost, _ in rows[:12]:
-        tokens, ok = state.take(tokens, last, ts, cost, 0.5, 2.0)
-        last, want[k] = ts, ok
-    # Files may come in either order; time that goes back refills nothing.
-    assert len(got) == 13 and got[100] is False and sum(got.values()) <= sum(want.values())
-    state.run_to_end(state.leases(stream().drop("cost"), 2, grace_s=1.0), str(tmp_path / "l"), str(tmp_path / "lc"))
-    admitted = spark.read.parquet(str(tmp_path / "l"))
-    assert admitted.where("open > 2").count() == 0 and not admitted.where("event_id = 100").first().admitted and admitted.where("admitted").count() >= 4
