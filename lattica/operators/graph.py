@@ -156,3 +156,20 @@ def precision_at(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, precision) over the first k of (query_id, id, rank)."""
     hits = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return hits.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / k).alias("precision"))
+
+
+def authorised(evidence: DataFrame, visible: DataFrame) -> DataFrame:
+    """(query_id, n, precision): the share of each query's evidence (query_id, user_id, key, doc_id) whose documents the user all sees.
+
+    Evidence of several documents has a row for each. ``visible`` (user_id,
+    doc_id) should be decided apart from the gate that let the evidence pass.
+    """
+    both = evidence.join(visible.select("user_id", "doc_id", F.lit(1).alias("_seen")), ["user_id", "doc_id"], "left")
+    each = both.groupBy("query_id", "key").agg(F.min(F.coalesce("_seen", F.lit(0))).alias("_ok"))
+    return each.groupBy("query_id").agg(F.count("*").alias("n"), (F.sum("_ok") / F.count("*")).alias("precision"))
+
+
+def bridges(evidence: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(query_id, found): whether the first ``k`` of (query_id, rank, id) hold one of the relationships wanted (query_id, id)."""
+    hits = evidence.where(F.col("rank") <= k).join(wanted.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").select("query_id").distinct()
+    return wanted.select("query_id").distinct().join(hits.withColumn("_hit", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("_hit", F.lit(False)).alias("found"))

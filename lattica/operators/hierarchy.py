@@ -6,7 +6,7 @@ each unit and each of its ancestors, itself included.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.tables import stored
@@ -82,6 +82,48 @@ def forest(units: DataFrame, scope: DataFrame, user: int) -> DataFrame:
     return out.select("company_id", "unit_id", "parent_id", "name", F.col("parent_seen").isNull().alias("is_root"))
 
 
+#: How many units a tenant's tree may have, and how deep a forest may be.
+MOST_UNITS, MOST_DEPTH = 10_000, 64
+
+
+def charts(units: DataFrame, seen: DataFrame) -> DataFrame:
+    """(company_id, user_id, pos, unit_id, depth, error): each reader's forest, in order from the root down.
+
+    ``seen`` (company_id, user_id, unit_id). A unit is a root where its parent
+    isn't seen; siblings come by name and id, and each unit right behind its
+    parent and that one's earlier children. A tenant of more than
+    ``MOST_UNITS`` units, or a forest deeper than ``MOST_DEPTH``, is refused as
+    a whole: one row with the ``error``.
+
+    Each unit points to its parent; in each round a pointer skips to where its
+    target points and the unit's sort key grows by the target's, so a forest of
+    depth d takes log2(d) rounds. The order is that of the keys.
+    """
+    reader = ["company_id", "user_id"]
+    size = units.groupBy("company_id").agg(F.count("*").alias("_n"))
+    mine = seen.select(*reader, "unit_id").distinct().join(size, "company_id")
+    large = mine.where(F.col("_n") > MOST_UNITS).select(*reader).distinct().withColumn("error", F.lit("too large"))
+    named = mine.where(F.col("_n") <= MOST_UNITS).drop("_n").join(units.select("company_id", "unit_id", "parent_id", "name"), ["company_id", "unit_id"])
+    parents = named.select(*reader, F.col("unit_id").alias("parent_id"), F.lit(True).alias("_seen"))
+    at = named.join(parents, [*reader, "parent_id"], "left")
+    at = at.select(*reader, "unit_id", F.when(F.col("_seen"), F.col("parent_id")).alias("to"), F.array(F.struct("name", "unit_id")).alias("path"))
+    at = stored(at, "charts")
+    for _ in range(MOST_DEPTH.bit_length()):
+        if at.where("to is not null").isEmpty():
+            break
+        skip = at.select(*reader, F.col("unit_id").alias("to"), F.col("to").alias("_to"), F.col("path").alias("_path"))
+        longer = at.where("to is not null").join(skip, [*reader, "to"]).select(*reader, "unit_id", F.col("_to").alias("to"), F.concat("_path", "path").alias("path"))
+        at = stored(at.where("to is null").union(longer), "charts")
+    # Keys that reach no root yet are longer than any that is allowed.
+    deep = at.where(F.col("to").isNotNull() | (F.size("path") > MOST_DEPTH + 1)).select(*reader).distinct().withColumn("error", F.lit("too deep"))
+    good = at.join(deep, reader, "left_anti")
+    pos = F.row_number().over(Window.partitionBy(*reader).orderBy("path")) - 1
+    none = F.lit(None)
+    rows = good.select(*reader, pos.alias("pos"), "unit_id", (F.size("path") - 1).alias("depth"), none.cast("string").alias("error"))
+    refused = large.union(deep).select(*reader, F.lit(0).alias("pos"), none.cast("long").alias("unit_id"), none.cast("int").alias("depth"), "error")
+    return rows.union(refused)
+
+
 def reply_paths(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, depth, path) of conversation trees (conv_id, turn, parent_turn).
 

@@ -41,6 +41,32 @@ def interleave(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
     return both.withColumn("pos", pos).where(F.col("pos") <= limit).select("query_id", "pos", "kind", "id")
 
 
+#: What a request may ask for.
+INTENTS = ("fact", "bridge", "automatic")
+
+
+def by_intent(requests: DataFrame, chunks: DataFrame, relationships: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, evidence) of requests (query_id, intent, has_edges, states).
+
+    ``fact`` takes chunks (query_id, rank, id), ``bridge`` relationships
+    (query_id, rank, id, review_state) in one of the request's ``states``, and
+    ``automatic`` both in turns. Where there is no edge store (``has_edges``),
+    bridge is ``unavailable`` and automatic gets chunks alone. A request that
+    would read relationships and allows no state is ``invalid_input``, as is an
+    unknown intent; neither has evidence. A limit below one is an error.
+    """
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    intent, edges = F.col("intent"), F.coalesce("has_edges", F.lit(False))
+    reads_edges = (intent == "bridge") | ((intent == "automatic") & edges)
+    outcome = F.when(~F.coalesce(intent.isin(*INTENTS), F.lit(False)), "invalid_input").when((intent == "bridge") & ~edges, "unavailable").when(reads_edges & (F.coalesce(F.size("states"), F.lit(0)) <= 0), "invalid_input").otherwise("ok")
+    outcomes = requests.withColumn("outcome", outcome)
+    asked = outcomes.where("outcome = 'ok'")
+    facts = chunks.join(asked.where("intent <> 'bridge'").select("query_id"), "query_id", "left_semi")
+    some = relationships.join(asked.where(reads_edges).select("query_id", "states"), "query_id").where(F.array_contains("states", F.col("review_state")))
+    return outcomes, interleave(facts.select("query_id", "rank", "id"), some.select("query_id", "rank", "id"), limit)
+
+
 def page(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
     if not 1 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError("limit must be from 1 to 200, offset not negative")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,3 +86,75 @@ def overflow(rows: DataFrame, partitions: DataFrame, ts: str = "ts") -> DataFram
     """Rows that no partition (starts, ends) holds."""
     p = partitions.select("starts", "ends").distinct()
     return rows.join(p, (rows[ts] >= p.starts) & (rows[ts] < p.ends), "left_anti")
+
+
+def append(kept: DataFrame, feed: DataFrame, key: list[str], order: list[str] = ["seq"]) -> tuple[DataFrame, DataFrame]:
+    """(rows that go, rows that come) when more of a change feed meets a stored history of the part before.
+
+    ``kept`` has the columns of ``history``. Only keys of the feed are looked
+    at, and of those only the rows that the first new change may still touch:
+    the ones that were open at its time or begin later. In a feed that comes
+    in order of time those are the open rows, one for each key; a late change
+    reopens closed rows. Whatever the split, the result is the history of the
+    whole feed, if ``order`` tells apart a key's changes of equal time.
+    """
+    first = feed.groupBy(*key).agg(F.min("ts").alias("_first"))
+    touched = kept.join(first, key).where(F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("_first")) | (F.col("valid_from") >= F.col("_first"))).drop("_first")
+    again = touched.withColumn("ts", F.col("valid_from")).drop("valid_from", "valid_to")
+    return touched, history(again.unionByName(feed), key, ["ts", *order])
+
+
+class History:
+    """A stored history, open and closed rows apart, so that changes in order of time read and write few rows.
+
+    Closed rows are only added to, in folders of their own for each append,
+    unless late changes reopen some. One writer appends.
+    """
+
+    def __init__(self, spark, path: str, key: list[str], order: list[str] = ["seq"]):
+        self.spark, self.path, self.key, self.order = spark, path, key, order
+        self.open: DataFrame | None = None
+        self.closed: list[DataFrame] = []
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.open, *self.closed])
+
+    def append(self, feed: DataFrame) -> None:
+        is_open = F.col("valid_to").isNull()
+        if self.open is None:
+            new = self._kept(history(feed, self.key, ["ts", *self.order]), "new")
+            self.open, self.closed = self._kept(new.where(is_open), "open"), [self._kept(new.where(~is_open), "closed")]
+            return
+        feed = self._kept(feed, "feed")
+        first = feed.groupBy(*self.key).agg(F.min("ts").alias("_first"))
+        late = lambda df: df.join(first, self.key).where((F.col("valid_to") >= F.col("_first")) | (F.col("valid_from") >= F.col("_first"))).drop("_first")
+        reopened = self._kept(reduce(DataFrame.unionByName, [late(c) for c in self.closed]), "reopened")
+        gone, come = append(self.open.unionByName(reopened), feed, self.key, self.order)
+        come = self._kept(come, "come")
+        same = [*self.key, *self.order, "valid_from"]
+        if not reopened.isEmpty():
+            self.closed = [self._kept(c.join(reopened.select(*same), same, "left_anti"), "closed") for c in self.closed]
+        self.open = self._kept(self.open.join(gone.select(*same), same, "left_anti").unionByName(come.where(is_open)), "open")
+        self.closed.append(self._kept(come.where(~is_open), "closed"))
+
+
+def partition_problems(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """(kind, starts, problem) for partitions (kind, starts, ends) of a table: missing, wrong bounds, gap before, overlap.
+
+    ``expected`` says which must exist. Beyond that the ranges of each kind are
+    swept in order of their starts: one that begins before the latest end so
+    far overlaps an earlier one, not only its neighbour; one that begins after
+    it leaves a gap. Ranges that end before they begin are empty.
+    """
+    e = expected.select("kind", "starts", F.col("ends").alias("_ends"))
+    both = e.join(actual.groupBy("kind", "starts").agg(F.collect_set("ends").alias("_found")), ["kind", "starts"], "left")
+    bounds = both.select("kind", "starts", F.when(F.col("_found").isNull(), "missing").when((F.size("_found") > 1) | (F.col("_found")[0] != F.col("_ends")), "wrong bounds").alias("problem")).where("problem is not null")
+    before = Window.partitionBy("kind").orderBy("starts", "ends").rowsBetween(Window.unboundedPreceding, -1)
+    swept = actual.where("starts < ends").withColumn("_end", F.max("ends").over(before))
+    swept = swept.select("kind", "starts", F.when(F.col("starts") < F.col("_end"), "overlap").when(F.col("starts") > F.col("_end"), "gap before").alias("problem")).where("problem is not null")
+    return bounds.union(swept).union(actual.where("starts >= ends").select("kind", "starts", F.lit("empty").alias("problem")))

@@ -55,10 +55,20 @@ def fetch(points: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
     return points.join(ids, key, "left_semi")
 
 
-def prefilter(points: DataFrame, scope: Column, labels: list[str], company: Column | None = None) -> DataFrame:
-    """Active points that may be read: scope arrays meet, label allowed, tenant the same."""
-    found = points.where((F.col("lifecycle") == "active") & F.col("sensitivity").isin(labels) & F.arrays_overlap("scope_ids", scope))
-    return found if company is None else found.where(F.col("company_id") == company)
+def postings(points: DataFrame) -> DataFrame:
+    """(company_id, unit_id, ..., key): an inverted index of active points by the units that may read them (``scope_ids``).
+
+    Kept beside the points, so that a scope selects the lists of its units and
+    no array of any other point is looked at.
+    """
+    live = points.where("lifecycle = 'active'")
+    return live.select("company_id", F.explode(F.array_distinct("scope_ids")).alias("unit_id"), "sensitivity", "doc_id", "chunk_id")
+
+
+def prefilter(index: DataFrame, scope: DataFrame, labels: list[str]) -> DataFrame:
+    """(company_id, user_id, doc_id, chunk_id): what each reader of ``scope`` (company_id, user_id, unit_id) may find, once each."""
+    lists = index.where(F.col("sensitivity").isin(labels))
+    return lists.join(scope, ["company_id", "unit_id"]).select("company_id", "user_id", "doc_id", "chunk_id").distinct()
 
 
 def over_fetch(limit: int, factor: int = 4, most: int = 10_000) -> int:
@@ -123,6 +133,28 @@ def edge_vectors(edges: DataFrame, weight: float = 0.65) -> DataFrame:
     return out.withColumn("vector", F.when(F.col("outcome") == "completed", unit(F.col("mixed")))).drop("mixed")
 
 
+def index_edges(events: DataFrame, live: DataFrame, models: DataFrame, indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, points) of events (event_id, edge_id, model_id) that ask for the points of edges to be made.
+
+    ``live`` has the edges with ``edge_version`` and what ``edge_vectors``
+    needs, ``models`` (model_id, enabled), ``indexed`` the points so far
+    (edge_id, model_id, indexed_version, vector). An edge that is gone is
+    NoEdge; one whose version is indexed already, Superseded, and nothing is
+    computed for it; a model without a collection, ModelDisabled; one that
+    lacks a vector waits (retry). The rest is Completed, once for each edge and
+    model however many events ask, and its point takes the place of an older one.
+    """
+    e = events.join(live.select("edge_id", "edge_version"), "edge_id", "left")
+    e = e.join(indexed.select("edge_id", "model_id", "indexed_version"), ["edge_id", "model_id"], "left").join(models.select("model_id", "enabled"), "model_id", "left")
+    before = F.when(F.col("edge_version").isNull(), "NoEdge").when(F.col("indexed_version") >= F.col("edge_version"), "Superseded").when(~F.coalesce("enabled", F.lit(False)), "ModelDisabled")
+    e = e.withColumn("_before", before)
+    todo = e.where("_before is null").select("edge_id", "model_id").distinct()
+    made = edge_vectors(todo.join(live, "edge_id")).select("edge_id", "model_id", F.col("edge_version").alias("indexed_version"), "vector", F.when(F.col("outcome") == "completed", "Completed").otherwise(F.concat(F.lit("retry: "), "outcome")).alias("_made"))
+    outcomes = e.join(made.select("edge_id", "model_id", "_made"), ["edge_id", "model_id"], "left").select(*events.columns, F.coalesce("_before", "_made").alias("outcome"))
+    new = made.where("_made = 'Completed'").drop("_made")
+    return outcomes, upsert(indexed.select(*new.columns), new, ["edge_id", "model_id"])
+
+
 def search_edges(points: DataFrame, queries: DataFrame, states: list[str], least: float, k: int) -> DataFrame:
     """As ``search`` over edge vectors, by review state and least confidence (six places)."""
     found = points.where(F.col("review_state").isin(states))

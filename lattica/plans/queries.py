@@ -437,14 +437,18 @@ FOUND = f"""found AS (SELECT q.query_id, q.user_id, q.company_id, p.chunk_id, p.
 HITS = "hits AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT pos FROM found f SEMI JOIN visible s ON s.user_id = f.user_id AND s.doc_id = f.doc_id QUALIFY pos <= 10)"
 
 
-def retrieved(m: Model, limit: int = 10) -> DataFrame:
+def reach_of(m: Model, mine: DataFrame) -> DataFrame:
+    """(company_id, user_id, doc_id) that readers of the scope ``mine`` see."""
+    return access.visible_docs(mine, m.documents, m.grants, m.closure, AS_OF)
+
+
+def retrieved(m: Model, limit: int = 10, reach: Callable[[Model, DataFrame], DataFrame] = reach_of) -> DataFrame:
     """Search over-fetches what is active, cleared and in the user's reach, the gate decides, the first ``limit`` stay."""
     asking = m.users.where("user_id % 50 = 0").select("company_id", "user_id", F.col("user_id").alias("query_id"))
     q = asking.join(m.vectors.select(F.col("doc_id").alias("place"), F.col("v").alias("q")), F.col("user_id") % 100 == F.col("place")).drop("place")
     mine = scope(m).join(asking.select("company_id", "user_id"), ["company_id", "user_id"], "left_semi")
-    reach = access.visible_docs(mine, m.documents, m.grants, m.closure, AS_OF)
     now = m.versions.where("version = 2 and lifecycle = 'active'").where(F.col("sensitivity").isin(CLEARED)).select("doc_id")
-    points = m.vectors.select("doc_id", "chunk_id", "v").join(now, "doc_id", "left_semi").join(reach, "doc_id")
+    points = m.vectors.select("doc_id", "chunk_id", "v").join(now, "doc_id", "left_semi").join(reach(m, mine), "doc_id")
     scored = vectors.meet(points, q, ["company_id", "user_id"]).select("query_id", "user_id", "company_id", "chunk_id", F.round(vectors.dot("v", "q"), 6).alias("score"))
     found = stored(vectors.best(scored, vectors.over_fetch(limit)), "found")
     rows = retrieve.first(gated(m, found), limit).rows.join(found.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"])
@@ -929,4 +933,4 @@ def x05_stale_citations(m: Model) -> DataFrame:
     return graph.citing(cited, m.versions, ["deprecated", "archived"]).select("page_id", "doc_id", "version")
 
 
-from . import records, streams, wiki  # noqa: E402, F401  their queries join these
+from . import records, streams, structure, wiki  # noqa: E402, F401  their queries join these

@@ -53,6 +53,37 @@ def test_section_tree(spark):
     ]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(1, "# A\nx\n# B\ny"), (1, "# C\nz"), (None, "# D\nq\n## E"), (None, "# F"), (1, "plain"), (1, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = chunking.sections(df).collect()
+    of = {}
+    for r in sorted(got, key=lambda r: r.ordinal):
+        of.setdefault(r.row, []).append((r.doc_id, r.heading, r.heading_path, r.parent, r.body))
+    want = [[(1, "A", "A", None, "x"), (1, "B", "B", None, "y")], [(1, "C", "C", None, "z")], [(None, "D", "D", None, "q"), (None, "E", "D > E", 0, "")], [(None, "F", "F", None, "")], [(1, "", "", None, "plain")], [(1, "", "", None, "")]] * 2
+    assert sorted(of.values(), key=str) == sorted(want, key=str)
+    indexes = sorted((r.content, r.chunk_index) for r in chunking.chunks(chunking.sections(df)).collect())
+    assert indexes == sorted([(c, k) for c, k in (("x", 0), ("y", 1), ("z", 0), ("q", 0), ("plain", 0))] * 2)
+
+
+def test_headings_of_random_levels(spark):
+    """Parents and paths equal a stack of open headings."""
+    r = random.Random(9)
+    docs = [(k, "\n".join("#" * r.randint(1, 6) + f" h{n}" if r.random() < 0.7 else r.choice(["", "text"]) for n in range(r.randint(1, 60)))) for k in range(25)]
+    got = {(x.doc_id, x.heading): (x.parent, x.heading_path) for x in chunking.sections(spark.createDataFrame(docs, "doc_id long, text string")).collect() if x.heading}
+    for k, t in docs:
+        stack, ordinal = [(0, 0, "")] if "#" in t and t.split("\n# ")[0] and not t.lstrip("\n").startswith("#") else [], 0
+        ordinal = len(stack)
+        for line in t.split("\n"):
+            if line.startswith("#"):
+                depth, name = len(line.split()[0]), line.split()[1]
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                stack.append((depth, ordinal, name))
+                assert got[k, name] == (stack[-2][1] if len(stack) > 1 else None, " > ".join(s[2] for s in stack if s[2]))
+                ordinal += 1
+
+
 def test_uuid_and_text_functions(spark):
     names = ["", "a", "7:model", "é"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
