@@ -5,8 +5,7 @@ backs off: the longest character n-grams of it that the model knows stand in,
 going to shorter ones only while none is known.
 
 Learning: words are counted in Spark over a sample of the labelled rows whose
-expected size is ``SAMPLE`` rows (a hash of the id chooses; all rows if there
-are fewer). Words that the sample holds ``OFTEN`` times or more are known, and
+expected size is ``SAMPLE`` rows (all rows if there are fewer). Words that the sample holds ``OFTEN`` times or more are known, and
 all n-grams of all its words; the sample is what bounds the model that is sent
 to the executors. Prediction is one Arrow pass without a shuffle.
 """
@@ -20,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import small, stored
 
-SAMPLE, OFTEN, LONGEST = 20_000, 2, 5
+SAMPLE, OFTEN, LONGEST, SEED = 20_000, 2, 5, 17
 #: N-grams from this length on count as known, as whole words do.
 LONG, WHOLE = 3, 100
 #: Words that a worker remembers before it begins anew.
@@ -106,10 +105,15 @@ class Scorer:
         return self.model.languages[best], float(p[best] / p.sum()), len(words), int((self.reach[at] >= LONG).sum())
 
 
-def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
-    """About ``most`` rows, chosen by a hash of ``key``; all if there are no more."""
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows, each as likely as any other, or all if there are no more.
+
+    Ids and texts don't matter, so null or repeated ones are neither all chosen
+    nor all left out. Another dealing of the rows to partitions gives another
+    sample.
+    """
     n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    return rows if n <= most else rows.sample(most / n, seed=SEED)
 
 
 def _counts(top: pa.Table, key: str, languages: list[str] | None) -> tuple[list[str], np.ndarray, list[str]]:
@@ -136,7 +140,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE, often: int = OFTEN) -> Model:
     Without any such row the model knows no language and predicts ``und``.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = sampled(rows, F.col("doc_id"), most).select("text", "lang")
+    rows = sampled(rows.select("text", "lang"), most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 1000):

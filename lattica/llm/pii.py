@@ -197,7 +197,7 @@ PATTERNS = {
     "date": r"(?:\d{4}(?:-\d{2}-|/\d{2}/|\.\d{2}\.)\d{2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![A-Za-z0-9]|[-/.]\d)",
     "ssn": r"\d{3}[- ]\d{2}[- ]\d{4}(?![A-Za-z0-9]|-\d)",
     "card": r"\d(?:[ -]?\d){12,18}(?![A-Za-z0-9])",
-    "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z0-9]|-\d)",
+    "phone": r"(?:\+\d(?:[ .()-]{0,2}\d){9,14}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![A-Za-z0-9]|-\d)",
 }
 #: Where something may begin, and the kind and end to be tried first.
 FIND = re.compile(f"(?P<email>{PATTERNS['email']})|(?<![A-Za-z0-9])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "email") + ")", re.ASCII)

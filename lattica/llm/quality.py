@@ -116,8 +116,12 @@ def _stats_of(texts: list[str | None]) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """The texts of about ``most`` labels, chosen before the join so that few texts move."""
-    labels = sampled(labels.where(F.col("quality").isNotNull()), F.col("doc_id"), most)
+    """The texts of about ``most`` labels, chosen before the join so that few texts move.
+
+    Labels and documents meet by doc_id, every row with every row of the same
+    id; a null id meets nothing. ``fit`` bounds what repeated ids make of them.
+    """
+    labels = sampled(labels.where(F.col("quality").isNotNull()), most)
     return docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
 
 
@@ -127,7 +131,7 @@ def fit(labelled: DataFrame, most: int = SAMPLE) -> Trees:
     Rows without a label don't count. Without rows of both labels every text
     gets the share of label 1.
     """
-    rows = sampled(labelled.where(F.col("quality").isNotNull()), F.col("doc_id"), most).select("doc_id", "text", F.col("quality").cast("double").alias("y"))
+    rows = sampled(labelled.where(F.col("quality").isNotNull()), most).select("doc_id", "text", F.col("quality").cast("double").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):

@@ -496,3 +496,34 @@ def test_pipeline(spark):
     for _, g in packed.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         assert g.length.sum() <= 2048 and (g.length.cumsum() - g.length).tolist() == g.offset.tolist()
     assert corpus_pipeline.run(spark, DIR).count() == len(packed)
+
+
+@pytest.mark.parametrize("ids", ["null", "half", "same", "own"])
+def test_samples_are_bounded_and_not_empty(spark, ids):
+    """Whatever the ids are: neither all rows nor none."""
+    of = {"null": F.lit(None).cast("long"), "half": F.when(F.col("id") % 2 == 0, F.col("id")), "same": F.lit(7).cast("long"), "own": F.col("id")}[ids]
+    rows = spark.range(20_000).select(of.alias("doc_id"), F.when(F.col("id") % 2 == 0, "das haus ein").otherwise("the house of one").alias("text"), F.when(F.col("id") % 2 == 0, "de").otherwise("en").alias("lang"))
+    n = language_id.sampled(rows, 1000).count()
+    assert 800 <= n <= 1200
+    model = language_id.fit(rows, most=1000)
+    assert model.languages == ["de", "en"]
+    got = {r.text: r.lang_pred for r in language_id.predict(rows.limit(20), model).collect()}
+    assert got == {"das haus ein": "de", "the house of one": "en"}
+
+
+def test_quality_learns_with_repeated_and_null_ids(spark):
+    good, bad = "A clean sentence about houses and rivers. " * 5, "!!! $$$ ### 000 " * 20
+    docs = spark.createDataFrame([(k % 5 if k % 3 else None, good if k % 2 else bad) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 5 if k % 4 else None, k % 2) for k in range(30)], "doc_id long, quality int")
+    joined = quality.labelled(docs, labels, most=10)
+    assert joined.where("doc_id is null").count() == 0
+    assert 0 <= quality.score(docs, quality.fit(joined, most=10)).agg(F.min("score")).first()[0] <= 1
+
+
+@pytest.mark.parametrize("number", ["+33 6 12 34 56 78", "+1 555 123 4567", "+49 (30) 1234567", "+44 20 7946 0958", "+4915112345678"])
+def test_numbers_of_all_groupings(number):
+    own = pii.Pseudonyms(b"k" * 64)
+    text, counts = own.replace(f"tel {number}, or so")
+    new = text[4 : 4 + len(number)]
+    assert counts["phone"] == 1 and new != number and text == f"tel {new}, or so"
+    assert [c for c in new if not c.isdigit()] == [c for c in number if not c.isdigit()]
