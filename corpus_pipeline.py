@@ -40,9 +40,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows go one by one: of rows that share a doc_id those go whose text is a
     copy of another document's, and of rows that also share their words one
-    stays. Rows without a doc_id or without words all stay.
+    stays. Rows without a doc_id or without words all stay. Rows are numbered
+    in a stored table, as a scan that is read twice may number them anew.
     """
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     gone = near_dup.link(docs, words=5, percent=80, row="_row").where("not kept or repeats").select(F.col("row").alias("_row"))
     return docs.join(stored(gone, "gone"), "_row", "left_anti").drop("_row")
 
