@@ -6,6 +6,7 @@ own last step, so it runs as an Arrow function on one section at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,29 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 600, 100
-_SPACE, _TRIM = b" \t\n\v\f\r", b" \t\n\r"
+_TRIM = b" \t\n\r"
+_SPACE, _WORD = re.compile(rb"[ \t\n\v\f\r]"), re.compile(rb"[^ \t\n\v\f\r]")
 
 
 def cut(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Chunks of about ``size`` bytes that end at white space and overlap by whole words."""
-    raw, n, at, out = text.encode(), 0, 0, []
+    raw, at, out = text.encode(), 0, []
     n = len(raw)
+
+    def after(kind: re.Pattern, start: int, stop: int) -> int:
+        found = kind.search(raw, start, stop)
+        return found.start() if found else max(start, stop)
+
     while at < n:
-        end = min(n, at + size)
-        while end < n and raw[end] not in _SPACE:
-            end += 1
+        end = after(_SPACE, min(n, at + size), n)
         piece = raw[at:end].strip(_TRIM)
         if piece:
             out.append(piece.decode())
         if end >= n:
             break
-        start = max(at + 1, end - overlap)
-        # Past the word that this position is in, then past the space after it.
-        while start < end and raw[start] not in _SPACE:
-            start += 1
-        while start < end and raw[start] in _SPACE:
-            start += 1
-        at = max(start, at + 1)
+        # Past the word that the overlap begins in, then past the space after it.
+        at = after(_WORD, after(_SPACE, max(at + 1, end - overlap), end), end)
     return out
 
 

@@ -93,14 +93,37 @@ VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
 HIDES = r"display: ?none|visibility: ?hidden|\shidden(?=[\s=/>])"
 
 
+def _unnested(c: Column, hides: str) -> Column:
+    """A text without its hidden elements, by the depth of elements of the same name; null if one isn't closed."""
+    pieces = F.regexp_extract_all(c, F.lit(r"[^<]+|<(?:/?[A-Za-z][^>]*>)?[^<]*"), F.lit(0))
+
+    def described(x: Column) -> Column:
+        opened = F.regexp_extract(x, rf"(?is)^<(?!(?:{VOID})\b)([a-z][a-z0-9-]*)\b[^>]*(?<!/)>", 1)
+        return F.struct(
+            F.lower(opened).alias("opened"), F.lower(F.regexp_extract(x, "(?i)^</([a-z][a-z0-9-]*)", 1)).alias("closed"),
+            x.rlike(rf"(?is)^<(?!(?:{VOID})\b){hides}[^>]*(?<!/)>").alias("hides"), x.alias("x"),
+        )
+
+    def step(s: Column, p: Column) -> Column:
+        state = lambda name, depth, out: F.struct(name.alias("name"), depth.alias("depth"), out.alias("out"))
+        depth = s["depth"] + F.when(p["opened"] == s["name"], 1).when(p["closed"] == s["name"], -1).otherwise(0)
+        ended = state(F.lit(""), F.lit(0), F.array_append(s["out"], F.regexp_replace(p["x"], "^<[^>]*>", "")))
+        shown = state(F.lit(""), F.lit(0), F.array_append(s["out"], p["x"]))
+        outside = F.when(p["hides"], state(p["opened"], F.lit(1), s["out"])).otherwise(shown)
+        return F.when(s["depth"] == 0, outside).when(depth == 0, ended).otherwise(state(s["name"], depth, s["out"]))
+
+    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.transform(pieces, described), start, step, lambda s: F.when(s["depth"] == 0, F.array_join(s["out"], "")))
+
+
 def without_html(c: Column) -> Column:
     """struct<text, error>: Markdown without HTML tags, hidden elements with all they hold.
 
     A ``<`` that begins no tag stays. Scripts and styles go first, so close
-    tags inside them end nothing. A hidden element ends at the first close tag
-    of its name; where an element of that name opens inside it, that isn't its
-    own end, and what follows would be shown, so this is an error, as is a
-    hidden element that isn't closed.
+    tags inside them end nothing. A hidden element ends at the close tag of its
+    name that is its own: where elements of that name open inside it, their
+    depth is counted (``_unnested``; only such texts are read tag by tag). A
+    hidden element that isn't closed is an error.
     """
     hides = rf"([a-z][a-z0-9-]*)(?=[^>]*(?:{HIDES}))"
     opens = rf"<(?!(?:{VOID})\b)(?:(script|style)\b|{hides})[^>]*(?<!/)>"
@@ -108,7 +131,7 @@ def without_html(c: Column) -> Column:
     bare = F.regexp_replace(c, element.format(r"(script|style)\b"), "")
     hidden = F.regexp_extract_all(bare, F.lit(element.format(hides)), F.lit(0))
     nested = F.exists(hidden, lambda e: e.rlike(r"(?is)^<([a-z][a-z0-9-]*)\b[^>]*>.*<\1\b"))
-    shown = F.regexp_replace(bare, element.format(hides), "")
-    error = F.when(nested, "nested_hidden_tag").when(shown.rlike(rf"(?is){opens}"), "unclosed_hidden_tag")
+    shown = F.when(nested, _unnested(bare, hides)).otherwise(F.regexp_replace(bare, element.format(hides), ""))
+    error = F.when(c.isNotNull() & (shown.isNull() | shown.rlike(rf"(?is){opens}")), "unclosed_hidden_tag")
     plain = F.regexp_replace(shown, "</?[A-Za-z][^>]*>", "")
     return F.struct(F.when(error.isNull(), plain).alias("text"), error.alias("error"))

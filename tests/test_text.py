@@ -164,8 +164,10 @@ def test_html_in_markdown(spark):
     cases = {
         "a < b <b>bold</b> c": ("a < b bold c", None), "x<script>bad()</script>y<STYLE>z</STYLE>": ("xy", None), "<div style='display:none'>no <b>x</b></div>yes": ("yes", None),
         "<p hidden>no</p>ok <span data-hidden='1'>shown</span>": ("ok shown", None), "<input hidden>kept": ("kept", None), "<div hidden/>kept": ("kept", None), "<script>never": (None, "unclosed_hidden_tag"),
-        # Nothing hidden is shown: where its own end can't be told, the page has an error.
-        "<div hidden><div>a</div>secret</div>": (None, "nested_hidden_tag"), "<div hidden><p>a</p></div>b": ("b", None), "<div hidden><script>'</div>'</script>x</div>y": ("y", None), "<style>a<div hidden></style>b</div>": ("b", None),
+        # Elements of a hidden one's name inside it are counted.
+        "<div hidden><div>a</div>secret</div>": ("", None), "a<DIV hidden>1<div>2<div/>3<p>4<Div>5</div></p>6</div>7</div >b<i>c</i>< d": ("abc< d", None), "x<p hidden>a<p>b</p>c": (None, "unclosed_hidden_tag"),
+        "<div hidden><div>a</div></div>b<span hidden>c<span hidden>d</span>e</span>f<div>g</div><input hidden>h": ("bfgh", None), "<div><div hidden>a<div hidden>b</div></div>c</div>": ("c", None), "": ("", None), None: (None, None),
+        "<div hidden><p>a</p></div>b": ("b", None), "<div hidden><script>'</div>'</script>x</div>y": ("y", None), "<style>a<div hidden></style>b</div>": ("b", None),
         "<div hidden>a</div><div>b</div>": ("b", None), "<p hidden>a<pre>b</pre></p>c": ("c", None), "1 <2> 3 <": ("1 <2> 3 <", None),
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.without_html(F.col("t")).alias("x"))
