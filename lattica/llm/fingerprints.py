@@ -9,7 +9,13 @@ subtracted cell by cell, which leaves the digests in which they differ. A cell
 with one digest left is pure; peeling takes its digest out of the other
 sub-tables, which makes further cells pure. The sub-tables take turns, so a
 digest is pure in one cell at a time. If something is left in the end, the pair
-is tried again with tables twice as large, until nothing is left.
+is tried again with tables for all digests, twice as large each time, until
+nothing is left.
+
+A fingerprint holds the number of digests, a small table and the ``LOWEST``
+least digests, which are a random part of all. So two fingerprints give an
+estimate of their likeness (``estimated``; exact where both hold all digests).
+That estimate is what the tables are sized by.
 
 The text is shuffled once, by ranges of the order of documents with about
 ``ROWS`` rows each, which brings each document next to its successor. All cells
@@ -29,11 +35,12 @@ ROWS, TURNS = 1000, 12
 #: Ranges at most (their borders, 40 bytes each, go to all tasks; beyond it
 #: ranges hold more rows), and rows of the order looked at for each border.
 MOST_RANGES, LOOKED_AT = 1 << 16, 8
-#: Cells of a sub-table for each digest of the two sides, and at least: for
-#: versions of which half is new, and for documents with nothing in common.
-EXPECTED, LEAST = (0.6, 0.9), 24
-#: Cells of a sub-table of the printed fingerprint.
-PRINTED = 4
+#: Cells of a sub-table for each differing digest, and at least.
+SHARE, LEAST = 0.9, 24
+#: Cells of a sub-table of the printed fingerprint, and its least digests.
+PRINTED, LOWEST = 4, 16
+#: Standard deviations of an estimated likeness that a table bears.
+DEVIATIONS = 2
 #: Where a paragraph ends, or is cut by its own content.
 CUT = r"\n+|(?<=[.!?…。！？]\s)(?=[A-Ma-m0-4])|(?<=[kwxz7]\s)(?=[A-Ma-m0-4])"
 CHECK = 77
@@ -44,8 +51,42 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, CUT), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def printed(d: Column) -> Column:
-    """The number of digests and their table of 3 x ``PRINTED`` cells: count, key and check of each cell.
+def lowest(d: Column) -> Column:
+    """The least ``LOWEST`` digests, in order: as good as drawn, as digests are hashes."""
+    return F.slice(F.array_sort(d), 1, LOWEST)
+
+
+def _seen(na: Column, a: Column, nb: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Of sets of ``na`` and ``nb`` digests with the least ones ``a`` and ``b``: the digests of
+    their union that both sides tell about, those in common, and whether that is all of them."""
+    whole = (na <= LOWEST) & (nb <= LOWEST)
+    union = F.array_sort(F.array_union(a, b))
+    union = F.when(whole, union).otherwise(F.slice(union, 1, LOWEST))
+    return F.size(union), F.size(F.array_intersect(F.array_intersect(a, b), union)), whole
+
+
+def differing(na: Column, a: Column, nb: Column, b: Column) -> Column:
+    """About how many digests two sets differ in, rather too many than too few."""
+    seen, common, whole = _seen(na, a, nb, b)
+    m = F.greatest(seen, F.lit(1))
+    like = common / m
+    like = F.greatest(F.lit(0.0), like - DEVIATIONS * F.sqrt((like * (1 - like) + 1 / m) / m))
+    return F.when(whole, seen - common).otherwise(F.ceil((na + nb) * (1 - like) / (1 + like)))
+
+
+def estimated(one: Column, other: Column) -> Column:
+    """The likeness of two printed fingerprints, from nothing but these: exact for up to ``LOWEST`` digests each.
+
+    Null where one of them is null.
+    """
+    number = lambda c: F.substring_index(c, ":", 1).cast("int")
+    least = lambda c: F.transform(F.regexp_extract_all(F.hex(F.unbase64(F.substring_index(c, ":", -1))), F.lit("[0-9A-F]{16}"), F.lit(0)), lambda x: F.conv(x, 16, -10).cast("long"))
+    seen, common, _ = _seen(number(one), least(one), number(other), least(other))
+    return F.when(seen == 0, 1.0).otherwise(common / seen)
+
+
+def printed(d: Column, low: Column) -> Column:
+    """The number of digests, their table of 3 x ``PRINTED`` cells (count, key and check of each) and the least digests.
 
     Two printed tables subtract and peel like any others, as long as few
     digests differ; beyond that larger tables of the same digests are needed.
@@ -57,7 +98,9 @@ def printed(d: Column) -> Column:
         xor = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
         return F.concat_ws(".", F.size(mine).cast("string"), F.hex(xor(mine)), F.hex(xor(F.transform(mine, _check))))
 
-    return F.concat(F.size(d).cast("string"), F.lit(":"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * PRINTED - 1)), cell), ","))
+    cells = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3 * PRINTED - 1)), cell), ",")
+    least = F.base64(F.unhex(F.array_join(F.transform(low, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
+    return F.concat(F.size(d).cast("string"), F.lit(":"), cells, F.lit(":"), F.regexp_replace(least, r"\s", ""))
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -139,15 +182,17 @@ def _check(d: Column) -> Column:
 def difference(rows: DataFrame, group: list[str], pairs: list[tuple[str, str]], info: list[str], scale: int = 1, turns: int = TURNS) -> DataFrame:
     """Peel the difference of pairs of digest arrays.
 
-    ``rows`` is partitioned by a subset of ``group``, which names a row. For
-    pair k of columns: ``diff_k``, the number of digests recovered, and
+    ``rows`` is partitioned by a subset of ``group``, which names a row. Tables
+    of scale 1 are sized by ``differing`` (each column x has x_low beside it),
+    larger ones by all digests of both sides. For pair k of columns: ``diff_k``, the number of digests recovered, and
     ``left_k``, the cells that could not be emptied (0: complete); ``info``
     columns are carried along.
     """
     sides = lambda x, y: F.concat(
         F.transform(x, lambda d: F.struct(d.alias("d"), F.lit(1).alias("sign"))), F.transform(y, lambda d: F.struct(d.alias("d"), F.lit(-1).alias("sign")))
     )
-    sizes = [F.ceil((F.size(x) + F.size(y)) * share * scale).cast("int") + LEAST for (x, y), share in zip(pairs, EXPECTED)]
+    most = [differing(F.size(x), F.col(f"{x}_low"), F.size(y), F.col(f"{y}_low")) if scale == 1 else F.size(x) + F.size(y) for x, y in pairs]
+    sizes = [F.ceil(n * SHARE * scale).cast("int") + LEAST for n in most]
     nothing = F.array(F.struct(F.lit(0).cast("long").alias("d"), F.lit(0).alias("sign")))
     # Kind -1 is a row that only carries the information.
     kinds = [F.struct(F.lit(-1).alias("kind"), F.lit(1).alias("size"), nothing.alias("of"))]
@@ -197,12 +242,13 @@ FOUND = ["diff_0", "diff_1"]
 
 def described(rows: DataFrame) -> DataFrame:
     rows = edited(rows).withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
-    rows = rows.withColumn("fingerprint", printed(F.col("d"))).withColumn("edited_fingerprint", printed(F.col("edited_d")))
+    rows = rows.withColumns({f"{x}_low": lowest(F.col(x)) for x in ("d", "edited_d", "next_d")})
+    rows = rows.withColumns({"fingerprint": printed(F.col("d"), F.col("d_low")), "edited_fingerprint": printed(F.col("edited_d"), F.col("edited_d_low"))})
     return rows.withColumns({"na": F.size("d"), "ne": F.size("edited_d"), "nn": F.size("next_d"), "row": F.monotonically_increasing_id()})
 
 
 def retried(failed: DataFrame, docs: DataFrame, scale: int, turns: int) -> DataFrame:
-    """(one, two, next_one, next_two, diff_0, left_0, ...) of each pair of texts in ``failed``, by larger tables.
+    """(one, two, next_one, next_two, diff_0, left_0, ...) of each pair of texts in ``failed``, by tables for all digests.
 
     A pair is known by the hashes of its two texts, which are never null, and
     rows that share both texts share the result. Each text that is named is
@@ -229,7 +275,7 @@ def compare(docs: DataFrame, rows: int = ROWS, turns: int = TURNS) -> DataFrame:
     failed = done.where("left_0 > 0 or left_1 > 0").select(*INFO)
     left, scale = failed, 1
     solved = None
-    # Tables grow until each pair's digests lie apart, so this ends.
+    # Tables have room for all digests and grow until these lie apart, so this ends.
     while not left.isEmpty():
         scale *= 2
         got = stored(retried(left, docs, scale, turns), "retried")

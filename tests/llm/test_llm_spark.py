@@ -324,6 +324,28 @@ def test_fingerprints_of_null_and_repeated_ids(spark, none):
     assert [(x.n_chars, x.near_next) for x in fingerprints.compare(one, turns=1).collect()] == [(1, 1.0)]
 
 
+def test_likeness_from_printed_fingerprints(spark):
+    """Exact up to 16 digests a side, near the truth beyond; tables sized by it hold all differing digests."""
+    r = random.Random(3)
+    sets = []
+    for n in [0, 1, 2, 5, 16, 17, 60, 400, 3000]:
+        for shared in (0, n // 4, n // 2, n - n // 20, n):
+            a = {r.getrandbits(64) - 2**63 for _ in range(n)}
+            sets.append((sorted(a), sorted([*r.sample(sorted(a), shared), *{r.getrandbits(64) - 2**63 for _ in range(n - shared)}])))
+    df = spark.createDataFrame(sets, "a array<long>, b array<long>").withColumns({f"{x}_low": fingerprints.lowest(F.col(x)) for x in "ab"})
+    df = df.withColumns({x.upper() + "p": fingerprints.printed(F.col(x), F.col(f"{x}_low")) for x in "ab"})
+    df = df.select("a", "b", fingerprints.estimated(F.col("Ap"), F.col("Bp")).alias("near"), fingerprints.estimated(F.col("Bp"), F.col("Ap")).alias("back"), fingerprints.differing(F.size("a"), F.col("a_low"), F.size("b"), F.col("b_low")).alias("most"))
+    short = 0
+    for x in df.collect():
+        a, b = set(x.a), set(x.b)
+        want = len(a & b) / len(a | b) if a | b else 1.0
+        assert x.near == x.back and (x.near == want if len(a) <= 16 else abs(x.near - want) < 0.4)
+        assert x.most == len(a ^ b) if len(a) <= 16 else x.most <= len(a) + len(b)
+        short += x.most < len(a ^ b)
+    assert short <= 2
+    assert spark.range(1).select(fingerprints.estimated(F.lit(None).cast("string"), F.lit("0::")).alias("x")).first().x is None
+
+
 def test_ranges_of_the_order_are_even(spark):
     """Outliers, nulls and one id in a third of the rows make no large range."""
     rows = [(k, f"t{k}") for k in range(3000)] + [(7, f"u{k}") for k in range(2000)] + [(8, "equal")] * 2000 + [(None, f"n{k}") for k in range(1000)] + [(2**60, "far")]
