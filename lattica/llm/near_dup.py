@@ -52,6 +52,8 @@ from .common import small, stored
 
 POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 11, 21, 28, 1
 BLOCK, BLOCK_BYTES, SALTS = 512, 8 << 20, 16
+#: So many rows of a few numbers may be sent to all tasks.
+SENT = 200_000
 #: Words that a worker remembers before it begins anew.
 CACHE = 150_000
 _MULTIPLY = np.random.default_rng(7).integers(1, 2**32, POSITIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -201,6 +203,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _spread(rows: DataFrame, facts: DataFrame, on: list[str], by: Column, most: int) -> DataFrame:
+    """``rows`` with the one row of ``facts``, of at most ``most`` rows, for their ``on``.
+
+    Up to ``SENT`` facts are sent to all tasks, some 10 MB. Beyond that the
+    rows of a frequent key meet copies of its fact in ``SALTS`` tasks. Such
+    copies are small when shuffled and large in memory, so Spark's size check
+    would send too many to the driver: that join is by merging.
+    """
+    if most <= SENT:
+        return rows.join(F.broadcast(facts), on)
+    facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(by, F.lit(SALTS)).cast("int"))
+    return rows.join(facts.hint("merge"), [*on, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id that each linked id reaches.
 
@@ -209,16 +226,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
+        nodes = 2 * edges.count()  # at most
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # Large star: larger neighbours go to the least one. A hub's many
-        # neighbours look it up in several places.
-        salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
-        least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        large = both.where("v > u").withColumn("_salt", salt).join(least, ["u", "_salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Large star: larger neighbours go to the least one.
+        large = _spread(both.where("v > u"), least, ["u"], F.xxhash64("v"), nodes).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: smaller neighbours and the node itself go to the least one.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
+        small = _spread(large, lowest, ["u"], F.xxhash64("v"), nodes)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = stored(small, "edges")
         # Stars are the fixed points: every edge leads to a node that has none to a lesser one.
@@ -312,10 +327,8 @@ def _in_blocks(rows: DataFrame, size: Column, run, schema: str) -> DataFrame:
     each = lambda k: F.greatest(F.ceil(F.count_if(F.col("_side") == k) / BLOCK), F.ceil(F.sum(F.when(F.col("_side") == k, F.col("_size")).otherwise(0)) / BLOCK_BYTES), F.lit(1))
     # A band needs both sides.
     blocks = sided.groupBy(*group).agg(each(0).alias("_x"), each(1).alias("_y"), (F.min("_side") != F.max("_side")).alias("_both")).where("_both").drop("_both")
-    # A large component's rows meet its block counts in several tasks, and its
-    # blocks are dealt one by one, not by component.
-    blocks = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = sided.withColumn("_salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(blocks, [*group, "_salt"])
+    # A large component's blocks are dealt one by one, not by component.
+    placed = _spread(sided, blocks, group, F.xxhash64("id", F.lit(1)), sided.count())
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("_side") == 0, F.col("_x")).otherwise(F.col("_y"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("_side") == 0, F.col("_y")).otherwise(F.col("_x")).cast("int") - 1)
     placed = placed.withColumn("_mine", mine).withColumn("_other", F.explode(others))

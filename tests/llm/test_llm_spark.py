@@ -422,8 +422,11 @@ def test_near_duplicates_equal_brute_force(spark, words):
     assert got == plain.components(rows, words, 80)
 
 
-def test_near_copies_far_from_their_hub(spark):
+@pytest.mark.parametrize("sent", [0, near_dup.SENT])
+def test_near_copies_far_from_their_hub(spark, monkeypatch, sent):
     """A chain of copies that drift: strays find the group through other members, in small blocks."""
+    monkeypatch.setattr(near_dup, "SENT", sent)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
     r = random.Random(6)
     rows, t = [], [f"v{k}" for k in range(60)]
     for k in range(150):
@@ -434,12 +437,7 @@ def test_near_copies_far_from_their_hub(spark):
         for _ in range(r.choice([0, 1, 4])):
             u[r.randrange(60)] = f"m{r.random()}"
         rows.append((k, " ".join(u)))
-    old = near_dup.BLOCK
-    near_dup.BLOCK = 8
-    try:
-        got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.link(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
-    finally:
-        near_dup.BLOCK = old
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.link(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
     assert got == plain.components(rows, 2, 80)
 
 
@@ -449,7 +447,10 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert near_dup.link(none, 2, 80).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("sent", [0, near_dup.SENT])
+def test_components(spark, monkeypatch, sent):
+    """By merging of salted copies, and by facts that are sent to all tasks."""
+    monkeypatch.setattr(near_dup, "SENT", sent)
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1064)]
     root = {}
