@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from .common import small, stored
 
 POSITIONS, CHUNKS, DISTANCE, LIMIT, ROUNDS = 64, 11, 21, 28, 1
-BLOCK, BLOCK_BYTES, SALTS = 512, 8 << 20, 16
+BLOCK, BLOCK_BYTES, SALTS = 512, 4 << 20, 16
 #: So many rows of a few numbers may be sent to all tasks.
 SENT = 200_000
 #: Words that a worker remembers before it begins anew.
@@ -369,6 +369,7 @@ def _linked(rows: pa.Table, percent: int) -> pa.Table:
     of_y = [np.frombuffer(v.as_buffer(), np.uint64) for v in y["hashes"]]
     ny = np.array([len(v) for v in of_y])
     all_y, ends = (np.concatenate(of_y) if of_y else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(ny)])
+    before = np.zeros(len(all_y) + 1, np.int32)
     part, ids, a, b = y["part"].to_numpy(), y["id"].to_numpy(), [], []
     for k in np.flatnonzero(may.any(axis=1)):
         mine = np.frombuffer(x["hashes"][int(k)].as_buffer(), np.uint64)
@@ -376,10 +377,13 @@ def _linked(rows: pa.Table, percent: int) -> pa.Table:
         if 4 * len(at) < len(ny):
             common = np.array([np.isin(of_y[j], mine, assume_unique=True).sum() for j in at])
         else:
-            place = np.minimum(np.searchsorted(mine, all_y), len(mine) - 1)
-            common = np.diff(np.concatenate([[0], np.cumsum(mine[place] == all_y)])[ends])[at]
+            place = np.searchsorted(mine, all_y)
+            np.minimum(place, len(mine) - 1, out=place)
+            before[1:] = np.cumsum(mine[place] == all_y, dtype=np.int32)
+            common = np.diff(before[ends])[at]
         good = at[100 * common >= percent * (len(mine) + ny[at] - common)]
         _, first = np.unique(part[good], return_index=True)
         a += [x["id"][int(k)].as_py()] * len(first)
         b += ids[good[first]].tolist()
+    pa.default_memory_pool().release_unused()  # a worker goes on to groups of other sizes
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
