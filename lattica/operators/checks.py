@@ -90,15 +90,16 @@ def feed(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
 def snapshots(sessions: DataFrame, scopes: DataFrame, approvals: DataFrame) -> DataFrame:
     """(session_id, snapshot): each session with its scopes and approvals in order, as JSON.
 
-    ``scopes`` (session_id, unit_id) and ``approvals`` (session_id, approver,
-    decision) are a few rows of a session each.
+    ``sessions`` (session_id, state, board), ``scopes`` (session_id, unit_id),
+    a few rows of a session, and ``approvals`` (board, approver, decision) of
+    all sessions with that board: they become text once and join as such.
     """
     units = scopes.groupBy("session_id").agg(F.array_sort(F.collect_list("unit_id")).alias("scopes"))
-    votes = approvals.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("approver", "decision"))).alias("approvals"))
-    s = sessions.join(units, "session_id", "left").join(votes, "session_id", "left")
-    empty = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
-    body = F.struct("session_id", "state", empty("scopes", "array<bigint>"), empty("approvals", "array<struct<approver:bigint,decision:string>>"))
-    return s.select("session_id", F.to_json(body).alias("snapshot"))
+    votes = approvals.groupBy("board").agg(F.to_json(F.array_sort(F.collect_list(F.struct("approver", "decision")))).alias("approvals"))
+    s = sessions.join(units, "session_id", "left").join(votes, "board", "left")
+    head = F.to_json(F.struct("session_id", "state", F.coalesce("scopes", F.array().cast("array<bigint>")).alias("scopes")))
+    body = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"approvals":'), F.coalesce("approvals", F.lit("[]")), F.lit("}"))
+    return s.withColumn("head", head).select("session_id", body.alias("snapshot"))
 
 
 def small_tenants(users: DataFrame, units: DataFrame, most: int) -> DataFrame:

@@ -18,7 +18,7 @@ from lattica.sources import files, logs
 from lattica.tables import shared_dir
 
 from .model import AS_OF, PER_DOC, Model, sql
-from .queries import endpoints, memberships, merged, pack_prompt, query, scope
+from .queries import endpoints, joined, memberships, merged, pack_prompt, query, scope
 
 T = f"TIMESTAMP '{AS_OF[:10]}'"
 
@@ -115,8 +115,8 @@ LEFT JOIN (SELECT user_id, string_agg('{"approver":' || group_id || ',"decision"
 def a10_snapshots(m: Model) -> DataFrame:
     """A session for each user, with the user's scope, and the user's groups as approvers."""
     state = F.element_at(F.array(*map(F.lit, ("requested", "approved", "active"))), (F.col("user_id") % 3 + 1).cast("int"))
-    s = m.users.select(F.col("user_id").alias("session_id"), state.alias("state"))
-    votes = m.group_members.select(F.col("user_id").alias("session_id"), F.col("group_id").alias("approver"), when("group_id % 2 = 0", F.lit("approve"), F.lit("reject")).alias("decision"))
+    s = m.cohorts.users.select(F.col("user_id").alias("session_id"), state.alias("state"), F.col("cohort").alias("board"))
+    votes = m.cohorts.groups.select(F.col("cohort").alias("board"), F.col("group_id").alias("approver"), when("group_id % 2 = 0", F.lit("approve"), F.lit("reject")).alias("decision"))
     return checks.snapshots(s, scope(m).select(F.col("user_id").alias("session_id"), "unit_id"), votes)
 
 
@@ -259,7 +259,7 @@ def io14_manifest(m: Model) -> DataFrame:
 WHERE epoch_ms({T} + INTERVAL 4 MINUTE) < least(epoch_ms({T}) + 300000, coalesce(epoch_ms(x.e), 9e15::BIGINT)) AND user_id % 6 <> 0 AND company_id <> 2"""))
 def g03_cached(m: Model) -> DataFrame:
     """Entries made at noon hold four minutes later unless an epoch has moved: company 2's, and every sixth user's."""
-    acl, users = access.epoch_bumps(m.units, m.group_members.select("company_id", F.col("user_id").alias("old_user"), F.col("user_id").alias("new_user")))
+    acl, users = access.epoch_bumps(m.units, joined(m, 0))
     made = access.resolve(m.users, memberships(m), m.closure, acl, users, AS_OF)
     live = made.select("company_id", "user_id", (F.col("acl_epoch") + F.expr("int(company_id = 2)")).alias("acl_epoch"), (F.col("scope_epoch") + F.expr("int(user_id % 6 = 0)")).alias("scope_epoch"))
     return access.cached(made, live, "2024-01-15 00:04:00").select("user_id")
