@@ -2,7 +2,7 @@
 
 import random
 
-from lattica.operators import access, checks
+from lattica.operators import access, checks, vectors
 
 T = "2024-01-15 00:00:00"
 
@@ -46,3 +46,20 @@ def test_snapshots_take_the_votes_of_a_board(spark):
     both = '"approvals":[{"approver":2,"decision":"approve"},{"approver":8,"decision":"reject"}]}'
     got = {r.session_id: r.snapshot for r in checks.snapshots(sessions, scopes, votes).collect()}
     assert got == {1: '{"session_id":1,"state":"active","scopes":[3,9],' + both, 2: '{"session_id":2,"state":"a\\"b","scopes":[],' + both, 3: '{"session_id":3,"scopes":[],"approvals":[]}'}
+
+
+def test_searches_by_tiles_equal_all_pairs(spark, monkeypatch):
+    """Ties beyond k, near ties, nulls, other lengths and not a number, in small tiles: the same rows as pair by pair."""
+    for name, n in (("BLOCK", 7), ("STRIPE", 5), ("ROWS", 4), ("HELD", 16)):
+        monkeypatch.setattr(vectors, name, n)
+    r = random.Random(5)
+    make = lambda: r.choice([None, [1.0, None, 0.0], [2.0], [], [float("nan"), 1.0, 0.0], [1.0, 0.0, 0.0], [1.0, 0.0, 0.0], [1.0000004, 0.0, 0.0], *[[r.gauss(0, 1) for _ in range(3)] for _ in range(9)]])
+    points = spark.createDataFrame([(k, make()) for k in range(90)], "chunk_id long, v array<double>")
+    queries = spark.createDataFrame([(k, make()) for k in range(20)], "query_id long, q array<double>")
+    pairs = vectors.meet(points, queries).select("query_id", "chunk_id", vectors.F.round(vectors.dot("v", "q"), 6).alias("score")).cache()
+    text = lambda df: list(map(str, rows(df)))  # noqa: E731  not a number equals itself
+    for k in (3, 40, 100):
+        assert text(vectors.search(points, queries, k)) == text(vectors.best(pairs, k))
+    each = vectors.products(points, queries, ["chunk_id"])
+    assert text(each.select("query_id", "chunk_id", vectors.F.round("score", 6).alias("score"))) == text(pairs)
+    assert vectors.search(points.limit(0), queries, 3).count() == 0 and vectors.search(points, queries.limit(0), 3).count() == 0
