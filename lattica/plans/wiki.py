@@ -53,8 +53,7 @@ def r19_citations(m: Model) -> DataFrame:
 def x05_affected_pages(m: Model) -> DataFrame:
     """Pages that cite a version that is no more in force, and those that lead to such a page, with the fewest links between."""
     stale = graph.citing(cited(m), m.versions, ["deprecated", "archived"]).select(F.col("page_id").alias("page"))
-    links = named(m).join(wiki(m).withColumnRenamed("page_id", "target"), "slug").select(F.col("page_id").alias("source"), "target")
-    return graph.reached(links, stale).select(F.col("page").alias("page_id"), "hops")
+    return graph.reached_by_name(wiki(m), named(m), stale).select(F.col("page").alias("page_id"), "hops")
 
 
 @query(sql(f"""SELECT t.conv_id, t.turn, t.doc_id, t.version, v.lifecycle FROM (SELECT conv_id::BIGINT conv_id, turn::BIGINT turn, ((conv_id * 7 + turn) % n)::BIGINT doc_id, (1 + turn % 2)::INT AS version FROM conversations, (SELECT count(*) n FROM documents)) t

@@ -2,7 +2,7 @@
 
 import random
 
-from lattica.operators import access, checks, vectors
+from lattica.operators import access, checks, graph, vectors
 
 T = "2024-01-15 00:00:00"
 
@@ -63,3 +63,14 @@ def test_searches_by_tiles_equal_all_pairs(spark, monkeypatch):
     each = vectors.products(points, queries, ["chunk_id"])
     assert text(each.select("query_id", "chunk_id", vectors.F.round("score", 6).alias("score"))) == text(pairs)
     assert vectors.search(points.limit(0), queries, 3).count() == 0 and vectors.search(points, queries.limit(0), 3).count() == 0
+
+
+def test_pages_are_reached_by_the_slugs_they_name(spark):
+    """Many pages of one slug, a cycle, a link to oneself and one to nobody: as with every pair of pages."""
+    r = random.Random(7)
+    pages = spark.createDataFrame([(p, f"s{p % 12}") for p in range(60)], "page_id long, slug string")
+    links = spark.createDataFrame([(p, f"s{r.randrange(13)}") for p in range(60) if r.random() < 0.7] + [(3, "s3")], "page_id long, slug string")
+    first = spark.createDataFrame([(3,), (40,)], "page long")
+    pairs = links.join(pages.withColumnRenamed("page_id", "target"), "slug").selectExpr("page_id source", "target")
+    got = rows(graph.reached_by_name(pages, links, first))
+    assert len({h for _, h in got}) > 2 and got == rows(graph.reached(pairs, first))
