@@ -18,6 +18,8 @@ from .queries import query
 
 #: Bytes of new files that a micro-batch takes, one file at least; results don't depend on it.
 BATCH_BYTES = 128 << 20
+#: Events of a group of keys, about; fewest groups; the longest bucket in seconds. Results don't depend on these either.
+HELD, GROUPS, LONGEST = 10_000, 64, 365 * 86_400
 
 
 def source(m: Model) -> DataFrame:
@@ -29,8 +31,15 @@ def timed(e: DataFrame) -> DataFrame:
     return e.select(long("user_id").alias("user_id"), (F.col("user_id") % 5).cast("long").alias("tenant"), long("event_id").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type")
 
 
-def run(m: Model, shape: Callable[[DataFrame], DataFrame], transform: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """What ``transform`` makes of the events in the ``shape`` that it needs, with ``us``.
+def dealt(events: DataFrame, key: str, span_s: int) -> tuple[int, int]:
+    """(seconds of a bucket, groups of keys): calls to the state store come by group and bucket, so each should hold many events, but not all of a busy key."""
+    groups = max(GROUPS, -(-events.count() // HELD))
+    most = events.groupBy(state.group_of(key, groups)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # one number
+    return max(1, min(span_s, LONGEST, span_s * 2 * HELD // most)), groups
+
+
+def run(m: Model, key: str, shape: Callable[[DataFrame], DataFrame], transform: Callable[[DataFrame, str, int, int], DataFrame]) -> DataFrame:
+    """What ``transform`` makes of the events in the ``shape`` that it needs, with ``key`` and ``us``, the delay, the length of buckets and the groups of keys.
 
     The table's files come in no order of time, so the delay is all the time
     that they span. A second source stands for the time that passes after the
@@ -41,12 +50,13 @@ def run(m: Model, shape: Callable[[DataFrame], DataFrame], transform: Callable[[
     span = ((last or 0) - (first or 0)) // 1_000_000 + 1
     root = f"{shared_dir(m.spark)}/stream-{uuid.uuid4().hex}"
     events = shape(timed(source(m)))
+    bucket, groups = dealt(shape(timed(m.table("events"))), key, span)
     clock = m.spark.createDataFrame([], events.schema)
     clock.coalesce(1).write.parquet(f"{root}/clock")
 
     def go() -> DataFrame:
         both = shape(timed(source(m))).unionByName(m.spark.readStream.schema(events.schema).parquet(f"{root}/clock"))
-        out = transform(both, f"{span} seconds")
+        out = transform(both, f"{span} seconds", bucket, groups)
         state.run_to_end(out, f"{root}/out", f"{root}/log")
         return out
 
@@ -60,19 +70,19 @@ def run(m: Model, shape: Callable[[DataFrame], DataFrame], transform: Callable[[
 @query()
 def s16_leases(m: Model) -> DataFrame:
     """Ten leases of 20 minutes a tenant (see the tests)."""
-    return run(m, lambda e: e.select("tenant", "event_id", "us", F.lit(1200.0).alias("hold_s")), lambda e, delay: state.leases(e, 10, delay=delay))
+    return run(m, "tenant", lambda e: e.select("tenant", "event_id", "us", F.lit(1200.0).alias("hold_s")), lambda e, *how: state.leases(e, 10, 15.0, 86_400.0, *how))
 
 
 @query()
 def s17_token_bucket(m: Model) -> DataFrame:
     """A token every ten minutes a tenant, five at most (see the tests)."""
-    return run(m, lambda e: e.select("tenant", "event_id", "us", F.lit(1.0).alias("cost")), lambda e, delay: state.token_bucket(e, 1 / 600, 5.0, delay=delay))
+    return run(m, "tenant", lambda e: e.select("tenant", "event_id", "us", F.lit(1.0).alias("cost")), lambda e, *how: state.token_bucket(e, 1 / 600, 5.0, *how))
 
 
 @query("SELECT key, event_id, version FROM (SELECT user_id::BIGINT AS key, event_id::BIGINT event_id, (event_id % 7)::BIGINT AS version, max(event_id % 7) OVER (PARTITION BY user_id ORDER BY ts, event_id) high FROM events) WHERE version >= high")
 def s07_stream_fresh(m: Model) -> DataFrame:
     """Events whose version isn't below the highest of their user so far."""
-    return run(m, lambda e: e.select(F.col("user_id").alias("key"), "event_id", "us", (F.col("event_id") % 7).alias("version")), lambda e, delay: state.fresh(e, delay))
+    return run(m, "key", lambda e: e.select(F.col("user_id").alias("key"), "event_id", "us", (F.col("event_id") % 7).alias("version")), state.fresh)
 
 
 @query(sql("""SELECT worker, min(us)::BIGINT since_us, (max(us) + 900000000)::BIGINT expired_us, count(*)::BIGINT beats FROM (
@@ -80,7 +90,7 @@ def s07_stream_fresh(m: Model) -> DataFrame:
     SELECT user_id worker, event_id, epoch_us(ts) us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) before FROM ev)) GROUP BY worker, life"""))
 def s15_lifetimes(m: Model) -> DataFrame:
     """Each user as a worker, each event as a beat; a life ends 15 minutes after its last beat."""
-    return run(m, lambda e: e.select(F.col("user_id").alias("worker"), "event_id", "us"), lambda e, delay: state.lifetimes(e, 900, delay))
+    return run(m, "worker", lambda e: e.select(F.col("user_id").alias("worker"), "event_id", "us"), lambda e, *how: state.lifetimes(e, 900, *how))
 
 
 @query(sql("SELECT DISTINCT tenant, event_type job_type, k AS key FROM ev WHERE k NOT IN (SELECT k FROM ev WHERE event_id < 20)"))
