@@ -4,7 +4,7 @@ import pytest
 
 from lattica.operators import access
 from lattica.plans.model import AS_OF, Model
-from lattica.plans.queries import scope
+from lattica.plans.queries import QUERIES, scope
 
 DIR = "/root/testdata/sf0.001"
 
@@ -46,3 +46,13 @@ def test_rows_come_list_by_list(m, spark):
     rows = access.visible_docs(own, docs, m.grants, tree, AS_OF, users)
     turns = rows.rdd.mapPartitions(lambda it: [(lambda x: (len(x), 1 + sum(a // 30 != b // 30 for a, b in zip(x, x[1:]))))([r.user_id for r in it])]).collect()
     assert sum(n for n, _ in turns) == 300 * 400 and all(changes <= 10 * 2 for n, changes in turns if n)
+
+
+def test_gates_of_all_decide_no_pairs(spark, monkeypatch):
+    """Pairs of scopes and documents grow with their product, so none are stored or sent: documents and edges are decided."""
+    def refuse(self, pairs):
+        raise AssertionError("pairs are decided")
+
+    small(monkeypatch, 4)
+    monkeypatch.setattr(access.Readers, "among", refuse)
+    assert [QUERIES[q](spark, DIR).count() for q in ("g07_chunk_gate_all", "g08_relationship_gate_all", "x07_refusals_all")] == [202, 8, 6000]
